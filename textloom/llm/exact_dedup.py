@@ -66,7 +66,8 @@ class DigestIndex:
     def _run(self, entries: DataFrame) -> str:
         path = f"{self.path}/run-{self.made:06d}"
         self.made += 1
-        (entries.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path))
+        filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        entries.sortWithinPartitions("digest").write.options(**filters).parquet(path)
         return path
 
 

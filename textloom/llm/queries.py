@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, exact_dedup, sharding, token_counts, url_filter
-from textloom.llm.common import table
+from textloom.llm import decontamination, exact_dedup, language_id, sharding, substring_dedup, token_counts, toxicity, url_filter
+from textloom.llm.common import id_remainder, table
 
 #: Folder of the public tokenizers' files; a setting, so that clusters can keep them elsewhere.
 TOKENIZERS_CONF, TOKENIZERS = "textloom.tokenizers.dir", "/opt/tokenizers"
@@ -30,6 +30,21 @@ def op2_prefix_sum_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit_toxicity(docs, labels.where(id_remainder(F.col("doc_id"), 5) != 0))
+    rows = toxicity.score_toxicity(docs, model)
+    held_out = (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out")
+    return rows.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = language_id.fit_filters(docs.where(id_remainder(F.col("doc_id"), 3) != 1))
+    rows = language_id.identify(docs, filters)
+    return rows.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_url_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -51,6 +66,11 @@ def op8_decontamination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha256")).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -105,6 +125,22 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
 
 
+_SPACED = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+ORACLES["op10_substring_dedup_lsm"] = rf"""
+WITH d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM win) WHERE doc_id > first),
+gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM rep) GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, w, p, coalesce(string_agg(word, ' ' ORDER BY k), '') AS kept FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
+  LEFT JOIN (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d) x
+    ON d.doc_id = x.doc_id AND NOT coalesce(list_contains(p, k), false)
+  GROUP BY d.doc_id, w, p)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM kept"""
+
+
 def _pagerank_sql(name: str, edges: str, seeds: str, iterations: int = 10, damping: float = 0.85) -> str:
     base = f"SELECT host, {1 - damping}::DOUBLE AS score FROM {seeds}"
     steps = [f"{name}0 AS ({base})"]
