@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, exact_dedup, language_id, sharding, substring_dedup, token_counts, toxicity, url_filter
+from textloom.llm import decontamination, exact_dedup, language_id, near_dup, sharding, substring_dedup, token_counts, toxicity, url_filter
 from textloom.llm.common import id_remainder, table
 
 #: Folder of the public tokenizers' files; a setting, so that clusters can keep them elsewhere.
@@ -66,6 +66,10 @@ def op8_decontamination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op10_substring_dedup_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha256")).alias("kept_sha256"))
@@ -141,6 +145,22 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM kept"""
 
 
+ORACLES["op9_setsketch_near_dup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.b) AS component_id, min(reach.b) = d.doc_id AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n"""
+
+
 def _pagerank_sql(name: str, edges: str, seeds: str, iterations: int = 10, damping: float = 0.85) -> str:
     base = f"SELECT host, {1 - damping}::DOUBLE AS score FROM {seeds}"
     steps = [f"{name}0 AS ({base})"]
