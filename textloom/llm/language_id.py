@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.common import documents, quoted
 
@@ -144,32 +144,29 @@ def fit_filters(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return LanguageFilters.fit({lang: np.array(sorted(codes), np.int64).view(np.uint64) for lang, codes in found.items()})
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score. See identified() for the rules; no shuffle."""
-    return identified(documents(docs, id_col, text_col), filters).drop("text")
-
-
-def identified(rows: DataFrame, filters: LanguageFilters) -> DataFrame:
-    """(doc_id, text) rows with lang_pred and score, the corrected share of the language's n-grams in the whole text.
+def language_of(text: Column, filters: LanguageFilters, spark: SparkSession) -> Column:
+    """struct(lang_pred, score) of each whole text; score is the corrected share of the language's n-grams.
 
     lang_pred is `und` with score 0 where the text is null or has no letter, or where no language was learned. Of equal
     shares the language first in the alphabet wins.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((filters, filters.false_positive_rates()))  # as large as the learned filters
+    shared = spark.sparkContext.broadcast((filters, filters.false_positive_rates()))  # as large as the learned filters
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def predict(texts: pd.Series) -> pd.DataFrame:
         known, rates = shared.value
-        for batch in batches:
-            names, scores = [], []
-            for text in batch.column("text"):
-                codes = ngram_codes(text.as_py() or "") if known.languages else []
-                if len(codes):
-                    share = known.shares(codes, rates)
-                    names.append(known.languages[int(share.argmax())])
-                    scores.append(float(share.max()))
-                else:
-                    names.append("und")
-                    scores.append(0.0)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "text", "lang_pred", "score"])
-
-    return rows.select("doc_id", "text").mapInArrow(predict, "doc_id long, text string, lang_pred string, score double")
+        names, scores = [], []
+        for text in texts:
+            codes = ngram_codes(text or "") if known.languages else []
+            share = known.shares(codes, rates) if len(codes) else None
+            names.append("und" if share is None else known.languages[int(share.argmax())])
+            scores.append(0.0 if share is None else float(share.max()))
+        return pd.DataFrame({"lang_pred": names, "score": scores})
+
+    return predict(text)
+
+
+def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, lang_pred, score, by the rules of language_of(); no shuffle."""
+    rows = documents(docs, id_col, text_col)
+    return rows.select("doc_id", language_of(F.col("text"), filters, docs.sparkSession).alias("of")).select("doc_id", "of.*")

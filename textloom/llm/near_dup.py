@@ -243,7 +243,7 @@ def open_pairs(rest: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, key (xxhash64 of the text), n_shingles, component_id, kept.
 
     Links join documents whose sets of word shingles have 100 * intersection >= percent * union, each confirmed on the
     full sets; component_id is the smallest doc_id that links reach. Null and wordless texts have empty sets and link
@@ -282,6 +282,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "label").select("digest", "component_id")
     out = sketches.join(named, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, exact_dedup, language_id, near_dup, sharding, substring_dedup, token_counts, toxicity, url_filter
+from textloom.llm import decontamination, exact_dedup, language_id, near_dup, segmentation, sharding, substring_dedup, token_counts, toxicity, url_filter
 from textloom.llm.common import id_remainder, table
 
 #: Folder of the public tokenizers' files; a setting, so that clusters can keep them elsewhere.
@@ -25,6 +25,10 @@ def tokenizer(spark: SparkSession, name: str) -> str:
     return spark.conf.get(TOKENIZERS_CONF, TOKENIZERS).rstrip("/") + "/" + name
 
 
+def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer(spark, "piece_bpe_32k.model"), k=2, with_ids=False)
+
+
 def op2_prefix_sum_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.prefix_sum_shards(table(spark, sf_dir, "documents"), shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -67,7 +71,7 @@ def op8_decontamination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("key")
 
 
 def op10_substring_dedup_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
