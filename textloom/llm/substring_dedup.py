@@ -3,8 +3,10 @@
 A window of W words carries as fingerprint the smallest hash of the word n-grams in it. Neighbouring windows mostly
 share it, so a document needs only a few rows, yet equal windows always have equal fingerprints. Each batch of
 documents is flushed as an immutable sorted run (fingerprint, smallest doc_id, largest doc_id); runs are merge-joined
-with a new batch and compacted. Windows whose fingerprint stands in two documents or more are then verified by a
-128-bit hash of all their words, and each is owned by the smallest doc_id that has it.
+with a new batch and compacted. Stretches of windows whose fingerprint stands in two documents or more are then
+verified by a hash of all their words: a stretch that is the same in a smaller document goes as a whole; where
+stretches of one fingerprint differ, the windows of one stretch of each kind are compared one by one. Documents that
+are copies of a smaller one as a whole are settled first.
 """
 
 from __future__ import annotations
@@ -69,9 +71,9 @@ def fingerprints(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) ->
     return np.minimum(low[:n], low[width - size :][:n]).view(np.int64)
 
 
-def window_hashes(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the words of each window, as signed integers."""
-    return _runs(hashes, window, _ODD).view(np.int64), _runs(_mixed(hashes * _ODD2), window, _ODD2).view(np.int64)
+def window_hashes(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """A 64-bit hash of the words of each window."""
+    return _runs(hashes, window, _ODD2)
 
 
 class FingerprintIndex:
@@ -132,19 +134,49 @@ def scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, key long, n_words long, sha binary, marks array<long>")
 
 
-def candidate_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h1, h2, doc_id, key, at) of each window of (doc_id, key, text, marks) rows whose fingerprint is among the row's marks."""
+def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """The stretches of windows of equal fingerprint in (doc_id, key, text, marks), for the fingerprints in marks.
+
+    (fingerprint, stretch, doc_id, key, at, windows): stretch is a hash of all words, windows has a hash for each
+    window from the at-th on.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, key, text, marks in zip(*(batch.column(c) for c in ("doc_id", "key", "text", "marks")), strict=True):
                 hashes = word_hashes(words_of(text.as_py()))
-                at = np.flatnonzero(np.isin(fingerprints(hashes, window, gram), np.array(marks.as_py(), np.int64)))
-                first, second = window_hashes(hashes, window)
-                columns = [pa.array(first[at]), pa.array(second[at]), *(pa.array(np.full(len(at), x.as_py(), np.int64)) for x in (doc_id, key)), pa.array(at.astype(np.int32))]
-                yield pa.record_batch(columns, ["h1", "h2", "doc_id", "key", "at"])
-
-    return texts.select("doc_id", "key", "text", "marks").mapInArrow(emit, "h1 long, h2 long, doc_id long, key long, at int")
+                prints, whole = fingerprints(hashes, window, gram), window_hashes(hashes, window)
+                begin = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+                end = np.append(begin[1:], len(prints))
+                wanted = np.isin(prints[begin], np.array(marks.as_py(), np.int64))
+                sums = np.add.reduceat(_mixed(whole), begin)
+                kinds = _mixed(sums + (end - begin).astype(np.uint64) * _ODD + whole[begin] * _ODD2 + whole[end - 1])
+                begin, end, kinds = begin[wanted], end[wanted], kinds[wanted]
+                sizes = end - begin
+                places = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes) + np.arange(sizes.sum())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(whole[places].view(np.int64)))
+                same = [pa.array(np.full(len(begin), x.as_py(), np.int64)) for x in (doc_id, key)]
+                yield pa.record_batch([pa.array(prints[begin]), pa.array(kinds.view(np.int64)), *same, pa.array(begin.astype(np.int32)), lists], ["fingerprint", "stretch", "doc_id", "key", "at", "windows"])
+
+    return texts.select("doc_id", "key", "text", "marks").mapInArrow(emit, "fingerprint long, stretch long, doc_id long, key long, at int, windows array<long>")
+
+
+def repeated_places(found: DataFrame) -> DataFrame:
+    """(doc_id, key, at, n): the n windows from the at-th on whose words start in a smaller document.
+
+    found: the table of stretches(). Of each kind of stretch the smallest doc_id stands for all: what it holds, they
+    hold. So larger ones lose the stretch, and only the stretches of the smallest are compared window by window, where
+    one fingerprint has several kinds.
+    """
+    kinds = written(found.groupBy("fingerprint", "stretch").agg(F.min("doc_id").alias("first")), "stretch-kinds")
+    several = kinds.groupBy("fingerprint").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fingerprint")
+    narrow = found.select("fingerprint", "stretch", "doc_id", "key", "at", F.size("windows").alias("n"))
+    whole = narrow.join(kinds, ["fingerprint", "stretch"]).where("doc_id > first").select("doc_id", "key", "at", "n")
+    compared = kinds.join(several, "fingerprint", "left_semi")
+    each = found.join(compared, ["fingerprint", "stretch"]).where("doc_id = first").select("fingerprint", "doc_id", "key", "at", F.posexplode("windows").alias("k", "window"))
+    owners = each.groupBy("fingerprint", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").drop("last")
+    single = each.join(owners, ["fingerprint", "window"]).where("doc_id > owner").select("doc_id", "key", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
+    return whole.unionByName(single)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 2, with_text: bool = False) -> DataFrame:
@@ -157,24 +189,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = documents(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))  # tells rows of one doc_id apart
     marks = written(scanned(rows, window, gram), "window-marks")
+    firsts = marks.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"))
+    marks = written(marks.join(firsts, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "window-marks-led")
+    searched = marks.where("doc_id is not null and not copy and n_words >= " + str(int(window)))
     index = FingerprintIndex(spark, shared_path(spark, "fingerprint-index"))
     for batch in range(batches):
-        part = marks.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch)
+        part = searched.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch)
         index.add(part.select("doc_id", F.explode("marks").alias("fingerprint")))
     index.compact()
-    each = marks.where("doc_id is not null").select("doc_id", "key", F.explode("marks").alias("fingerprint"))
+    each = searched.select("doc_id", "key", F.explode("marks").alias("fingerprint"))
     suspects = each.join(index.shared(), "fingerprint").groupBy("doc_id", "key").agg(F.collect_set("fingerprint").alias("marks"))  # at most one document's own
     texts = written(rows.join(suspects, ["doc_id", "key"]), "window-texts")
+    places = repeated_places(written(stretches(texts, window, gram), "stretches"))
+    cuts = written(places.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "n")).alias("cuts")), "cuts")  # at most one document's own
 
-    found = written(candidate_windows(texts, window, gram), "windows")
-    owners = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").drop("last")
-    repeats = found.join(owners, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "key", "at")
-    starts = repeats.groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))  # at most one document's own windows
-    cut = cut_texts(texts.join(starts, ["doc_id", "key"]).select("doc_id", "text", "starts"), window, with_text)
-    whole = marks.join(starts.select("doc_id", "key"), ["doc_id", "key"], "left_anti").select("doc_id", *["key"] * with_text, "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    cut = cut_texts(texts.join(cuts, ["doc_id", "key"]).select("doc_id", "text", "cuts"), window, with_text)
+    others = marks.join(cuts.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
+    nothing = F.unhex(F.sha2(F.lit(""), 256))
+    whole = others.select("doc_id", "key", "copy", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(0).alias("n_removed"), F.when(F.col("copy"), nothing).otherwise(F.col("sha")).alias("kept_sha256"))
     if with_text:
-        whole = whole.join(spaced(rows.dropDuplicates(["doc_id", "key"])), ["doc_id", "key"]).drop("key")
-    return whole.unionByName(cut)
+        kept = spaced(rows.dropDuplicates(["doc_id", "key"]))
+        whole = whole.join(kept, whole.doc_id.eqNullSafe(kept.doc_id) & (whole.key == kept.key)).select(whole["*"], F.when(F.col("copy"), "").otherwise(F.col("text")).alias("text"))
+    return whole.drop("key", "copy").unionByName(cut)
 
 
 def spaced(rows: DataFrame) -> DataFrame:
@@ -184,7 +220,7 @@ def spaced(rows: DataFrame) -> DataFrame:
 
 
 def cut_texts(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """The rows of (doc_id, text, starts) without the words of the windows that begin at starts."""
+    """The rows of (doc_id, text, cuts) without the words of the windows that cuts, structs of (at, n), list."""
     from hashlib import sha256
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["text"] * with_text]
@@ -192,11 +228,10 @@ def cut_texts(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, digests, kept_texts = [], [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
+            for text, cuts in zip(batch.column("text"), batch.column("cuts"), strict=True):
                 words = words_of(text.as_py())
-                at = np.array(starts.as_py(), np.int64)
-                at = at[at <= len(words) - window]
-                edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + window, minlength=len(words) + 1)[: len(words) + 1]
+                at, n = np.array([(c["at"], c["n"]) for c in cuts.as_py()], np.int64).T
+                edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + n + window - 1, minlength=len(words) + 1)
                 keep = np.cumsum(edge)[: len(words)] == 0
                 kept = b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k)
                 counts.append(len(words))
