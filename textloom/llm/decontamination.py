@@ -109,14 +109,19 @@ def phrase_starts(phrase: tuple[bytes, ...], postings: dict[bytes, np.ndarray])
     return found
 
 
-def proximity_spans(phrase: tuple[bytes, ...], postings: dict[bytes, np.ndarray], within: int) -> list[tuple[int, int]]:
-    """(start, end) of the closest stand of all distinct terms around each position of the rarest, at most so wide."""
+def proximity_spans(phrase: tuple[bytes, ...], postings: dict[bytes, np.ndarray], within: int, starts: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the closest stand of all distinct terms around each position of the rarest, at most so wide.
+
+    starts: where the documents begin on the axis; stands do not cross them.
+    """
     lists = sorted((postings.get(w) for w in set(phrase)), key=lambda x: -1 if x is None else len(x))
     if lists[0] is None:
         return []
     spans = []
     for p in lists[0]:
-        near = [x[np.searchsorted(x, p - within + 1) : np.searchsorted(x, p + within)] for x in lists]
+        doc = int(np.searchsorted(starts, p, "right"))
+        low, high = max(p - within + 1, starts[doc - 1]), min(p + within, starts[doc] if doc < len(starts) else p + within)
+        near = [x[np.searchsorted(x, low) : np.searchsorted(x, high)] for x in lists]
         if not all(len(x) for x in near):
             continue
         places = np.concatenate(near)
@@ -180,7 +185,7 @@ def _match_block(index: DataFrame, block: list, window: int, slop: int | None, o
         for phrase, owners in shared.value.items():
             hits = [(p, p + len(phrase)) for p in phrase_starts(phrase, postings).tolist()]
             if slop is not None:
-                hits += proximity_spans(phrase, postings, len(phrase) + slop)
+                hits += proximity_spans(phrase, postings, len(phrase) + slop, start)
             for a, b in hits:
                 doc = int(np.searchsorted(start, a, "right")) - 1
                 if b - 1 < (start[doc + 1] - 1 if doc + 1 < len(start) else np.inf):
