@@ -160,6 +160,14 @@ def test_sections_items_and_scores(spark):
     assert one(spark, quality.level(F.lit(90)), quality.level(F.lit(89.9)), quality.level(F.lit(59))) == ("excellent", "good", "bad")
 
 
+def test_failing_documents_are_done_again(spark):
+    rows = spark.createDataFrame([(1, 80.0), (2, 30.0), (3, 0.0)], "doc_id long, base double")
+    got = quality.until_passed(rows, lambda d: d.withColumn("overall", F.col("base")), lambda d: d.withColumn("base", F.col("base") + 25), rounds=3)
+    assert {r.doc_id: (r.overall, r.retries) for r in got.collect()} == {1: (80.0, 0), 2: (80.0, 2), 3: (75.0, 3)}
+    assert one(spark, quality.judged_improvements({"depth": F.lit(60.0), "use": F.lit(80.0)}, words("short", "long advice")))[0] == ["raise_depth", "long advice"]
+    assert store.strategies(spark, [("zhihu", 1.0, 2.0, 9)]).where("platform = 'zhihu'").first().at_once == 9
+
+
 def test_supervision(spark):
     rows = [(1, "zhihu", "知乎", "甲", "综合知识 未知标题 未知作者 视频 内容分析 知识图谱 核心概念"), (2, "zhihu", "一个足够长的标题在此", "乙", "词 " * 400), (3, "zhihu", "一个足够长的标题在此", "未知作者", "词 " * 400)]
     got = {r.doc_id: r for r in supervise.scored(spark.createDataFrame(rows, "doc_id long, platform string, title string, author string, content string")).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -198,6 +199,37 @@ def type_improvements(content_type: Column, score: Column) -> Column:
     return F.slice(texts, F.lit(1), F.when(score < 60, 4).when(score < 80, 2).otherwise(1))
 
 
+def judged_improvements(judged: dict[str, Column], advice: Column, least: float = 75.0) -> Column:
+    """Codes of the areas that an outside judge scores under least, then its own advice of over five characters."""
+    own = kept(*[(score < least, f"raise_{name}") for name, score in judged.items()])
+    return F.concat(own, F.filter(F.coalesce(advice, F.array().cast("array<string>")), lambda a: F.length(a) > 5))
+
+
+def feedback(overall: Column, counts: dict[str, Column], content_type: Column, threshold: float = PASS_THRESHOLD) -> Column:
+    """struct(passed, score, level, priorities, actions, advice)."""
+    return F.struct(
+        (overall >= threshold).alias("passed"), overall.alias("score"), level(overall).alias("level"), priorities(counts).alias("priorities"), actions(counts).alias("actions"),
+        type_improvements(content_type, overall).alias("advice"),
+    )
+
+
+def until_passed(docs: DataFrame, assess: Callable[[DataFrame], DataFrame], regenerate: Callable[[DataFrame], DataFrame], rounds: int = 3, threshold: float = PASS_THRESHOLD) -> DataFrame:
+    """docs assessed, those under the threshold regenerated and assessed again, at most so many times; with retries.
+
+    assess adds `overall`; regenerate returns the columns that assess reads. Only what still fails is done again.
+    """
+    done, left = None, assess(docs).persist()
+    for n in range(rounds):
+        passed = left.where(F.col("overall") >= threshold).withColumn("retries", F.lit(n))
+        done = passed if done is None else done.unionByName(passed)
+        failing = left.where(F.coalesce(F.col("overall"), F.lit(0.0)) < threshold)
+        if failing.isEmpty():
+            return done
+        left = assess(regenerate(failing).select(docs.columns)).persist()
+    rest = left.withColumn("retries", F.lit(rounds))
+    return rest if done is None else done.unionByName(rest)
+
+
 def improvement_prompt(found: Column) -> Column:
     return F.array_join(found, "; ")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,6 +85,12 @@ def isolated(rows: DataFrame, work, schema: str) -> DataFrame:
 STRATEGIES = [("douyin", 6.0, 10.0, 2), ("xiaohongshu", 4.0, 7.0, 2), ("zhihu", 2.0, 4.0, 3), ("default", 3.0, 5.0, 2)]
 
 
+def strategies(spark: SparkSession, extra: list[tuple] = ()) -> DataFrame:
+    """(platform, least, most, at_once); a row of extra replaces the one of its platform."""
+    rows = {r[0]: r for r in [*STRATEGIES, *extra]}
+    return spark.createDataFrame(list(rows.values()), "platform string, least double, most double, at_once int")
+
+
 def rate_violations(rows: DataFrame, key: str, at: str, least_seconds: float, tie: str = "event_id") -> DataFrame:
     """rows with gap, the seconds since the one before of the same key, where that is under the least."""
     gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(W.partitionBy(key).orderBy(at, tie)).cast("timestamp"))) / 1e6

@@ -104,6 +104,12 @@ def summary(rows: DataFrame, good: float = 0.6) -> DataFrame:
     )
 
 
+def duplicate_groups(rows: DataFrame) -> DataFrame:
+    """(groups, documents): contents that stand in more than one row, and their rows."""
+    groups = rows.groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("documents"))
+
+
 def top_issues(rows: DataFrame, k: int = 5) -> DataFrame:
     """(rank, issue, n): the most frequent issues; names order equal counts."""
     counts = rows.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "issue").limit(k)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import api
 from textloom.functions import context, lexicons
-from textloom.functions.text import first_filled
 from textloom.operators import analysis, graph, keywords, render
 from textloom.plans import sqltext as q
 
@@ -24,7 +23,7 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.keyword_arrays(docs(spark, sf_dir), LEX)
 
 
-def flat(c) -> F.Column:
+def flat(c) -> Column:
     return F.array_join(c, "|")
 
 
@@ -339,5 +338,3 @@ def overlay(spark, sf_dir):
     poor = context.low_quality(F.col("title"), F.col("text"), terms=("the ", "keit"))
     return docs(spark, sf_dir).select("doc_id", context.overlay(F.col("title"), context.context_title(F.col("text")), poor).alias("title"))
 
-
-__all__ = ["Q", "SQL", "first_filled"]

@@ -213,6 +213,13 @@ def type_improvements(spark, sf_dir):
     return assessed(spark, sf_dir).select("doc_id", quality.improvement_prompt(quality.type_improvements(F.col("kind"), F.col("overall"))).alias("prompt"))
 
 
+@query(f"""WITH {SCORES} SELECT doc_id, overall >= 70 AS passed, CASE WHEN overall >= 90 THEN 'excellent' WHEN overall >= 80 THEN 'good' WHEN overall >= 70 THEN 'fair' WHEN overall >= 60 THEN 'poor' ELSE 'bad' END AS level,
+{q.joined(_PRI)} AS priorities FROM o""")
+def feedback_report(spark, sf_dir):
+    rows = assessed(spark, sf_dir).select("doc_id", quality.feedback(F.col("overall"), counts(), F.col("kind")).alias("f"))
+    return rows.select("doc_id", "f.passed", "f.level", F.array_join("f.priorities", "|").alias("priorities"))
+
+
 # Supervision: the source as platform, the first word as title, empty authors for one language.
 STANDARDS = supervise.Standards(
     template_terms=("the", "tion", "keit", "ción", "que", "ing", "ung", "los", "ment"), template_titles=("The", "De"), min_title=2, min_content=100, default_authors=("es",),
@@ -284,6 +291,11 @@ def quality_summary(spark, sf_dir):
     return supervise.summary(supervise.scored(supervised(spark, sf_dir), STANDARDS))
 
 
+@query("WITH g AS (SELECT count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1) SELECT count(*) AS groups, coalesce(sum(n), 0)::BIGINT AS documents FROM g")
+def duplicate_groups(spark, sf_dir):
+    return supervise.duplicate_groups(supervise.duplicates(supervised(spark, sf_dir)))
+
+
 @query(f"WITH {SUP}, x AS (SELECT unnest(issues) AS issue FROM z), c AS (SELECT issue, count(*) AS n FROM x GROUP BY issue) SELECT row_number() OVER (ORDER BY n DESC, issue) AS rank, issue, n FROM c ORDER BY n DESC, issue LIMIT 5")
 def top_issues(spark, sf_dir):
     return supervise.top_issues(supervise.scored(supervised(spark, sf_dir), STANDARDS))
