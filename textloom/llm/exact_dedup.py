@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import documents, shared_path, written
 
 SPACES = r"[\x20\x09-\x0D]+"
+#: Copies of one text that are compared with it in one go.
+GROUP_PART = 500
 
 
 def normalised(text: Column) -> Column:
@@ -90,15 +92,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         index.flush(rows.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == batch))
     index.compact()
 
-    # Byte verification of all hits against the text of the row that stays.
-    shared = index.entries().where("members > 1").select("digest", F.col("first.no_id").alias("first_no_id"), F.col("first.doc_id").alias("first_id"))
-    hits = text.join(shared, "digest")
-    first = hits.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("digest").agg(F.min("norm").alias("first_norm"))
-    other = hits.join(first, "digest").where("norm <> first_norm").select("digest").distinct()
+    # Byte verification of all hits against the text of the row that stays. Its text is repeated for each GROUP_PART
+    # members, so that the copies of one text are compared in as many tasks as their number asks for.
+    shared = index.entries().where("members > 1").select(
+        "digest", F.col("first.doc_id").alias("first_id"), F.ceil(F.col("members") / GROUP_PART).cast("int").alias("parts")
+    )
+    hits = text.join(shared, "digest").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int"))
+    hits = written(hits.select("digest", "norm", "part", "parts", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("may_stay")), "digest-hits")
+    first = hits.where("may_stay").groupBy("digest", "parts").agg(F.min("norm").alias("first_norm"))
+    first = first.select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "first_norm")
+    other = hits.join(first, ["digest", "part"]).where("norm <> first_norm").select("digest").distinct()
     other = written(other, "digest-collisions")
     joined = index.lookup(rows)
     if not other.isEmpty():
-        joined = _regrouped(joined, rows, text, other)
+        joined = _regrouped(joined, text, other)
     return joined.select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
@@ -109,7 +116,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _regrouped(joined: DataFrame, rows: DataFrame, text: DataFrame, other: DataFrame) -> DataFrame:
+def _regrouped(joined: DataFrame, text: DataFrame, other: DataFrame) -> DataFrame:
     """The rows of the digests in other grouped by their bytes instead; all others unchanged."""
     odd = text.join(other, "digest", "left_semi").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "norm", "digest", F.octet_length("norm").alias("n_bytes"))
     odd = written(odd.withColumn("row", F.monotonically_increasing_id()), "digest-regrouped")
