@@ -62,24 +62,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all_n")).alias("weight"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
-    """(host, score) after so many steps; edges are (src, dst, weight), seeds (host). Cuts the lineage every 4 steps."""
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, iterations: int | None = None, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(host, score); edges are (src, dst, weight), seeds (host). Cuts the lineage every 4 steps.
+
+    Runs until 4 steps add no more than tolerance of its own score to any host, so it also goes on while they reach new
+    hosts; or for exactly so many iterations. Scores only grow from step to step.
+    """
     base = seeds.select("host", F.lit(1 - damping).alias("score"))
-    ranks = base
-    for step in range(iterations):
+    ranks, before, step = base, base, 0
+    while iterations is None or step < iterations:
         moved = edges.join(ranks, edges.src == ranks.host).select(F.col("dst").alias("host"), (F.col("weight") * F.col("score") * damping).alias("score"))
         ranks = base.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if step % 4 == 3:
+        step += 1
+        if step % 4 == 0:
             ranks = written(ranks, "host-ranks")
+            if iterations is None:
+                both = ranks.join(before.withColumnRenamed("score", "old"), "host", "left")
+                if both.where(F.col("score") - F.coalesce("old", F.lit(0.0)) > tolerance * F.col("score")).isEmpty():
+                    break
+                before = ranks
     return ranks
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", iterations: int = 10, damping: float = 0.85, threshold: float = 0.05) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", iterations: int | None = None, damping: float = 0.85, threshold: float = 0.05) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     The longest fitting rule decides. Where none fits, a host is blocked if its distrust is over its trust and at
-    least threshold (in units of a seed's own restart weight), and allowed otherwise; so are empty hosts and hosts
-    that no link ties to a seed. A host with both allowed and blocked pages seeds both. A null url has an empty host
+    least the share threshold of both together, and allowed otherwise; so are empty hosts and hosts that no link
+    ties to a seed. The share has no absolute floor: distrust is split among all that link to a blocked host, so a
+    floor would let them pass once they are many. Both scores run until they settle, or for so many iterations. A host with both allowed and blocked pages seeds both. A null url has an empty host
     and path; null html has no links; repeated rows are each judged.
     """
     rows = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).cast("string").alias("url"), quoted(html_col).cast("string").alias("html"))
@@ -98,5 +109,5 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
         distrust = personalised_pagerank(against, seeds.where("verdict = 'block'").select("host"), iterations, damping)
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full_outer")
     scored = judged.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    by_graph = F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * (1 - damping)), "block").otherwise("allow")
+    by_graph = F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * (F.col("distrust") + F.col("trust"))), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_graph).alias("verdict"), "trust", "distrust")
