@@ -189,6 +189,7 @@ def html_meta(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", html.charset(F.col("html")).alias("charset"))
 
 
+#: Pages with images, descriptions and page state, for the tests; the queries read the table.
 SAMPLE_PAGES = [
     (1, '<meta property="og:title" content="A fine &amp; long title"><img src="a.png"><img src="b.png"><img src="a.png"><script>window._ROUTER_DATA = {"a":{"aweme_detail":{"desc":"one } two","author":{"nickname":"n"},"statistics":{"play_count":7},"video":{"duration":61000,"cover":{"url_list":["c.jpg"]}},"create_time":5}}};</script>'),
     (2, '<meta content="described" name="description"><h1>Second title</h1><script>window.__INITIAL_STATE__ = {"note":{"noteDetailMap":{"x":{"note":{"title":"t","user":{"nickname":"u"},"imageList":[{"urlDefault":"i1"}],"tagList":[{"name":"tag"}],"interactInfo":{"likedCount":"12"}}}}}};</script>'),
@@ -197,33 +198,35 @@ SAMPLE_PAGES = [
 ]
 
 
-def sample_pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SAMPLE_PAGES, "page_id bigint, html string")
+_IMG = r"""regexp_extract_all(html, '(?is)<img[^>]*\bsrc=["'']([^"'']+)["'']', 1)"""
+_META_A = r"""regexp_extract(html, '(?is)<meta[^>]*\bname=["'']description["''][^>]*\bcontent=["'']([^"'']*)["'']', 1)"""
+_META_B = r"""regexp_extract(html, '(?is)<meta[^>]*\bcontent=["'']([^"'']*)["''][^>]*\bname=["'']description["'']', 1)"""
+_META = f"CASE WHEN {_META_A} <> '' THEN {_META_A} WHEN {_META_B} <> '' THEN {_META_B} END"
 
 
-@query()
+@query(f"WITH i AS (SELECT *, {_IMG} AS found FROM pages) SELECT page_id, CASE WHEN html IS NOT NULL THEN {q.joined('list_filter(found, lambda x, i: list_position(found, x) = i)')} END AS images, {unescape(_META)} AS description FROM i")
 def html_images(spark, sf_dir):
-    rows = sample_pages(spark)
+    rows = pages(spark, sf_dir)
     return rows.select("page_id", F.array_join(html.images(F.col("html")), "|").alias("images"), html.meta(F.col("html"), "description").alias("description"))
 
 
-def _state(spark: SparkSession) -> DataFrame:
-    return sample_pages(spark).withColumn("state", html.script_json(["window._ROUTER_DATA", "window.__INITIAL_STATE__"])(F.col("html")))
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).withColumn("state", html.script_json(["window._ROUTER_DATA", "window.__INITIAL_STATE__"])(F.col("html")))
 
 
 @query()
 def html_script_json(spark, sf_dir):
-    return _state(spark).select("page_id", "state")
+    return _state(spark, sf_dir).select("page_id", "state")
 
 
 @query()
 def json_deep_find(spark, sf_dir):
-    return _state(spark).select("page_id", html.deep_find(["nickname"])(F.col("state")).alias("nickname"), html.find_with(["title", "user"], ["noteDetailMap"])(F.col("state")).alias("note"))
+    return _state(spark, sf_dir).select("page_id", html.deep_find(["nickname"])(F.col("state")).alias("nickname"), html.find_with(["title", "user"], ["noteDetailMap"])(F.col("state")).alias("note"))
 
 
 @query()
 def json_field_map(spark, sf_dir):
-    found = _state(spark).withColumn("found", html.find_with(["desc", "author"], ["aweme_detail"])(F.col("state")))
+    found = _state(spark, sf_dir).withColumn("found", html.find_with(["desc", "author"], ["aweme_detail"])(F.col("state")))
     return found.select("page_id", html.video_record(F.col("found")).alias("v")).select("page_id", "v.*")
 
 
