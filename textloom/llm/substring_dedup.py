@@ -2,8 +2,9 @@
 
 A window of W words carries as fingerprint the smallest hash of the word n-grams in it. Neighbouring windows mostly
 share it, so a document needs only a few rows, yet equal windows always have equal fingerprints. Each batch of
-documents is flushed as an immutable sorted run (fingerprint, smallest doc_id, largest doc_id); runs are merge-joined
-with a new batch and compacted. Stretches of windows whose fingerprint stands in two documents or more are then
+documents is flushed as an immutable sorted run (fingerprint, smallest doc_id, largest doc_id) and runs are compacted.
+A WindowIndex keeps the window hashes of earlier calls too, so that a later batch is joined with its runs and verified
+against them without the old texts. Stretches of windows whose fingerprint stands in two documents or more are then
 verified by a hash of all their words: a stretch that is the same in a smaller document goes as a whole; where
 stretches of one fingerprint differ, the windows of one stretch of each kind are compared one by one. Documents that
 are copies of a smaller one as a whole are settled first.
@@ -115,6 +116,43 @@ class FingerprintIndex:
         return path
 
 
+class WindowIndex:
+    """Immutable sorted runs of (fingerprint, window, first): the smallest doc_id that holds a window of this hash."""
+
+    def __init__(self, spark: SparkSession, path: str, fan_in: int = 4, runs: list[str] | None = None):
+        self.spark, self.path, self.fan_in = spark, path, fan_in
+        self.runs = list(runs or [])
+        self.made = len(self.runs)
+
+    def add(self, windows: DataFrame) -> None:
+        """Flush (fingerprint, window, doc_id) rows as a run; compact once there are fan_in runs."""
+        self.runs.append(self._run(windows.groupBy("fingerprint", "window").agg(F.min("doc_id").alias("first"))))
+        if len(self.runs) >= self.fan_in:
+            self.runs = [self._run(self._all().groupBy("fingerprint", "window").agg(F.min("first").alias("first")))]
+
+    def known(self, marks: DataFrame) -> DataFrame:
+        """The distinct fingerprints of (fingerprint) rows that stand in a run."""
+        return marks.select("fingerprint").distinct().join(self._all(), "fingerprint", "left_semi")
+
+    def repeated(self, found: DataFrame) -> DataFrame:
+        """(doc_id, key, at, n): the windows in found, the table of stretches(), that a smaller document of a run holds."""
+        each = found.select("fingerprint", "doc_id", "key", "at", F.posexplode("windows").alias("k", "window"))
+        hits = each.join(self._all(), ["fingerprint", "window"]).where("doc_id > first")
+        return hits.select("doc_id", "key", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
+
+    def _all(self) -> DataFrame:
+        rows = self.spark.createDataFrame([], "fingerprint long, window long, first long")
+        for run in self.runs:
+            rows = rows.unionByName(self.spark.read.parquet(run))
+        return rows
+
+    def _run(self, entries: DataFrame) -> str:
+        path = f"{self.path}/run-{self.made:06d}"
+        self.made += 1
+        entries.sortWithinPartitions("fingerprint", "window").write.mode("errorifexists").parquet(path)
+        return path
+
+
 def scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc_id, key, n_words, sha of all words, marks: the distinct fingerprints of a document's windows)."""
     from hashlib import sha256
@@ -179,12 +217,14 @@ def repeated_places(found: DataFrame) -> DataFrame:
     return whole.unionByName(single)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 2, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 2, with_text: bool = False, history: WindowIndex | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 binary; with_text adds the kept text.
 
     A word goes if a window of so many words covers it whose words also start somewhere in a document with a smaller
     doc_id. Windows are judged on the input. Texts shorter than a window, empty or null lose nothing; null ids are
     neither searched nor removed from. Rows that repeat a doc_id count as one owner, so they do not remove each other.
+    With history, the documents of earlier calls with it count as well, and the windows of docs are added to it; what
+    earlier calls returned does not change. history needs the same window and gram in all calls.
     """
     spark = docs.sparkSession
     rows = documents(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))  # tells rows of one doc_id apart
@@ -198,9 +238,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         index.add(part.select("doc_id", F.explode("marks").alias("fingerprint")))
     index.compact()
     each = searched.select("doc_id", "key", F.explode("marks").alias("fingerprint"))
-    suspects = each.join(index.shared(), "fingerprint").groupBy("doc_id", "key").agg(F.collect_set("fingerprint").alias("marks"))  # at most one document's own
+    shared = index.shared() if history is None else written(index.shared().union(history.known(each)).distinct(), "known-marks")
+    suspects = each.join(shared, "fingerprint").groupBy("doc_id", "key").agg(F.collect_set("fingerprint").alias("marks"))  # at most one document's own
     texts = written(rows.join(suspects, ["doc_id", "key"]), "window-texts")
-    places = repeated_places(written(stretches(texts, window, gram), "stretches"))
+    found = written(stretches(texts, window, gram), "stretches")
+    places = repeated_places(found)
+    if history is not None:
+        places = written(places.unionByName(history.repeated(found)), "places")
+        every = stretches(rows.join(searched.select("doc_id", "key", "marks"), ["doc_id", "key"]), window, gram)
+        history.add(every.select("fingerprint", "doc_id", F.explode("windows").alias("window")))
     cuts = written(places.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "n")).alias("cuts")), "cuts")  # at most one document's own
 
     cut = cut_texts(texts.join(cuts, ["doc_id", "key"]).select("doc_id", "text", "cuts"), window, with_text)
