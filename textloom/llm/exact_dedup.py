@@ -1,7 +1,8 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
 Batches are aggregated to one entry per digest (the memtable) and flushed as immutable runs: Parquet sorted by
-digest within each partition, with a Bloom filter on the digest. Compaction merges runs and keeps the smallest
+digest within each partition, with a Bloom filter on the digest for readers that push down equality; the joins here
+read whole runs and do not use it. Compaction merges runs and keeps the smallest
 identifier of a digest. Rows that share a digest are verified byte by byte before they count as equal.
 """
 
