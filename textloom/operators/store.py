@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import shared_path
+
+
+def _dealt(rows: DataFrame, tag: str, *order: str) -> DataFrame:
+    """rows in ranges of order, with the number of the range as _part. Written once, so that all uses see the same ranges."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    path = shared_path(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
 
 def valid(entries: DataFrame, now: Column, ttl: str, at: str = "cached_at") -> DataFrame:
     """Entries no older than ttl at now; an age of exactly ttl is valid."""
@@ -33,12 +44,18 @@ def misses(requests: DataFrame, entries: DataFrame, key: str = "url_hash") -> Da
 def evicted(entries: DataFrame, cap: int, size: str = "file_size", at: str = "cached_at", tie: str = "event_id") -> DataFrame:
     """The entries left: where all sizes exceed cap, the oldest quarter (at least one) goes.
 
-    The boundary is the greatest (at, tie) among the oldest quarter, found by a sort limited to the quarter's size.
+    The boundary is the greatest (at, tie) among the oldest quarter, found inside one
+    of many ranges of (at, tie), which the counts of the ranges tell.
     """
     total = entries.agg(F.sum(size).alias("all_size"), F.count("*").alias("n")).first()
     if not total.n or total.all_size <= cap:
         return entries
-    go = entries.select(at, tie).orderBy(at, tie).limit(max(1, total.n // 4)).agg(F.max(F.struct(at, tie)).alias("edge"))
+    keys, left = _dealt(entries.select(at, tie), "evicted", at, tie), max(1, total.n // 4)
+    for part, n in sorted(tuple(r) for r in keys.groupBy("_part").count().collect()):  # a row for each range
+        if left <= n:
+            break
+        left -= n
+    go = keys.where(F.col("_part") == part).orderBy(at, tie).limit(left).agg(F.max(F.struct(at, tie)).alias("edge"))
     return entries.crossJoin(F.broadcast(go)).where(F.struct(at, tie) > F.col("edge")).drop("edge")  # one row is broadcast
 
 
@@ -48,8 +65,19 @@ def stats(entries: DataFrame, now: Column, ttl: str, size: str = "file_size", at
 
 
 def chunked(rows: DataFrame, size: int = 5, order: tuple[str, ...] = ("ts", "event_id"), by: str = "user_id") -> DataFrame:
-    """rows with batch, numbered from 1 within each value of by, in order."""
-    return rows.withColumn("batch", F.expr("cast((rn - 1) div %d as bigint) + 1" % size) if "rn" in rows.columns else F.floor((F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1) / size) + 1)
+    """rows with batch, numbered from 1 within each value of by, in order.
+
+    Rows are numbered inside ranges of (by, order); a range goes on from the rows that earlier ones hold of its first by.
+    """
+    if "rn" in rows.columns:
+        return rows.withColumn("batch", F.expr("cast((rn - 1) div %d as bigint) + 1" % size))
+    dealt = _dealt(rows, "chunked", by, *order)
+    earlier = W.partitionBy("_by").orderBy("_in").rowsBetween(W.unboundedPreceding, -1)  # over one row for each range
+    counts = dealt.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_in")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before is not null").drop("_n")
+    rn = F.row_number().over(W.partitionBy("_part", by).orderBy(*order)) + F.coalesce("_before", F.lit(0))
+    dealt = dealt.join(F.broadcast(before), (F.col("_part") == F.col("_in")) & F.col(by).eqNullSafe(F.col("_by")), "left")  # one row a range at most
+    return dealt.withColumn("batch", F.floor((rn - 1) / size) + 1).select(*rows.columns, "batch")
 
 
 def batch_stats(results: DataFrame, ok: Column) -> DataFrame:
@@ -92,9 +120,18 @@ def strategies(spark: SparkSession, extra: list[tuple] = ()) -> DataFrame:
 
 
 def rate_violations(rows: DataFrame, key: str, at: str, least_seconds: float, tie: str = "event_id") -> DataFrame:
-    """rows with gap, the seconds since the one before of the same key, where that is under the least."""
-    gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(W.partitionBy(key).orderBy(at, tie)).cast("timestamp"))) / 1e6
-    return rows.withColumn("gap", gap).where(F.col("gap") < least_seconds)
+    """rows with gap, the seconds since the one before of the same key, where that is under the least.
+
+    Gaps are taken inside ranges of (key, at, tie); a range's first row looks at the last one of its key in the ranges before.
+    """
+    dealt = _dealt(rows, "gaps", key, at, tie)
+    lasts = dealt.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_in")).agg(F.max_by(at, F.struct(at, tie)).alias("_last"))
+    lasts = lasts.withColumn("_last", F.lag("_last").over(W.partitionBy("_key").orderBy("_in"))).where("_last is not null")  # over one row for each range
+    dealt = dealt.join(F.broadcast(lasts), (F.col("_part") == F.col("_in")) & F.col(key).eqNullSafe(F.col("_key")), "left")  # one row a range at most
+    inside = W.partitionBy("_part", key).orderBy(at, tie)
+    previous = F.when(F.row_number().over(inside) == 1, F.col("_last")).otherwise(F.lag(at).over(inside))
+    gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(previous.cast("timestamp"))) / 1e6
+    return dealt.withColumn("gap", gap).where(F.col("gap") < least_seconds).select(*rows.columns, "gap")
 
 
 def coerced(value: Column) -> Column:
