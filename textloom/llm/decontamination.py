@@ -26,6 +26,8 @@ WINDOW = 10
 SEGMENT_WORDS = 1_000_000
 #: Benchmark items searched at once; larger benchmarks take several passes over the postings of their terms.
 BLOCK_ITEMS = 2000
+#: Words of the benchmark that are searched in one pass.
+BLOCK_WORDS = 200_000
 INDEX = "segment string, doc_no int, doc_id long, n_words int, start int, term binary, positions binary"
 
 
@@ -94,6 +96,12 @@ def windows_of(words: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ..
     return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
 
 
+def pieces_of(words: list[bytes], window: int, most: int) -> list[list[bytes]]:
+    """words in pieces of at most so many (a window at least) that together have the windows of the whole."""
+    most = max(most, window)
+    return [words[i : i + most] for i in range(0, max(1, len(words) - window + 1), most - window + 1)]
+
+
 def phrase_starts(phrase: tuple[bytes, ...], postings: dict[bytes, np.ndarray]) -> np.ndarray:
     """Positions at which the phrase stands: offset-adjusted lists intersected from the shortest on."""
     lists = sorted(((postings.get(w), k) for k, w in enumerate(phrase)), key=lambda x: -1 if x[0] is None else len(x[0]))
@@ -140,39 +148,49 @@ def proximity_spans(phrase: tuple[bytes, ...], postings: dict[bytes, np.ndarray]
     return sorted(set(spans))
 
 
-def find_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int | None = None, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and item that match: segment, doc_no, item_id string, spans array<struct<start, end>>.
 
     spans are word positions in the document, end exclusive, merged where they touch. With slop, a window also matches
     where all its distinct terms stand within its length plus slop words, in any order. The benchmark is taken in
-    blocks of block_items items, so what a task is given stays bounded however large the benchmark is.
+    blocks of block_items items and block_words words at most, so what a task is given stays bounded however large the
+    benchmark is. An item of more words is taken in pieces that overlap by a window less one word, so all its windows
+    are searched; its spans are put together again. Each block is a pass over the postings of its words.
     """
     out = "segment string, doc_no int, item_id string, spans array<struct<start: int, `end`: int>>"
     spark = index.sparkSession
     items = benchmark.select(quoted(item_col).cast("string").alias("item_id"), quoted(text_col).cast("string").alias("text")).where("text is not null")
     found = spark.createDataFrame([], out)
     block: list = []
+    held, split = 0, False
     rows = items.toLocalIterator()  # one partition of the benchmark at a time; the corpus never passes here
     while True:
         row = next(rows, None)
-        if row is not None:
-            block.append((row.item_id, row.text))
-        if block and (row is None or len(block) >= block_items):
-            found = found.unionByName(_match_block(index, block, window, slop, out))
-            block = []
+        pieces = [] if row is None else pieces_of(words_of(row.text), window, block_words)
+        split |= len(pieces) > 1
+        for words in pieces:
+            if block and (len(block) >= block_items or held + len(words) > block_words):
+                found, block, held = found.unionByName(_match_block(index, block, window, slop, out)), [], 0
+            block.append((row.item_id, words))
+            held += len(words)
         if row is None:
-            return found
+            if block:
+                found = found.unionByName(_match_block(index, block, window, slop, out))
+            break
+    if split:
+        found = found.groupBy("segment", "doc_no", "item_id").agg(joined_spans(F.flatten(F.collect_list("spans"))).alias("spans"))  # one document's own
+    return found
 
 
 def _match_block(index: DataFrame, block: list, window: int, slop: int | None, out: str) -> DataFrame:
     phrases: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in block:
-        for w in windows_of(words_of(text), window):
+    for item, words in block:
+        for w in windows_of(words, window):
             phrases.setdefault(w, set()).add(item)
     phrases = {w: sorted(i, key=str) for w, i in phrases.items()}
     spark = index.sparkSession
     terms = spark.createDataFrame([(t,) for t in {t for w in phrases for t in w}], "term binary")
-    shared = spark.sparkContext.broadcast(phrases)  # at most block_items items
+    shared = spark.sparkContext.broadcast(phrases)  # at most block_items items and block_words words
     starts = index.where("term is null").select("segment", "doc_no", "start", "term", "positions")
     lists = index.where("term is not null").select("segment", "doc_no", "start", "term", "positions").join(F.broadcast(terms), "term", "left_semi")
 
@@ -209,6 +227,12 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def joined_spans(spans: pd.Series) -> pd.Series:
+    """The spans of the parts of one item, merged where they touch."""
+    return spans.map(lambda x: [{"start": a, "end": b} for a, b in merged_spans([(s["start"], s["end"]) for s in x])])
+
+
 @F.pandas_udf(T.IntegerType())
 def covered(spans: pd.Series) -> pd.Series:
     """Positions in the union of the spans."""
