@@ -1,8 +1,10 @@
 """Toxicity classifier with counterfactual regularisation.
 
-A logistic model over the presence of words and word beginnings. For each training text that mentions a group of
-people, a counterfactual text is made in which the mention is swapped for another of the same kind, and the squared
-change of the score between both is part of the loss, so the mention itself carries no weight.
+A logistic model over the presence of words and word beginnings. Counterfactuals of each training text are made by
+swapping mentions of groups of people, and the squared change of the score between text and counterfactual is part of the
+loss, so the mention itself carries no weight. Texts that mention a group are swapped as they stand. Labelled corpora
+may hold few such texts, so every text also gets a neutral mention chosen by its id, which is swapped within its kind, for
+one of another kind and for none; half of the texts are fitted with that mention in place, label unchanged.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,40 +70,53 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, l2: float = 1e-4, penalty: float = 1.0, steps: int = 800) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent; swapped holds x minus its counterfactual, row by row.
+def objective(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, gram: np.ndarray, shrink: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """The loss and its gradient. gram: the mean outer product of the changes, so w gram w is the mean squared change."""
+    z = np.clip(x @ w, -30, 30)
+    pulled = gram @ w
+    value = float(weight @ (np.logaddexp(0, z) - y * z) + penalty * (w @ pulled) + (shrink * w) @ w / 2)
+    return value, x.T @ (weight * (1 / (1 + np.exp(-z)) - y)) + 2 * penalty * pulled + shrink * w
+
+
+def fit_gram(x: np.ndarray, y: np.ndarray, gram: np.ndarray, l2: float = 1e-4, penalty: float = 1.0, steps: int = 800) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated gradient descent on objective().
 
     Both classes weigh the same, however many rows each has.
     """
     weight = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, len(y) - y.sum())).astype(np.float32)
     x, y = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1), y.astype(np.float32)  # the last column is the bias
-    swapped = np.concatenate([swapped, np.zeros((len(swapped), 1), np.float32)], 1).astype(np.float32)
+    gram = np.pad(gram, (0, 1)).astype(np.float32)
     shrink = np.full(x.shape[1], l2, np.float32)
     shrink[-1] = 0
-    pull = 2 * penalty / max(1, len(swapped))
     # The step follows from the largest curvature, found by power iteration.
     v = np.ones(x.shape[1], np.float32)
     for _ in range(30):
-        v = 0.25 * (x.T @ (weight * (x @ v))) + pull * (swapped.T @ (swapped @ v)) + shrink * v
+        v = 0.25 * (x.T @ (weight * (x @ v))) + 2 * np.float32(penalty) * (gram @ v) + shrink * v
         top = float(np.linalg.norm(v))
         v = v / top
     w = ahead = np.zeros(x.shape[1], np.float32)
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + pull * (swapped.T @ (swapped @ ahead)) + shrink * ahead
+        _, gradient = objective(ahead, x, y, weight, gram, shrink, np.float32(penalty))
         last, w = w, ahead - gradient / np.float32(1.05 * top)
         ahead = w + np.float32(k / (k + 3)) * (w - last)
-    w, b = w[:-1], float(w[-1])
-    return w, b
+    return w[:-1], float(w[-1])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, l2: float = 1e-4, penalty: float = 1.0, steps: int = 800) -> tuple[np.ndarray, float]:
+    """fit_gram() for rows of changes: swapped holds x minus its counterfactual."""
+    return fit_gram(x, y, swapped.T @ swapped / max(1, len(swapped)), l2, penalty, steps)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", terms=IDENTITY_TERMS, per_class: int = SAMPLE_PER_CLASS, penalty: float = 1.0) -> ToxicityModel:
     """The model fitted on the rows of docs that labels marks 0 or 1; other labels and null texts are left out.
 
     About per_class rows of each class are used, chosen by a hash of the id; their features come to the driver, which
-    holds a matrix of at most that many rows and FEATURES columns. Without rows of both classes the model scores every
-    text with the share of positive labels (0.5 if there are none).
+    holds a matrix of at most that many rows and FEATURES columns beside those of terms. Without rows of both classes
+    the model scores every text with the share of positive labels (0.5 if there are none). ValueError for a penalty
+    without terms, as its part of the loss would be empty.
     """
+    if penalty and not any(len(kind) > 1 for kind in terms):
+        raise ValueError("a counterfactual penalty needs kinds of two terms or more")
     marks = labels.select(quoted(label_id_col).cast("long").alias("doc_id"), quoted(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     counts = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
@@ -113,21 +129,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     classes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(classes) < 2:
         return ToxicityModel({}, float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
-    names = _best_features(sample, classes)
-    rows = sorted(((r.doc_id, r.y, r.own, r.swapped) for r in _as_columns(sample, names, swaps(terms)).collect()), key=lambda r: r[:3])
-    y = np.array([r[1] for r in rows], float)
-    x = np.zeros((len(rows), len(names)), np.float32)
-    change = []
-    for i, (_, _, own, swapped) in enumerate(rows):
-        x[i, own] = 1
-        if swapped is not None:
-            other = np.zeros(len(names), np.float32)
-            other[swapped] = 1
-            change.append(x[i] - other)
-    w, b = fit_logistic(x, y, np.array(change, np.float32).reshape(len(change), len(names)), penalty=penalty)
+    names = sorted({*_best_features(sample, classes), *(t.encode() for kind in terms for t in kind)})
+    x, y, gram = training_rows(sample, names, terms)
+    w, b = fit_gram(x, y, gram, penalty=penalty)
     return ToxicityModel({f: float(v) for f, v in zip(names, w, strict=True) if v}, float(b))
 
 
+def training_rows(sample: DataFrame, names: list[bytes], terms=IDENTITY_TERMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and labels of (doc_id, y, text), and the mean outer product of all changes under swaps."""
+    rows = sorted(_as_columns(sample, names, terms).collect(), key=lambda r: (r.doc_id, r.y, r.own))
+    x, y = np.zeros((len(rows), len(names)), np.float32), np.array([r.y for r in rows], float)
+    gram, changes = np.zeros((len(names), len(names)), np.float32), 0
+    for i, r in enumerate(rows):
+        own, here = set(r.own), set(r.mention) - set(r.own)
+        x[i, r.own] = 1
+        if r.doc_id % 2:
+            x[i, list(here)] = 1
+        pairs = [(here, set(other) - own) for other in (r.near, r.far, [])]
+        if r.swapped is not None:
+            pairs.append((own - set(r.swapped), set(r.swapped) - own))
+        for a, b in pairs:
+            more, less = sorted(a - b), sorted(b - a)
+            value = np.array([1.0] * len(more) + [-1.0] * len(less), np.float32)
+            gram[np.ix_(more + less, more + less)] += np.outer(value, value)
+            changes += 1
+    return x, y, gram / max(1, changes)
+
+
 def _best_features(sample: DataFrame, classes: dict[int, int]) -> list[bytes]:
     """The FEATURES features of the largest chi-square, counted on the executors."""
 
@@ -144,24 +172,35 @@ def _best_features(sample: DataFrame, classes: dict[int, int]) -> list[bytes]:
     return sorted(bytes(r.feature) for r in best.select("feature").collect())
 
 
-def _as_columns(sample: DataFrame, names: list[bytes], swap: dict[bytes, bytes]) -> DataFrame:
-    """doc_id, y, own and swapped: the numbers of a text's features and of its counterfactual's (null without a mention)."""
-    column = {f: k for k, f in enumerate(names)}
+def _as_columns(sample: DataFrame, names: list[bytes], terms) -> DataFrame:
+    """doc_id, y and numbers of features: own, those of the text with its mentions swapped (null without any), those of a
+    mention chosen by the id, of the next of its kind (near) and of one of another kind (far)."""
+    column, swap = {f: k for k, f in enumerate(names)}, swaps(terms)
+    flat = [(k, t.encode()) for k, kind in enumerate(terms) for t in kind]
+    fields = ("own", "swapped", "mention", "near", "far")
 
-    def numbers(words: set[bytes]) -> list[int]:
+    def numbers(words) -> list[int]:
         return sorted({column[f] for w in words for f in features_of_word(w) if f in column})
 
+    def mentions(doc_id: int) -> list[list[int]]:
+        if not flat:
+            return [[], [], []]
+        h = xxhash.xxh3_64_intdigest(str(doc_id).encode())
+        kind, term = flat[h % len(flat)]
+        others = [t for k, t in flat if k != kind] or [term]
+        return [numbers([t]) for t in (term, swap[term], others[h // len(flat) % len(others)])]
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, swapped = [], []
-            for text in batch.column("text"):
+            made = []
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 words = words_of(text.as_py())
-                own.append(numbers(words))
-                swapped.append(None if swap.keys().isdisjoint(words) else numbers({swap.get(w, w) for w in words}))
-            kind = pa.list_(pa.int32())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(own, kind), pa.array(swapped, kind)], ["doc_id", "y", "own", "swapped"])
+                swapped = None if swap.keys().isdisjoint(words) else numbers({swap.get(w, w) for w in words})
+                made.append((numbers(words), swapped, *mentions(doc_id.as_py())))
+            lists = [pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in range(len(fields))]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("y"), *lists], ["doc_id", "y", *fields])
 
-    return sample.select("doc_id", "y", "text").mapInArrow(gather, "doc_id long, y int, own array<int>, swapped array<int>")
+    return sample.select("doc_id", "y", "text").mapInArrow(gather, "doc_id long, y int, " + ", ".join(f"{f} array<int>" for f in fields))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
