@@ -1,10 +1,10 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
 import pytest
+from public_tokenizers import path as tokenizer
 from pyspark.sql import functions as F
 
 from textloom.llm import decontamination, exact_dedup, language_id, near_dup, segmentation, sharding, substring_dedup, token_counts, toxicity, url_filter
-from textloom.llm.queries import TOKENIZERS
 
 LONG = "the quick brown fox " * 12_000
 ROWS = [(1, "one two three"), (2, None), (3, ""), (None, "one two three"), (4, LONG), (5, "one two three"), (5, "one two three"), (6, "   \n\t "), (7, "żółć 日本語 👍🏽"), (8, LONG), (None, None)]
@@ -27,7 +27,7 @@ def ops(spark):
     return {
         "shards": sharding.prefix_sum_shards,
         "exact": exact_dedup.exact_dedup,
-        "tokens": lambda d: token_counts.count_tokens(d, f"{TOKENIZERS}/word_bpe_49k.json"),
+        "tokens": lambda d: token_counts.count_tokens(d, tokenizer("word_bpe_49k.json")),
         "decontamination": lambda d: decontamination.contamination(d, bench),
         "near": near_dup.near_duplicates,
         "repeats": substring_dedup.remove_repeats,
@@ -82,11 +82,11 @@ def test_contamination_of_edges(spark):
 
 
 def test_segmentation_of_edges(spark):
-    got = segmentation.sample_segmentations(frame(spark, [r for r in ROWS if r[1] is None or len(r[1]) < 100]), f"{TOKENIZERS}/piece_bpe_32k.model", k=3).collect()
+    got = segmentation.sample_segmentations(frame(spark, ROWS), tokenizer("piece_bpe_32k.model"), k=3).collect()
     assert all(r.decoded for r in got)
     of = lambda i: [(r["rank"], r.n_pieces) for r in got if r.doc_id == i]
-    assert of(2) == of(3) == [(1, 0)] and len(of(1)) == 3 and len(of(5)) == 6
-    assert segmentation.sample_segmentations(frame(spark, []), f"{TOKENIZERS}/piece_bpe_32k.model").collect() == []
+    assert of(2) == of(3) == [(1, 0)] and len(of(1)) == 3 and len(of(5)) == 6 and len(of(4)) == len(of(8)) == 3
+    assert segmentation.sample_segmentations(frame(spark, []), tokenizer("piece_bpe_32k.model")).collect() == []
 
 
 def test_urls_of_edges(spark):

@@ -8,10 +8,10 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from public_tokenizers import path as tokenizer
 from pyspark.sql import functions as F
 
 from textloom.llm import decontamination, exact_dedup, language_id, near_dup, segmentation, sharding, substring_dedup, token_counts, toxicity, url_filter
-from textloom.llm.queries import TOKENIZERS
 
 DATA = "/root/testdata/sf0.001"
 
@@ -57,7 +57,7 @@ def test_all_segmentations_when_k_is_large():
 
 def test_round_trip_and_seed(spark):
     docs = spark.createDataFrame([(i, t) for i, t in texts()[:40]] + [(900, "é▁x  y\n 日本👍"), (901, " lead"), (902, "trail ")], "doc_id long, text string")
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = tokenizer("piece_bpe_32k.model")
     rows = segmentation.sample_segmentations(docs, model, k=2)
     got = segmentation.decode_pieces(rows, model).join(docs, "doc_id").collect()
     assert got and all(r.decoded and r.decoded_text == r.text.replace("▁", " ") for r in got)
@@ -184,7 +184,7 @@ def test_digest_index_flush_compact_lookup(spark, tmp_path):
 def test_counts_equal_the_library():
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = tokenizer("word_bpe_49k.json")
     library, own = Tokenizer.from_file(path), token_counts.PairRanks(path, remembered=500)
     odd = ["", "  ", "<|endoftext|> hi<|startoftext|>", "I'll don't WE'VE 12345 ½ ΣΑΣ ΟΔΟΣ", "é café \x1c a\x1db", "日本語 👍🏽  x\x85y\xa0z", "a" * 3000, "﻿x İstanbul ǅ ß", "x'S 'Sx ''s"]
     every = [t for _, t in texts()] + odd

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontamination, exact_dedup, language_id, near_dup, segmentation, sharding, substring_dedup, token_counts, toxicity, url_filter
 from textloom.llm.common import id_remainder, table
 
-#: Folder of the public tokenizers' files; a setting, so that clusters can keep them elsewhere.
-TOKENIZERS_CONF, TOKENIZERS = "textloom.tokenizers.dir", "/opt/tokenizers"
+#: Folder of the public tokenizers' files on every node, where it is not that of the installed package.
+TOKENIZERS_CONF = "textloom.tokenizers.dir"
 RULES = [
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
@@ -22,11 +23,12 @@ RULES = [
 
 
 def tokenizer(spark: SparkSession, name: str) -> str:
-    return spark.conf.get(TOKENIZERS_CONF, TOKENIZERS).rstrip("/") + "/" + name
+    folder = spark.conf.get(TOKENIZERS_CONF, None)
+    return f"{folder.rstrip('/')}/{name}" if folder else public_tokenizers.path(name)
 
 
 def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer(spark, "piece_bpe_32k.model"), k=2, with_ids=False)
+    return segmentation.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer(spark, "piece_bpe_32k.model"), k=2)
 
 
 def op2_prefix_sum_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,8 +188,13 @@ class Pieces:
         per_node = np.zeros(n_chars + len(chunks), np.int64)
         per_node[char_node] = arcs_at
         begin = np.concatenate([[0], np.cumsum(per_node)])
-        p = np.cumsum(np.exp(log_p))
-        cumulative = p - np.concatenate([[0.0], p])[begin_char[:-1]][src]
+        # Summed arc by arc within each node, so that a node's sums do not depend on what else is in the block.
+        cumulative = np.exp(log_p)
+        k, nodes = 1, np.flatnonzero(arcs_at > 1)
+        while len(nodes):
+            at = begin_char[nodes] + k
+            cumulative[at] += cumulative[at - 1]
+            k, nodes = k + 1, nodes[arcs_at[nodes] > k + 1]
         cumulative[begin_char[1:] - 1] = 1.0
         return Lattice(first, last, begin, to, piece, log_p, cumulative)
 
@@ -326,8 +331,9 @@ def _split(lattice: Lattice, popped: list, rest: list, frontier: list, bases: np
     arcs = np.concatenate([rest[i] for i in full])
     begin = np.concatenate([[0], np.cumsum(lengths)])
     log_p = lattice.log_p[arcs]
-    before = np.cumsum(log_p) - log_p
-    before -= np.repeat(before[begin[:-1]], lengths)
+    before = np.empty(len(arcs))
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):  # per text, so that a text's sums are its own
+        before[a:b] = np.cumsum(log_p[a:b]) - log_p[a:b]
     left = -np.expm1(log_p)
     for i, at in zip(full.tolist(), begin[:-1].tolist(), strict=True):
         _, _, prefix, _, node, taken = popped[i]
