@@ -1,15 +1,20 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
-Batches are aggregated to one entry per digest (the memtable) and flushed as immutable runs: Parquet sorted by
-digest within each partition, with a Bloom filter on the digest for readers that push down equality; the joins here
-read whole runs and do not use it. Compaction merges runs and keeps the smallest
-identifier of a digest. Rows that share a digest are verified byte by byte before they count as equal.
+Batches are aggregated to one entry per digest (the memtable) and flushed as immutable runs: Parquet sorted by digest
+within each partition, and beside it a filter, a bit field of fixed size. A batch is probed against the filter of each
+earlier run; only digests that pass are looked up in the run, and a run that none passes is not read. Compaction merges
+runs once there are fan_in and keeps the smallest identifier of a digest. Rows that share a digest are hits; only the
+texts of hits are gathered, and verified byte by byte before they count as equal.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +23,11 @@ from textloom.llm.common import documents, shared_path, written
 SPACES = r"[\x20\x09-\x0D]+"
 #: Copies of one text that are compared with it in one go.
 GROUP_PART = 500
+#: Bits of a filter. It is broadcast, so its size is fixed; fuller filters pass more that the lookup then finds absent.
+FILTER_BITS = 1 << 26
+#: Filters are built in so many parts, each in a task of its own.
+FILTER_PARTS = 64
+ENTRIES = "digest binary, first struct<no_id: boolean, doc_id: bigint, row: bigint>, members bigint"
 
 
 def normalised(text: Column) -> Column:
@@ -29,20 +39,74 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _places(h: Column, bits: int) -> list[Column]:
+    """Two bits of a 64-bit hash."""
+    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 29), F.lit(bits))]
+
+
+def filter_table(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(part, bits): the bits set for the digests of keys, eight a byte, cut into FILTER_PARTS parts; parts without any are left out.
+
+    Bits go to the task of their part, so what is shuffled grows with keys, and a task holds its parts only.
+    """
+    part = bits // FILTER_PARTS
+
+    def set_bits(batches):
+        fields: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            for k in np.unique(at // part).tolist():
+                if k not in fields:
+                    fields[k] = np.zeros(part, bool)
+                fields[k][at[at // part == k] - k * part] = True
+        if fields:
+            yield pa.record_batch([pa.array(list(fields), pa.int32()), pa.array([np.packbits(f).tobytes() for f in fields.values()], pa.binary())], ["part", "bits"])
+
+    places = keys.select(F.explode(F.array(*_places(F.xxhash64("digest"), bits))).alias("at"))
+    return places.repartition(F.floor(F.col("at") / part)).mapInArrow(set_bits, "part int, bits binary")
+
+
+def filter_field(table: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The parts of filter_table() put together: bits / 8 bytes, and nothing else comes to the driver."""
+    field = np.zeros((FILTER_PARTS, bits // FILTER_PARTS // 8), np.uint8)
+    for row in table.collect():
+        field[row.part] = np.frombuffer(row.bits, np.uint8)
+    return field.ravel()
+
+
+def may_hold(digest: Column, field: np.ndarray, spark: SparkSession) -> Column:
+    """Whether the filter passes a digest."""
+    shared = spark.sparkContext.broadcast(field)  # a fixed size: FILTER_BITS / 8 bytes
+
+    @F.pandas_udf("boolean")
+    def passes(a: pd.Series, b: pd.Series) -> pd.Series:
+        hit = [(shared.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 for x in (a.to_numpy(np.int64), b.to_numpy(np.int64))]
+        return pd.Series((hit[0] & hit[1]).astype(bool))
+
+    return passes(*_places(F.xxhash64(digest), len(field) * 8))
+
+
 class DigestIndex:
-    """Sorted runs of (digest, first, members); first is the smallest (no_id, doc_id, row) of the members."""
+    """Sorted runs of (digest, first, members); first is the smallest (no_id, doc_id, row) of the members.
 
-    def __init__(self, spark: SparkSession, path: str, fan_in: int = 4, runs: list[str] | None = None):
-        self.spark, self.path, self.fan_in = spark, path, fan_in
-        self.runs = list(runs or [])
-        self.made = len(self.runs)
+    Each run has its filter in a table beside it, so an index is loaded again from the paths of its runs, with the same
+    bits. More bits suit runs of more than some ten million digests, as each executor holds the filters of fan_in runs.
+    """
 
-    def flush(self, rows: DataFrame) -> None:
-        """Add a batch of (digest, no_id, doc_id, row) as a run, then compact if there are fan_in runs."""
-        entries = rows.groupBy("digest").agg(F.min(F.struct("no_id", "doc_id", "row")).alias("first"), F.count("*").alias("members"))
-        self.runs.append(self._run(entries))
+    def __init__(self, spark: SparkSession, path: str, fan_in: int = 4, runs: list[str] | None = None, bits: int = FILTER_BITS):
+        self.spark, self.path, self.fan_in, self.bits = spark, path, fan_in, bits
+        self.runs = list(runs or [])
+        self.filters: dict[str, np.ndarray] = {}
+        #: Runs that lookups read, and runs that their filters spared them.
+        self.read = self.skipped = 0
+
+    def flush(self, rows: DataFrame) -> str:
+        """Add a batch of (digest, no_id, doc_id, row) as a run, then compact if there are fan_in runs; the batch's run."""
+        run = self._run(rows.groupBy("digest").agg(F.min(F.struct("no_id", "doc_id", "row")).alias("first"), F.count("*").alias("members")))
+        self.runs.append(run)
         if len(self.runs) >= self.fan_in:
             self.compact()
+        return run
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -53,9 +117,27 @@ class DigestIndex:
         """One entry per digest over all runs."""
         return self._read(self.runs[0]) if len(self.runs) == 1 else self._merged()
 
+    def found(self, digests: DataFrame) -> DataFrame:
+        """The entries, one a run, of the (digest) rows: probed by each run's filter, then joined with what the run holds."""
+        out = self.spark.createDataFrame([], ENTRIES)
+        for run in self.runs:
+            passed = written(digests.select("digest").where(may_hold(F.col("digest"), self._filter(run), self.spark)).distinct(), "digest-probe")
+            if passed.isEmpty():
+                self.skipped += 1
+                continue
+            self.read += 1
+            out = out.unionByName(self._read(run).join(passed, "digest"))
+        return out
+
     def lookup(self, rows: DataFrame) -> DataFrame:
         """rows, which have a digest, with first and members; null where no run holds the digest."""
-        return rows.join(self.entries(), "digest", "left")
+        found = self.found(rows).groupBy("digest").agg(F.min("first").alias("first"), F.sum("members").alias("members"))
+        return rows.join(found, "digest", "left")
+
+    def _filter(self, run: str) -> np.ndarray:
+        if run not in self.filters:
+            self.filters[run] = filter_field(self._read(f"{run}-filter"), self.bits)
+        return self.filters[run]
 
     def _read(self, run: str) -> DataFrame:
         return self.spark.read.parquet(run)
@@ -67,61 +149,73 @@ class DigestIndex:
         return rows.groupBy("digest").agg(F.min("first").alias("first"), F.sum("members").alias("members"))
 
     def _run(self, entries: DataFrame) -> str:
-        path = f"{self.path}/run-{self.made:06d}"
-        self.made += 1
-        filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-        entries.sortWithinPartitions("digest").write.options(**filters).parquet(path)
+        path = f"{self.path}/run-{uuid.uuid4().hex}"
+        entries.sortWithinPartitions("digest").write.parquet(path)
+        filter_table(self._read(path), self.bits).write.parquet(f"{path}-filter")
+        self.filters = {run: f for run, f in self.filters.items() if run in self.runs}
         return path
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, digest: Callable[[Column], Column] = sha256, index: DigestIndex | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, digest, n_bytes.
 
     Texts are equal when their normalised bytes are. A null text equals the empty one. Of equal texts the row with
     the smallest doc_id is kept; a null doc_id comes after all others; of repeated rows with one id exactly one is
-    kept. An empty table gives an empty result. The batches only bound how much one flush handles.
+    kept. An empty table gives an empty result. The batches only bound how much one flush handles; a fresh index
+    compacts after three.
+
+    With an index that holds the documents of earlier calls, these count as well: keep_id may be one of theirs, then
+    none of docs is kept, and group_size is over all. The texts of the earlier documents, in the columns of docs, are
+    needed to verify hits among them; only those of hits are gathered. Earlier results do not change. Null ids count
+    as the same row as null ids of earlier calls.
     """
     spark = docs.sparkSession
-    text = documents(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm"))
-    text = text.withColumn("digest", digest(F.col("norm")))
+    of = lambda df: documents(df, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm"))
+    text = of(docs).withColumn("digest", digest(F.col("norm")))
+    past = None if earlier is None else of(earlier).withColumn("digest", digest(F.col("norm")))
     rows = written(
         text.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.monotonically_increasing_id().alias("row"), "digest", F.octet_length("norm").alias("n_bytes")),
         "digests",
     )
-    index = DigestIndex(spark, shared_path(spark, "digest-index"))
+    old = spark.createDataFrame([], "digest binary, old struct<no_id: boolean, doc_id: bigint>")
+    if index is None:
+        index = DigestIndex(spark, shared_path(spark, "digest-index"), fan_in=3)
+    elif index.runs:
+        old = written(index.found(rows).groupBy("digest").agg(F.min(F.struct("first.no_id", "first.doc_id")).alias("old")), "earlier-firsts")
+    #: Digests of two rows or more: in a batch and an earlier run, or within a batch, which its own run then tells.
+    hits = spark.createDataFrame([], "digest binary")
     for batch in range(batches):
-        index.flush(rows.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == batch))
-    index.compact()
-
-    # Byte verification of all hits against the text of the row that stays. Its text is repeated for each GROUP_PART
-    # members, so that the copies of one text are compared in as many tasks as their number asks for.
-    shared = index.entries().where("members > 1").select(
-        "digest", F.col("first.doc_id").alias("first_id"), F.ceil(F.col("members") / GROUP_PART).cast("int").alias("parts")
-    )
-    hits = text.join(shared, "digest").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int"))
-    hits = written(hits.select("digest", "norm", "part", "parts", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("may_stay")), "digest-hits")
-    first = hits.where("may_stay").groupBy("digest", "parts").agg(F.min("norm").alias("first_norm"))
+        part = rows.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == batch)
+        hits = hits.union(index.found(part).select("digest"))
+        hits = hits.union(spark.read.parquet(index.flush(part)).where("members > 1").select("digest"))
+    hits = written(hits.distinct(), "hit-digests")
+    shared = written(index.entries().join(hits, "digest").select("digest", "first", "members", F.ceil(F.col("members") / GROUP_PART).cast("int").alias("parts")), "hit-entries")
+
+    # Byte verification of all hits against the text of the row that stays. Texts of other rows stay where they are.
+    # The first text is repeated for each GROUP_PART members, so copies of one text are compared in as many tasks as
+    # their number asks for.
+    passed = may_hold(F.col("digest"), filter_field(filter_table(hits, index.bits), index.bits), spark)
+    several = (text if past is None else text.unionByName(past)).where(passed).join(shared.select("digest", F.col("first.doc_id").alias("first_id"), "parts"), "digest")
+    several = several.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int"))
+    several = written(several.select("digest", "norm", "part", "parts", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("may_stay")), "digest-hits")
+    first = several.where("may_stay").groupBy("digest", "parts").agg(F.min("norm").alias("first_norm"))
     first = first.select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "first_norm")
-    other = hits.join(first, ["digest", "part"]).where("norm <> first_norm").select("digest").distinct()
+    other = several.join(first, ["digest", "part"]).where("norm <> first_norm").select("digest").distinct()
     other = written(other, "digest-collisions")
-    joined = index.lookup(rows)
-    if not other.isEmpty():
-        joined = _regrouped(joined, text, other)
-    return joined.select(
-        "doc_id",
-        F.col("first.doc_id").alias("keep_id"),
-        F.col("members").alias("group_size"),
-        (F.col("row") == F.col("first.row")).alias("kept"),
-        "digest",
-        "n_bytes",
-    )
-
-
-def _regrouped(joined: DataFrame, text: DataFrame, other: DataFrame) -> DataFrame:
-    """The rows of the digests in other grouped by their bytes instead; all others unchanged."""
-    odd = text.join(other, "digest", "left_semi").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "norm", "digest", F.octet_length("norm").alias("n_bytes"))
-    odd = written(odd.withColumn("row", F.monotonically_increasing_id()), "digest-regrouped")
-    groups = odd.groupBy("norm").agg(F.min(F.struct("no_id", "doc_id", "row")).alias("first"), F.count("*").alias("members"))
-    again = odd.join(groups, "norm")
-    keep = ["doc_id", "row", "digest", "n_bytes", "first", "members"]
-    return joined.join(other, "digest", "left_anti").select(keep).unionByName(again.select(keep))
+    joined = rows.join(shared.drop("parts"), "digest", "left").join(old, "digest", "left")
+    first = F.coalesce("first", F.struct("no_id", "doc_id", "row"))
+    newer = F.col("old").isNull() | (F.struct("no_id", "doc_id") < F.col("old"))
+    keep = ["doc_id", "keep_id", "group_size", "kept", "digest", "n_bytes"]
+    out = joined.withColumn("keep_id", first["doc_id"]).withColumn("group_size", F.coalesce("members", F.lit(1).cast("long"))).withColumn("kept", (F.col("row") == first["row"]) & newer).select(keep)
+    if other.isEmpty():
+        return out
+    return out.join(other, "digest", "left_anti").select(keep).unionByName(_regrouped(text, past, other).select(keep))
+
+
+def _regrouped(text: DataFrame, past: DataFrame | None, other: DataFrame) -> DataFrame:
+    """exact_dedup() of the rows of text whose digests are in other, grouped by their bytes with those of past."""
+    odd = lambda df, earlier: df.join(other, "digest", "left_semi").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.lit(earlier).alias("earlier"), "norm", "digest")
+    both = odd(text, False) if past is None else odd(text, False).unionByName(odd(past, True))
+    both = written(both.withColumn("row", F.monotonically_increasing_id()), "digest-regrouped")
+    groups = both.groupBy("norm").agg(F.min(F.struct("no_id", "doc_id", ~F.col("earlier"), "row")).alias("first"), F.count("*").alias("group_size"))
+    return both.where("not earlier").join(groups, "norm").select("*", F.col("first.doc_id").alias("keep_id"), (F.col("row") == F.col("first.row")).alias("kept"), F.octet_length("norm").alias("n_bytes"))
