@@ -314,8 +314,10 @@ def test_repeats_against_brute_force(spark):
     assert got == brute_repeats(rows, 8)
 
 
-def test_fingerprint_index_compacts(spark, tmp_path):
-    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "f"), fan_in=2)
-    for rows in ([(5, 1), (6, 1)], [(5, 2)], [(7, 3), (7, 3)]):
-        index.add(spark.createDataFrame(rows, "fingerprint long, doc_id long"))
-    assert len(index.runs) == 1 and [r.fingerprint for r in index.shared().collect()] == [5]
+def test_window_index_compacts(spark, tmp_path):
+    index = substring_dedup.WindowIndex(spark, str(tmp_path / "f"), fan_in=2, buckets=3)
+    for rows in ([(5, 1, 1, 0), (6, 1, 1, 0)], [(5, 1, 2, 0), (5, 2, 2, 0)], [(7, 1, 3, 0), (7, 1, 3, 0), (5, 2, 0, 0)]):
+        index.add(spark.createDataFrame(rows, "fingerprint long, stretch long, doc_id long, key long"))
+    assert len(index.runs) == 1
+    got = {(r.fingerprint, r.stretch): (r["first"].doc_id, r["last"]) for r in index.read(index.runs[0]).collect()}
+    assert got == {(5, 1): (1, 2), (5, 2): (0, 2), (6, 1): (1, 1), (7, 1): (3, 3)}

@@ -1,12 +1,20 @@
-"""What the operators of this subpackage share: input columns and tables in the shared folder."""
+"""What the operators of this subpackage share: input columns, tables in the shared folder and filters of fixed size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.sources.shared import shared_path
 
+#: Bits of a filter. It is broadcast, so its size is fixed; fuller filters pass more that the lookup then finds absent.
+FILTER_BITS = 1 << 26
+#: Filters are built in so many parts, each in a task of its own.
+FILTER_PARTS = 64
+
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
@@ -32,3 +40,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_remainder(doc_id, n: int):
     """crc32 of the id as text, modulo n (null ids count as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def _places(h: Column, bits: int) -> list[Column]:
+    """Two bits of a 64-bit hash."""
+    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 29), F.lit(bits))]
+
+
+def filter_table(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(part, bits): the bits set for the 64-bit hashes h of keys, eight a byte, cut into FILTER_PARTS parts; parts without any are left out.
+
+    Bits go to the task of their part, so what is shuffled grows with keys, and a task holds its parts only.
+    """
+    part = bits // FILTER_PARTS
+
+    def set_bits(batches):
+        fields: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            for k in np.unique(at // part).tolist():
+                if k not in fields:
+                    fields[k] = np.zeros(part, bool)
+                fields[k][at[at // part == k] - k * part] = True
+        if fields:
+            yield pa.record_batch([pa.array(list(fields), pa.int32()), pa.array([np.packbits(f).tobytes() for f in fields.values()], pa.binary())], ["part", "bits"])
+
+    places = keys.select(F.explode(F.array(*_places(F.col("h"), bits))).alias("at"))
+    return places.repartition(F.floor(F.col("at") / part)).mapInArrow(set_bits, "part int, bits binary")
+
+
+def filter_field(table: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The parts of filter_table() put together: bits / 8 bytes, and nothing else comes to the driver."""
+    field = np.zeros((FILTER_PARTS, bits // FILTER_PARTS // 8), np.uint8)
+    for row in table.collect():
+        field[row.part] = np.frombuffer(row.bits, np.uint8)
+    return field.ravel()
+
+
+def may_hold(h: Column, field: np.ndarray, spark: SparkSession) -> Column:
+    """Whether the filter passes a hash."""
+    shared = spark.sparkContext.broadcast(field)  # a fixed size: FILTER_BITS / 8 bytes
+
+    @F.pandas_udf("boolean")
+    def passes(a: pd.Series, b: pd.Series) -> pd.Series:
+        hit = [(shared.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 for x in (a.to_numpy(np.int64), b.to_numpy(np.int64))]
+        return pd.Series((hit[0] & hit[1]).astype(bool))
+
+    return passes(*_places(h, len(field) * 8))

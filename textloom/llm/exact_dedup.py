@@ -13,20 +13,14 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import documents, shared_path, written
+from textloom.llm.common import FILTER_BITS, documents, filter_field, filter_table, may_hold, shared_path, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Copies of one text that are compared with it in one go.
 GROUP_PART = 500
-#: Bits of a filter. It is broadcast, so its size is fixed; fuller filters pass more that the lookup then finds absent.
-FILTER_BITS = 1 << 26
-#: Filters are built in so many parts, each in a task of its own.
-FILTER_PARTS = 64
 ENTRIES = "digest binary, first struct<no_id: boolean, doc_id: bigint, row: bigint>, members bigint"
 
 
@@ -39,53 +33,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _places(h: Column, bits: int) -> list[Column]:
-    """Two bits of a 64-bit hash."""
-    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 29), F.lit(bits))]
-
-
-def filter_table(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(part, bits): the bits set for the digests of keys, eight a byte, cut into FILTER_PARTS parts; parts without any are left out.
-
-    Bits go to the task of their part, so what is shuffled grows with keys, and a task holds its parts only.
-    """
-    part = bits // FILTER_PARTS
-
-    def set_bits(batches):
-        fields: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = batch.column("at").to_numpy()
-            for k in np.unique(at // part).tolist():
-                if k not in fields:
-                    fields[k] = np.zeros(part, bool)
-                fields[k][at[at // part == k] - k * part] = True
-        if fields:
-            yield pa.record_batch([pa.array(list(fields), pa.int32()), pa.array([np.packbits(f).tobytes() for f in fields.values()], pa.binary())], ["part", "bits"])
-
-    places = keys.select(F.explode(F.array(*_places(F.xxhash64("digest"), bits))).alias("at"))
-    return places.repartition(F.floor(F.col("at") / part)).mapInArrow(set_bits, "part int, bits binary")
-
-
-def filter_field(table: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """The parts of filter_table() put together: bits / 8 bytes, and nothing else comes to the driver."""
-    field = np.zeros((FILTER_PARTS, bits // FILTER_PARTS // 8), np.uint8)
-    for row in table.collect():
-        field[row.part] = np.frombuffer(row.bits, np.uint8)
-    return field.ravel()
-
-
-def may_hold(digest: Column, field: np.ndarray, spark: SparkSession) -> Column:
-    """Whether the filter passes a digest."""
-    shared = spark.sparkContext.broadcast(field)  # a fixed size: FILTER_BITS / 8 bytes
-
-    @F.pandas_udf("boolean")
-    def passes(a: pd.Series, b: pd.Series) -> pd.Series:
-        hit = [(shared.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 for x in (a.to_numpy(np.int64), b.to_numpy(np.int64))]
-        return pd.Series((hit[0] & hit[1]).astype(bool))
-
-    return passes(*_places(F.xxhash64(digest), len(field) * 8))
-
-
 class DigestIndex:
     """Sorted runs of (digest, first, members); first is the smallest (no_id, doc_id, row) of the members.
 
@@ -121,7 +68,7 @@ class DigestIndex:
         """The entries, one a run, of the (digest) rows: probed by each run's filter, then joined with what the run holds."""
         out = self.spark.createDataFrame([], ENTRIES)
         for run in self.runs:
-            passed = written(digests.select("digest").where(may_hold(F.col("digest"), self._filter(run), self.spark)).distinct(), "digest-probe")
+            passed = written(digests.select("digest").where(may_hold(F.xxhash64("digest"), self._filter(run), self.spark)).distinct(), "digest-probe")
             if passed.isEmpty():
                 self.skipped += 1
                 continue
@@ -151,7 +98,7 @@ class DigestIndex:
     def _run(self, entries: DataFrame) -> str:
         path = f"{self.path}/run-{uuid.uuid4().hex}"
         entries.sortWithinPartitions("digest").write.parquet(path)
-        filter_table(self._read(path), self.bits).write.parquet(f"{path}-filter")
+        filter_table(self._read(path).select(F.xxhash64("digest").alias("h")), self.bits).write.parquet(f"{path}-filter")
         self.filters = {run: f for run, f in self.filters.items() if run in self.runs}
         return path
 
@@ -194,7 +141,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Byte verification of all hits against the text of the row that stays. Texts of other rows stay where they are.
     # The first text is repeated for each GROUP_PART members, so copies of one text are compared in as many tasks as
     # their number asks for.
-    passed = may_hold(F.col("digest"), filter_field(filter_table(hits, index.bits), index.bits), spark)
+    passed = may_hold(F.xxhash64("digest"), filter_field(filter_table(hits.select(F.xxhash64("digest").alias("h")), index.bits), index.bits), spark)
     several = (text if past is None else text.unionByName(past)).where(passed).join(shared.select("digest", F.col("first.doc_id").alias("first_id"), "parts"), "digest")
     several = several.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int"))
     several = written(several.select("digest", "norm", "part", "parts", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("may_stay")), "digest-hits")
