@@ -83,13 +83,6 @@ def edge_table(docs: DataFrame, kind: str, edges: Column) -> DataFrame:
     return rows.select("doc_id", F.lit(kind).alias("kind"), F.col("ord"), "e.*")
 
 
-def concept_edge_rows(ranked: DataFrame, cap: int = 10) -> DataFrame:
-    """The same concept edges from (doc_id, rank, word) rows, as a join on the document."""
-    a = ranked.select("doc_id", F.col("rank").alias("i"), F.col("word").alias("source"))
-    b = ranked.select("doc_id", F.col("rank").alias("j"), F.col("word").alias("target"))
-    pairs = a.join(b, "doc_id").where("i < j and i <= 5 and j <= 6")
-    ordered = pairs.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy("i", "j")) - 1)
-    return ordered.where(F.col("ord") < cap).select("doc_id", "ord", "source", "target")
 
 
 def each_with(words: Column, n: int, patterns: list[str], cap: int) -> Column:

@@ -1,13 +1,29 @@
-"""Keywords of documents: token filters, ranking, TF-IDF, co-occurrence rank, groups and density."""
+"""Keywords of documents: token filters, ranking, TF-IDF, co-occurrence rank, groups and density.
+
+Words are counted and ranked inside the row, in Arrow batches, so no token is shuffled and rows of one id stay apart. The
+functions on (doc_id, pos, word) rows do the same for tokens that come from elsewhere.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.lexicons import Lexicon
-from textloom.functions.text import contains_any, word_tokens, ws_tokens
+from textloom.functions.text import WORD, contains_any, word_tokens, ws_tokens
+
+_WORD = regex.compile(WORD)
+_ASCII = re.compile("[a-zA-Z]+")
+COUNTS = "array<struct<word: string, n: bigint, pos: int>>"
+RANKS = "array<struct<word: string, score: double>>"
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,6 +37,36 @@ def is_keyword(word: Column, lexicon: Lexicon) -> Column:
     return good & ~word.rlike("^[a-zA-Z]+$") if lexicon.drop_ascii else good
 
 
+def keyword_rule(lexicon: Lexicon) -> Callable[[str], bool]:
+    """is_keyword() for one word."""
+    stop, drop = frozenset(lexicon.stopwords), lexicon.drop_ascii
+    return lambda w: len(w) > 1 and w not in stop and not w.isdecimal() and not (drop and _ASCII.fullmatch(w))
+
+
+def plain_rule(lexicon: Lexicon) -> Callable[[str], bool]:
+    """Two characters or more and no stop word; for ranking by frequency alone."""
+    stop = frozenset(lexicon.stopwords)
+    return lambda w: len(w) > 1 and w not in stop
+
+
+def ranked_words(text: Column, rule: Callable[[str], bool], k: int | None = None) -> Column:
+    """array of (word, n, pos): the k most frequent words that rule takes, or all; earlier ones first among equals."""
+
+    @F.pandas_udf(COUNTS)
+    def rank(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if not t:
+                return []
+            every = _WORD.findall(t)
+            first = {w: len(every) - 1 - i for i, w in enumerate(reversed(every))}
+            best = sorted(((w, n) for w, n in Counter(every).items() if rule(w)), key=lambda x: -x[1])[:k]
+            return [{"word": w, "n": n, "pos": first[w]} for w, n in best]
+
+        return texts.map(one)
+
+    return rank(F.lower(text))
+
+
 def counted(words: DataFrame) -> DataFrame:
     """(doc_id, word, n, pos) with the first position; counts are combined before the shuffle."""
     return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
@@ -32,37 +78,75 @@ def top_keywords(words: DataFrame, k: int = 20) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "word", "n")
 
 
-def keyword_arrays(docs: DataFrame, lexicon: Lexicon, k: int = 20) -> DataFrame:
+def top_words(docs: DataFrame, rule: Callable[[str], bool], k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, rank, word, n) of each document's text, a row per word; rows that repeat an id are ranked apart."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ranked_words(F.col(text_col), rule, k)).alias("at", "of"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("rank"), "of.word", "of.n")
+
+
+def keyword_arrays(docs: DataFrame, lexicon: Lexicon, k: int = 20, text_col: str = "text") -> DataFrame:
     """docs with a column keywords, ranked; an empty array where a document has none."""
-    top = top_keywords(tokens(docs).where(is_keyword(F.col("word"), lexicon)), k)
-    lists = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("ranked"))
-    lists = lists.select("doc_id", F.col("ranked.word").alias("keywords"))
-    return docs.join(lists, "doc_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    return docs.withColumn("keywords", F.transform(ranked_words(F.col(text_col), keyword_rule(lexicon), k), lambda x: x["word"]))
+
 
+def tfidf(docs: DataFrame, n_docs: int, lexicon: Lexicon, k: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, rank, word, score): score is term frequency times ln(n_docs / document frequency).
 
-def tfidf(words: DataFrame, n_docs: int, k: int = 30) -> DataFrame:
-    """(doc_id, rank, word, score): score is term frequency times ln(n_docs / document frequency)."""
-    tf = counted(words)
+    Only a row per document and distinct word is shuffled. Rows that repeat an id are ranked apart.
+    """
+    counts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), ranked_words(F.col(text_col), keyword_rule(lexicon)).alias("counts"))
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    tf = counts.select("doc_id", "row", total.alias("total"), F.inline("counts"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    total = tf.groupBy("doc_id").agg(F.sum("n").alias("total"))
-    scored = tf.join(df, "word").join(total, "doc_id").withColumn("score", F.round(F.col("n") / F.col("total") * F.log(F.lit(float(n_docs)) / F.col("df")), 9))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "pos")))
+    scored = tf.join(df, "word").withColumn("score", F.round(F.col("n") / F.col("total") * F.log(F.lit(float(n_docs)) / F.col("df")), 9))
+    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("doc_id", "row").orderBy(F.desc("score"), "pos")))
     return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "word", "score")
 
 
-def textrank(words: DataFrame, k: int = 20, window: int = 4, iterations: int = 5, damping: float = 0.85) -> DataFrame:
-    """(doc_id, rank, word, score): words ranked by co-occurrence within a window, after fixed iterations."""
-    order = W.partitionBy("doc_id").orderBy("pos")
-    near = words.select("doc_id", F.col("word").alias("a"), F.array(*[F.lead("word", i).over(order) for i in range(1, window + 1)]).alias("after"))
-    near = near.select("doc_id", "a", F.explode("after").alias("b")).where("b is not null and a <> b")
-    edges = near.unionByName(near.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("doc_id", "a", "b").agg(F.count("*").alias("w"))
-    edges = edges.withColumn("share", F.col("w") / F.sum("w").over(W.partitionBy("doc_id", "a"))).select("doc_id", "a", "b", "share").persist()  # read in each iteration
-    scores = edges.select("doc_id", F.col("a").alias("word")).distinct().withColumn("score", F.lit(1.0))
+def cooccurrence_scores(words: list[str], window: int = 4, iterations: int = 5, damping: float = 0.85) -> dict[str, float]:
+    """Words scored by the words within a window of them, after fixed iterations; those without other company have none."""
+    number: dict[str, int] = {}
+    at = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    n = len(number)
+    pairs = [(at[:-i], at[i:]) for i in range(1, min(window, len(at) - 1) + 1)]
+    if not pairs:
+        return {}
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    a, b = np.concatenate([a, b])[np.tile(a != b, 2)], np.concatenate([b, a])[np.tile(a != b, 2)]
+    if not len(a):
+        return {}
+    share = 1 / np.bincount(a, minlength=n)[a]
+    score = np.ones(n)
     for _ in range(iterations):
-        sent = edges.join(scores.withColumnRenamed("word", "a"), ["doc_id", "a"]).groupBy("doc_id", F.col("b").alias("word")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        scores = sent.select("doc_id", "word", (F.lit(1 - damping) + damping * F.col("got")).alias("score"))
-    ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "word")))
-    return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "word", F.round("score", 6).alias("score"))
+        score = 1 - damping + damping * np.bincount(b, share * score[a], n)
+    joined = np.bincount(a, minlength=n) > 0
+    return {w: float(score[i]) for w, i in number.items() if joined[i]}
+
+
+def ranked_by_company(text: Column, rule: Callable[[str], bool], k: int = 20, window: int = 4) -> Column:
+    """array of (word, score): the k words of the highest co-occurrence score, in alphabetical order among equals."""
+
+    @F.pandas_udf(RANKS)
+    def rank(texts: pd.Series) -> pd.Series:
+        def one(t):
+            scores = cooccurrence_scores([w for w in _WORD.findall(t or "") if rule(w)], window)
+            best = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0].encode()))[:k]
+            return [{"word": w, "score": round(v, 6)} for w, v in best]
+
+        return texts.map(one)
+
+    return rank(F.lower(text))
+
+
+def textrank(docs: DataFrame, lexicon: Lexicon, k: int = 20, window: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, rank, word, score): words of each document ranked by co-occurrence within a window."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ranked_by_company(F.col(text_col), keyword_rule(lexicon), k, window)).alias("at", "of"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("rank"), "of.word", "of.score")
+
+
+def united(first: Column, second: Column) -> Column:
+    """The words of two rankings, each once: those of the first, then the others of the second."""
+    return F.array_union(first, second)
 
 
 def having(words: Column, terms, without=()) -> Column:

@@ -27,10 +27,6 @@ def flat(c) -> Column:
     return F.array_join(c, "|")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keywords.tokens(docs(spark, sf_dir)).where(keywords.is_keyword(F.col("word"), LEX))
-
-
 Q, SQL = {}, {}
 
 
@@ -46,7 +42,7 @@ def query(sql: str | None = None):
 
 @query(f"WITH {KW} SELECT doc_id, rank, word, n FROM top")
 def keyword_top20(spark, sf_dir):
-    return keywords.top_keywords(words(spark, sf_dir))
+    return keywords.top_words(docs(spark, sf_dir), keywords.keyword_rule(LEX))
 
 
 _STOP = ", ".join(map(q.text, LEX.stopwords))
@@ -55,21 +51,20 @@ _STOP = ", ".join(map(q.text, LEX.stopwords))
 @query(f"WITH {KW}, c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS pos FROM tok WHERE length(word) >= 2 AND word NOT IN ({_STOP}) GROUP BY ALL) "
        "SELECT doc_id, rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM c) WHERE rank <= 20")
 def keyword_tf_fallback(spark, sf_dir):
-    rows = keywords.tokens(docs(spark, sf_dir))
-    return keywords.top_keywords(rows.where((F.length("word") >= 2) & ~F.col("word").isin(*LEX.stopwords)))
+    return keywords.top_words(docs(spark, sf_dir), keywords.plain_rule(LEX))
 
 
 @query(f"""WITH {KW}, df AS (SELECT word, count(*) AS df FROM cnt GROUP BY word), tot AS (SELECT doc_id, sum(n) AS total FROM cnt GROUP BY doc_id),
 s AS (SELECT c.doc_id, c.word, pos, round(n / total::DOUBLE * ln((SELECT count(*) FROM documents)::DOUBLE / df), 9) AS score FROM cnt c JOIN df ON c.word = df.word JOIN tot ON c.doc_id = tot.doc_id)
 SELECT doc_id, rank, word, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM s) WHERE rank <= 30""")
 def keyword_tfidf(spark, sf_dir):
-    n = docs(spark, sf_dir).count()
-    return keywords.tfidf(words(spark, sf_dir), n).withColumn("score", F.round("score", 6))
+    rows = docs(spark, sf_dir)
+    return keywords.tfidf(rows, rows.count(), LEX).withColumn("score", F.round("score", 6))
 
 
 @query()
 def keyword_textrank(spark, sf_dir):
-    return keywords.textrank(words(spark, sf_dir))
+    return keywords.textrank(docs(spark, sf_dir), LEX)
 
 
 @query(f"WITH {KW} SELECT doc_id, " + ", ".join(f"{q.joined(q.in_group(LEX.groups, n))} AS g_{n}" for n in ("core", "method", "tool", "application")) + " FROM kw")
@@ -208,8 +203,8 @@ def summary_extractive(spark, sf_dir):
 @query(f"""WITH {KW}, p AS (SELECT a.doc_id, a.word AS source, b.word AS target, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.rank, b.rank) - 1 AS ord
 FROM top a JOIN top b ON a.doc_id = b.doc_id AND a.rank < b.rank AND a.rank <= 5 AND b.rank <= 6) SELECT doc_id, ord, source, target, 'related' AS relationship, 0.7::DOUBLE AS strength FROM p WHERE ord < 10""")
 def concept_edges(spark, sf_dir):
-    rows = graph.concept_edge_rows(keywords.top_keywords(words(spark, sf_dir)))
-    return rows.select("*", F.lit("related").alias("relationship"), F.lit(0.7).alias("strength"))
+    rows = ranked(spark, sf_dir).select("doc_id", F.posexplode(graph.concept_edges(F.col("keywords"))).alias("ord", "edge"))
+    return rows.select("doc_id", "ord", "edge.*")
 
 
 _ELIST = "flatten([" + ", ".join(f"list_transform({x}, lambda e, i: {{'t': {t}, 'i': i, 'e': e}})" for t, x in enumerate(ENT.values(), 1)) + "])"
