@@ -45,7 +45,7 @@ def test_words_are_verified_where_word_hashes_collide(spark, monkeypatch):
     same = lambda words: np.array([1 + len(w) for w in words], np.uint64)  # noqa: E731  words of one length collide
     monkeypatch.setattr(substring_dedup, "word_hashes", same)
     rows = [(1, "aa b cc d ee f"), (2, "xx b cc d ee f"), (3, "aa b cc d yy f"), (4, "zz q cc d ee f")]
-    frame = spark.createDataFrame([(i, 0, t, [int(p)], False) for i, t in rows for p in np.unique(substring_dedup.fingerprints(same(t.split()), 4, 2))], "doc_id long, key long, text string, marks array<long>, old boolean")
+    frame = spark.createDataFrame([(i, 0, t, [int(p)], [int(p)], False) for i, t in rows for p in np.unique(substring_dedup.fingerprints(same(t.split()), 4, 2))], "doc_id long, key long, text string, marks array<long>, wide array<long>, old boolean")
     found = substring_dedup.stretches(frame, 4, 2)
     places = {(r.doc_id, r["at"] + k) for r in substring_dedup.repeated_places(found).collect() for k in range(r.n)}
     first, want = {}, set()

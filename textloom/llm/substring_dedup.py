@@ -29,7 +29,7 @@ from textloom.llm.common import documents, filter_field, filter_table, may_hold,
 WINDOW = 50
 #: Words of the n-grams whose smallest hash marks a window.
 GRAM = 8
-#: A fingerprint with more kinds of stretches than this is dealt over several tasks and buckets, each with about so many.
+#: A fingerprint of more stretches than this is dealt over several tasks and buckets, each with at most about so many.
 HOT = 5000
 #: Tasks over which the holders of one window, stretch or fingerprint are dealt when they are joined with its owner.
 SALT = 16
@@ -97,8 +97,8 @@ class WindowIndex:
     """Immutable runs of (fingerprint, salt, stretch, first, last), and the texts of all documents that were added.
 
     stretch is a hash of the windows of a stretch, first the smallest (doc_id, key) that holds it, last the largest doc_id.
-    Runs are bucketed and sorted by fingerprint and salt; salt is 0, but for fingerprints of more than HOT kinds, which a
-    small table beside the run lists. An index is loaded again from its path and the names of its runs.
+    Runs are bucketed and sorted by fingerprint and salt; salt is 0, but for fingerprints of more than HOT rows,
+    which a small table beside the run lists. An index is loaded again from its path and the names of its runs.
     """
 
     def __init__(self, spark: SparkSession, path: str, fan_in: int = 4, runs: list[str] | None = None, buckets: int | None = None):
@@ -115,13 +115,13 @@ class WindowIndex:
 
     def add(self, marks: DataFrame) -> str:
         """Flush (fingerprint, stretch, doc_id, key) rows as a run, then compact if there are fan_in runs; the flushed run."""
-        run = self._run(marks.groupBy("fingerprint", "stretch").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.max("doc_id").alias("last")))
+        run = self._run(marks.groupBy("fingerprint", "stretch").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.max("doc_id").alias("last")), marks)
         self.runs.append(run)
         if len(self.runs) >= self.fan_in:
             rows = self.read(self.runs[0])
             for other in self.runs[1:]:
                 rows = rows.unionByName(self.read(other))
-            self.runs = [self._run(rows.groupBy("fingerprint", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last")))]
+            self.runs = [self._run(rows.groupBy("fingerprint", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last")), rows)]
         return run
 
     def held(self, run: str, prints: DataFrame) -> DataFrame:
@@ -139,11 +139,11 @@ class WindowIndex:
             self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (fingerprint, salt) SORTED BY (fingerprint, salt) INTO {run.rsplit('-', 1)[1]} BUCKETS LOCATION '{place}'")
         return self.spark.table(name)
 
-    def _run(self, entries: DataFrame) -> str:
+    def _run(self, entries: DataFrame, rows: DataFrame) -> str:
+        """Write entries, which were made of rows."""
         run = f"run-{uuid.uuid4().hex}-{self.buckets}"
-        entries = written(entries, "stretch-entries")
-        hot = entries.groupBy("fingerprint").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-        hot.select("fingerprint", F.ceil(F.col("n") / HOT).cast("int").alias("parts")).write.parquet(f"{self.path}/{run}-hot")
+        counts = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+        counts.select("fingerprint", F.ceil(F.col("n") / HOT).cast("int").alias("parts")).write.parquet(f"{self.path}/{run}-hot")
         salted = entries.join(self.spark.read.parquet(f"{self.path}/{run}-hot"), "fingerprint", "left")
         salted = salted.withColumn("salt", F.pmod(F.xxhash64("stretch"), F.coalesce("parts", F.lit(1))).cast("int"))
         dealt = salted.select("fingerprint", "stretch", "first", "last", "salt").repartition(self.buckets, "fingerprint", "salt")
@@ -178,36 +178,35 @@ def scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """The stretches of windows of equal fingerprint in (doc_id, key, text, marks, old), for the fingerprints in marks.
+    """The stretches of windows of equal fingerprint in (doc_id, key, text, marks, wide, old), for the fingerprints in marks.
 
-    (fingerprint, stretch, doc_id, key, at, n, windows, old): stretch is a digest of all words of n windows from the at-th
-    on, windows holds one of the words of each, DIGEST bytes one after the other.
+    (stretch, doc_id, key, at, n, windows, old): stretch is a digest of all words of n windows from the at-th on; for the
+    fingerprints in wide, windows holds one of the words of each, DIGEST bytes one after the other.
     """
-    names = ["fingerprint", "stretch", "doc_id", "key", "at", "n", "windows", "old"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+    names = ["stretch", "doc_id", "key", "at", "n", "windows", "old"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
 
     def digest(data) -> bytes:
         return blake2b(data, digest_size=DIGEST).digest()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, key, text, marks, old in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text", "marks", "old")), strict=True):
+            for doc_id, key, text, marks, wide, old in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text", "marks", "wide", "old")), strict=True):
                 words = words_of(text)
                 joined = memoryview(b" ".join(words))
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                 starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
                 ends = ends.tolist()
                 prints, begin, end = stretches_of(word_hashes(words), window, gram)
-                wanted = np.isin(prints, np.array(marks, np.int64))
-                out = []
+                wanted, wide, out = np.isin(prints, np.array(marks, np.int64)), set(wide), []
                 for own, a, b in zip(prints[wanted].tolist(), begin[wanted].tolist(), end[wanted].tolist(), strict=True):
-                    windows = b"".join([digest(joined[starts[k] : ends[k + window - 1]]) for k in range(a, b)])
-                    out.append((own, digest(joined[starts[a] : ends[b + window - 2]]), doc_id, key, a, b - a, windows, old))
+                    windows = b"".join([digest(joined[starts[k] : ends[k + window - 1]]) for k in range(a, b)]) if own in wide else None
+                    out.append((digest(joined[starts[a] : ends[b + window - 2]]), doc_id, key, a, b - a, windows, old))
                 if out:
                     yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    made = "fingerprint long, stretch binary, doc_id long, key long, at int, n int, windows binary, old boolean"
-    return texts.select("doc_id", "key", "text", "marks", "old").mapInArrow(emit, made)
+    made = "stretch binary, doc_id long, key long, at int, n int, windows binary, old boolean"
+    return texts.select("doc_id", "key", "text", "marks", "wide", "old").mapInArrow(emit, made)
 
 
 def salted_join(rows: DataFrame, owners: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -220,18 +219,15 @@ def repeated_places(found: DataFrame) -> DataFrame:
     """(doc_id, key, at, n): the n windows from the at-th on whose words start in a smaller document, where not old.
 
     found: the table of stretches(). Of each kind of stretch the smallest doc_id stands for all: what it holds, they
-    hold. So larger ones lose the stretch, and only the stretches of the smallest are compared window by window, where
-    one fingerprint has several kinds.
+    hold. So larger ones lose the stretch, and windows are compared only where those that stand for a kind have them.
     """
-    kinds = written(found.groupBy("fingerprint", "stretch").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "stretch-kinds")
-    new = found.where("not old").select("fingerprint", "stretch", "doc_id", "key", "at", "n")
-    whole = salted_join(new, kinds.where("last > first"), ["fingerprint", "stretch"]).where("doc_id > first").select("doc_id", "key", "at", "n")
-    several = kinds.groupBy("fingerprint").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fingerprint")
-    compared = salted_join(kinds.select("fingerprint", "stretch", F.col("first").alias("doc_id")), several, ["fingerprint"])
-    each = found.join(compared, ["fingerprint", "stretch", "doc_id"])
-    each = each.select("fingerprint", "doc_id", "key", "at", "old", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.substring("windows", k * DIGEST + 1, F.lit(DIGEST)))).alias("k", "window"))
-    owners = each.groupBy("fingerprint", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").drop("last")
-    single = salted_join(each.where("not old"), owners, ["fingerprint", "window"]).where("doc_id > owner").select("doc_id", "key", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
+    kinds = found.groupBy("stretch").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").drop("last")
+    new = found.where("not old").select("stretch", "doc_id", "key", "at", "n")
+    whole = salted_join(new, written(kinds, "stretch-kinds"), ["stretch"]).where("doc_id > first").select("doc_id", "key", "at", "n")
+    each = found.where("windows is not null").select("doc_id", "key", "at", "old", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.substring("windows", k * DIGEST + 1, F.lit(DIGEST)))).alias("k", "window"))
+    each = each.select("window", "doc_id", "key", (F.col("at") + F.col("k")).alias("at"), "old")
+    owners = each.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").drop("last")
+    single = salted_join(each.where("not old").drop("old"), owners, ["window"]).where("doc_id > owner").select("doc_id", "key", "at", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 
@@ -242,28 +238,40 @@ def wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.where(may_hold(F.xxhash64("doc_id", "key"), field, spark)).join(wanted, ["doc_id", "key"])
 
 
-def deduplicate_batch(index: WindowIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def deduplicate_batch(index: WindowIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False, earlier: DataFrame | None = None) -> DataFrame:
     """remove_repeats() of docs against each other and all that index holds; then index holds docs as well.
 
-    What earlier calls returned does not change. All calls need the same window and gram.
+    What earlier calls returned does not change. All calls need the same window and gram. The texts of documents of earlier
+    calls are looked up in earlier, in the columns of docs; without it, index stores the texts of each call.
     """
-    rows, earlier = index.add_texts(documents(docs, id_col, text_col).withColumn("key", F.xxhash64("text")))  # key tells rows of one doc_id apart
+    keyed = lambda df: documents(df, id_col, text_col).withColumn("key", F.xxhash64("text"))  # noqa: E731  key tells rows of one doc_id apart
+    rows, earlier = index.add_texts(keyed(docs)) if earlier is None else (keyed(docs), keyed(earlier))
     marks = written(scanned(rows, window, gram), "window-marks")
     firsts = marks.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
-    marks = salted_join(marks, firsts.select("sha", "first"), ["sha"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
-    searched = marks.where("doc_id is not null and not copy and n_words >= " + str(int(window)))
-    each = searched.select("doc_id", "key", F.inline("marks"))
+    led = salted_join(marks, firsts.select("sha", "first"), ["sha"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    marks = written(led.drop("first"), "window-marks-led")
+    each = marks.where("doc_id is not null and not copy and n_words >= " + str(int(window))).select("doc_id", "key", F.inline("marks"))
     runs = list(index.runs)
     own = index.read(index.add(each))
     prints = own.select("fingerprint").distinct()
-    hits = index.spark.createDataFrame([], "fingerprint long, doc_id long, key long")
+    hits = index.spark.createDataFrame([], "fingerprint long, stretch long, doc_id long, key long")
     for run in runs:
-        hits = hits.unionByName(index.held(run, prints).select("fingerprint", "first.*"))
+        hits = hits.unionByName(index.held(run, prints).select("fingerprint", "stretch", "first.*"))
     hits = written(hits, "run-hits")
     several = own.groupBy("fingerprint").agg(F.min("first.doc_id").alias("low"), F.max("last").alias("high")).where("high > low")
     shared = written(several.select("fingerprint").union(hits.select("fingerprint")).distinct(), "shared-fingerprints")
 
-    gathered = lambda held, old: held.groupBy("doc_id", "key").agg(F.collect_set("fingerprint").alias("marks")).withColumn("old", F.lit(old))  # noqa: E731  at most one document's own
+    # Who stands for each kind of stretch, and where one fingerprint has several kinds, one of them new.
+    kinds = own.join(shared, "fingerprint").select("fingerprint", "stretch", "first.*", F.lit(False).alias("old")).unionByName(hits.withColumn("old", F.lit(True)))
+    first = kinds.groupBy("fingerprint", "stretch").agg(F.min(F.struct("doc_id", ~F.col("old"), "key", "old")).alias("of")).select("fingerprint", "of.doc_id", "of.key", "of.old")
+    first = written(first, "kind-firsts")
+    mixed = first.groupBy("fingerprint").agg(F.count("*").alias("kinds"), F.bool_or(~F.col("old")).alias("new")).where("kinds > 1 and new").select("fingerprint")
+    wide = written(salted_join(first, mixed, ["fingerprint"]).withColumn("wide", F.col("fingerprint")), "mixed-firsts")
+
+    def gathered(held: DataFrame, old: bool) -> DataFrame:
+        held = held.select("doc_id", "key", "fingerprint", F.lit(None).cast("long").alias("wide")).unionByName(wide.where(F.col("old") == old).drop("old"))
+        return held.groupBy("doc_id", "key").agg(F.collect_set("fingerprint").alias("marks"), F.collect_set("wide").alias("wide")).withColumn("old", F.lit(old))  # at most one document's own
+
     suspects = written(gathered(salted_join(each.select("doc_id", "key", "fingerprint"), shared, ["fingerprint"]), False), "suspects")
     texts = written(wanted_texts(rows, suspects).dropDuplicates(["doc_id", "key"]), "window-texts")
     found = stretches(texts, window, gram)
@@ -272,7 +280,7 @@ def deduplicate_batch(index: WindowIndex, docs: DataFrame, id_col: str = "doc_id
         found = found.unionByName(stretches(wanted_texts(earlier, owners).dropDuplicates(["doc_id", "key"]), window, gram))
     places = repeated_places(written(found, "stretches"))
     cuts = written(places.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "n")).alias("cuts")), "cuts")  # at most one document's own
-    return batch_result(rows, written(marks.drop("marks"), "window-counts"), texts, cuts, window, with_text)
+    return batch_result(rows, marks.drop("marks"), texts, cuts, window, with_text)
 
 
 def batch_result(rows: DataFrame, marks: DataFrame, texts: DataFrame, cuts: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -289,7 +297,7 @@ def batch_result(rows: DataFrame, marks: DataFrame, texts: DataFrame, cuts: Data
     return whole.drop("key", "copy").unionByName(again.join(held, ["doc_id", "key"]).drop("key"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 3, with_text: bool = False, history: WindowIndex | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 2, with_text: bool = False, history: WindowIndex | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 binary; with_text adds the kept text.
 
     A word goes if a window of so many words covers it whose words also start somewhere in a document with a smaller
@@ -303,13 +311,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return deduplicate_batch(history, docs, id_col, text_col, window, gram, with_text)
     spark = docs.sparkSession
     rows = documents(docs, id_col, text_col)
-    index = WindowIndex(spark, shared_path(spark, "window-index"), fan_in=max(2, batches - 1))
+    index = WindowIndex(spark, shared_path(spark, "window-index"), fan_in=max(2, batches))
     cuts = rows.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)]).alias("at")).first()["at"] if batches > 1 else None
     cuts = sorted(set(cuts or []))
     number = sum((F.coalesce((F.col("doc_id") > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
     out = None
     for k in range(len(cuts) + 1):
-        part = deduplicate_batch(index, rows.where(number == k), window=window, gram=gram, with_text=with_text)
+        part = deduplicate_batch(index, rows.where(number == k), window=window, gram=gram, with_text=with_text, earlier=rows.where(number < k))
         out = part if out is None else out.unionByName(part)
     return out
 
