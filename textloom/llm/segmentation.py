@@ -7,12 +7,13 @@ that its parent sets. The best set is popped, one path is drawn from it, and wha
 The value of the best set left after k pops is the threshold from which inclusion scores follow.
 
 Pieces do not cross the start of a run of spaces or a line break, so the lattice of a text is a chain of small ones,
-built once for each distinct chunk of a block of texts.
+built once for each distinct chunk of the texts that a task has seen lately.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,9 +31,12 @@ from textloom.llm.common import documents
 MARK = "▁"  # stands for a space
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xC6A4A7935BD1E995)  # brings the last character of a piece into the first bits of its hash
 _STEP, _PATH, _PLACE = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5), np.uint64(0x9FB21C651E98DF25)
 #: Characters of the texts that are searched together; bounds a task's memory besides one longest text.
 BLOCK_CHARS = 1_500_000
+#: Distinct chunks whose lattices a task keeps from block to block.
+KEPT_CHUNKS = 150_000
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -63,6 +67,32 @@ class Lattice:
     log_p: np.ndarray
     cumulative: np.ndarray
 
+    def joined(self, more: Lattice) -> Lattice:
+        """Both in one, with the chunks of more behind these."""
+        nodes, arcs = np.int32(len(self.begin) - 1), self.begin[-1]
+        shifted = [(self.first, more.first + nodes), (self.last, more.last + nodes), (self.begin[:-1], more.begin + arcs), (self.to, more.to + nodes)]
+        return Lattice(*map(np.concatenate, [*shifted, (self.piece, more.piece), (self.log_p, more.log_p), (self.cumulative, more.cumulative)]))
+
+
+class Chunks:
+    """The numbers and the lattice of the chunks seen so far; begun afresh where a block finds more than KEPT_CHUNKS."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.numbers, self.lattice = pieces, Numbers(), None
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of the chunks of each text, all of which are in the lattice then."""
+        if len(self.numbers) > KEPT_CHUNKS:
+            self.numbers, self.lattice = Numbers(), None
+        known = len(self.numbers)
+        lists = [self.pieces.chunks(t) for t in texts]
+        found = [np.fromiter(map(self.numbers.__getitem__, c), np.int64, len(c)) for c in lists]
+        del lists
+        if len(self.numbers) > known or self.lattice is None:
+            more = self.pieces.lattice(list(itertools.islice(self.numbers, known, None)))
+            self.lattice = more if self.lattice is None else self.lattice.joined(more)
+        return found
+
 
 class Pieces:
     """A vocabulary of pieces with log-probabilities; characters without a piece fall back to their UTF-8 bytes."""
@@ -84,10 +114,18 @@ class Pieces:
             h = 0
             for n, ch in enumerate(p, 1):
                 h = (h * int(_MULT) + ord(ch) + 1) % (1 << 64)
-                self.prefixes[n, h >> 44] = True
+                mixed = h * int(_SPREAD) % (1 << 64)
+                self.prefixes[n, mixed >> 44] = True
             if p:
-                by_length.setdefault(len(p), []).append((h, i))
+                by_length.setdefault(len(p), []).append((mixed, i))
         self.by_length = {n: tuple(np.array(x, t) for x, t in zip(zip(*sorted(v), strict=True), (np.uint64, np.int64), strict=True)) for n, v in by_length.items()}
+        # For the first 18 bits of a hash the place of the first piece that has them, -1 if none has.
+        self.places, self.company = {}, {}
+        for n, (keys, _) in self.by_length.items():
+            short, first, count = np.unique(keys >> np.uint64(46), return_index=True, return_counts=True)
+            self.company[n] = int(count.max()) - 1
+            self.places[n] = np.full(1 << 18, -1, np.int32)
+            self.places[n][short.astype(np.int64)] = first
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -130,17 +168,24 @@ class Pieces:
                 fits = room[active] >= n
                 active, h = active[fits], h[fits]
             h = h * _MULT + points[active + (n - 1)] + np.uint64(1)
-            alive = self.prefixes[n][(h >> np.uint64(44)).astype(np.int64)]
-            active, h = active[alive], h[alive]
+            mixed = h * _SPREAD
+            short = (mixed >> np.uint64(44)).astype(np.int32)
+            alive = np.flatnonzero(self.prefixes[n][short])
+            active, h, mixed, short = active[alive], h[alive], mixed[alive], short[alive]
             if not len(active):
                 break
             if n in self.by_length:
                 keys, ids = self.by_length[n]
-                at = np.searchsorted(keys, h)
-                at[at == len(keys)] = 0
-                hit = np.flatnonzero(keys[at] == h)
-                matches.append((n, active[hit], ids[at[hit]].astype(np.int32)))
-                arcs_at[active[hit]] += 1
+                at = self.places[n][short >> 2]
+                may = np.flatnonzero(at >= 0)
+                at, whole = at[may], mixed[may]
+                for _ in range(self.company[n]):  # pieces of one place follow each other
+                    after = np.minimum(at + 1, len(keys) - 1)
+                    at = np.where(keys[after] <= whole, after, at)
+                hit = np.flatnonzero(keys[at] == whole)
+                who = active[may[hit]]
+                matches.append((n, who, ids[at[hit]].astype(np.int32)))
+                arcs_at[who] += 1
         single = np.zeros(n_chars, bool)
         if matches and matches[0][0] == 1:
             single[matches[0][1]] = True
@@ -210,10 +255,13 @@ class Pieces:
                 out += [self.byte_ids[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")]
         return np.array(out, np.int32)
 
+    def decoded(self, ids: list[int]) -> bytes:
+        """The bytes of a sequence of ids, with the leading space that encoding puts in front."""
+        return b"".join(map(self.surface.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
-        """The text of a sequence of ids; the leading space that encoding puts in front is taken off."""
-        whole = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return whole.removeprefix(" ")
+        """The text of a sequence of ids; the leading space is taken off."""
+        return self.decoded(ids).decode("utf-8", "replace").removeprefix(" ")
 
 
 @dataclass
@@ -249,13 +297,13 @@ def _drawn(lattice: Lattice, node: np.ndarray, end: np.ndarray, seed: np.ndarray
     return out, count
 
 
-def top_k(pieces: Pieces, texts: list[str], seeds: list[int], k: int) -> tuple[Lattice, list[list[Sample]]]:
+def top_k(pieces: Pieces, texts: list[str], seeds: list[int], k: int, chunks: Chunks | None = None) -> tuple[Lattice, list[list[Sample]]]:
     """For each text its k sampled segmentations (fewer if it has fewer), best first, with inclusion scores."""
-    numbers = Numbers()
-    chunk_lists = [pieces.chunks(t) for t in texts]
-    occurrences = [np.fromiter(map(numbers.__getitem__, c), np.int64, len(c)) for c in chunk_lists]
-    del chunk_lists
-    lattice = pieces.lattice(list(numbers))
+    chunks = chunks or Chunks(pieces)
+    occurrences = chunks.of(texts)
+    lattice = chunks.lattice
+    chunk_ends = np.zeros(len(lattice.begin), bool)
+    chunk_ends[lattice.last] = True
     bases = np.array([xxhash.xxh3_64_intdigest(s.to_bytes(8, "little", signed=True)) for s in seeds], np.uint64)
     found: list[list[Sample]] = [[] for _ in texts]
     frontier: list[list] = [[] for _ in texts]
@@ -264,8 +312,8 @@ def top_k(pieces: Pieces, texts: list[str], seeds: list[int], k: int) -> tuple[L
     for turn in range(k):
         starts, ends, seeds_, firsts = [], [], [], []
         for d, _, prefix, at, node, taken in popped:
-            chunks = occurrences[d][at:]
-            start, end = lattice.first[chunks], lattice.last[chunks]
+            ahead = occurrences[d][at:]
+            start, end = lattice.first[ahead], lattice.last[ahead]
             base = bases[d : d + 1] + np.array([turn + 1], np.uint64) * _PATH
             first = -1
             if node >= 0:
@@ -278,7 +326,7 @@ def top_k(pieces: Pieces, texts: list[str], seeds: list[int], k: int) -> tuple[L
             firsts.append(first)
             starts.append(start)
             ends.append(end)
-            seeds_.append(base + np.arange(at, at + len(chunks)).astype(np.uint64) * _PLACE)
+            seeds_.append(base + np.arange(at, at + len(ahead)).astype(np.uint64) * _PLACE)
         if not popped:
             break
         sizes = np.array([len(x) for x in starts])
@@ -296,8 +344,8 @@ def top_k(pieces: Pieces, texts: list[str], seeds: list[int], k: int) -> tuple[L
             if sets and turn < k - 1:
                 value, _, path_no, index, taken = heapq.heappop(sets)
                 path = found[d][path_no].arcs
-                # The occurrence that an arc lies in: nodes of a chunk are numbered in a row, so the chunk ends tell.
-                ended = int(np.count_nonzero(lattice.to[path[:index]] == _chunk_end(lattice, path[:index]))) if index else 0
+                # The occurrence that an arc lies in: as many chunks are behind it as arcs before it led to a chunk's last node.
+                ended = int(np.count_nonzero(chunk_ends[lattice.to[path[:index]]])) if index else 0
                 popped.append((d, -value, path[:index], _nth_full(lattice, occurrences[d], ended), _source(lattice, path[index]), taken))
     for d, samples in enumerate(found):
         bound = -frontier[d][0][0] if frontier[d] else -np.inf
@@ -310,11 +358,6 @@ def _source(lattice: Lattice, arc: int) -> int:
     return int(np.searchsorted(lattice.begin, arc, "right")) - 1
 
 
-def _chunk_end(lattice: Lattice, arcs: np.ndarray) -> np.ndarray:
-    """The last node of the chunk of each arc."""
-    return lattice.last[np.searchsorted(lattice.last, lattice.to[arcs], "left")]
-
-
 def _nth_full(lattice: Lattice, chunks: np.ndarray, n: int) -> int:
     """The index of the chunk after n chunks that are not empty; empty ones right before it are passed over."""
     full = np.flatnonzero(lattice.last[chunks] > lattice.first[chunks])
@@ -382,32 +425,40 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 0,
     if k < 1:
         raise ValueError("k must be at least 1")
     names = ["doc_id", "rank", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_hash", "decoded", *["ids"] * with_ids]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * with_ids]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, ids, texts, held = pieces_of(model), [], [], 0
+        chunks = Chunks(pieces)
         for batch in batches:
             for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 ids.append(i.as_py())
                 texts.append(t.as_py() or "")
                 held += len(texts[-1])
                 if held >= BLOCK_CHARS:
-                    yield rows(pieces, ids, texts)
+                    yield rows(chunks, ids, texts)
                     ids, texts, held = [], [], 0
         if ids:
-            yield rows(pieces, ids, texts)
+            yield rows(chunks, ids, texts)
 
-    def rows(pieces: Pieces, ids: list, texts: list[str]) -> pa.RecordBatch:
+    def rows(chunks: Chunks, ids: list, texts: list[str]) -> pa.RecordBatch:
+        pieces = chunks.pieces
         mixed = [(i if i is not None else -1) ^ (seed * 0x1F3D5B79) for i in ids]
-        lattice, found = top_k(pieces, texts, [(m + (1 << 63)) % (1 << 64) - (1 << 63) for m in mixed], k)
+        lattice, found = top_k(pieces, texts, [(m + (1 << 63)) % (1 << 64) - (1 << 63) for m in mixed], k, chunks)
         out: list[tuple] = []
+        lists: list[np.ndarray] = []
         for i, text, samples in zip(ids, texts, found, strict=True):
+            plain = (" " * bool(text) + text.replace(MARK, " ")).encode("utf-8", "surrogatepass")
             for rank, s in enumerate(samples, 1):
                 own = pieces.ids(lattice.piece[s.arcs])
-                same = pieces.decode(own.tolist()) == text.replace(MARK, " ")
+                lists.append(own)
                 hashed = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
-                out.append((i, rank, len(own), s.log_prob, s.perturbed, s.inclusion, hashed, same, *[own] * with_ids))
-        return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                out.append((i, rank, len(own), s.log_prob, s.perturbed, s.inclusion, hashed, pieces.decoded(own.tolist()) == plain))
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+        if with_ids:
+            ends = np.cumsum([0, *map(len, lists)])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int32())))
+        return pa.record_batch(columns, names)
 
     schema = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_hash long, decoded boolean"
     return documents(docs, id_col, text_col).mapInArrow(search, schema + ", ids array<int>" * with_ids)
