@@ -71,23 +71,36 @@ ACTIONABLE = ("ing", "ung", "ment", "tion", "keit", "que")
 PROFESSIONAL = ("tion", "keit", "ment", "ble", "ously", "lich", "eux", "mente", "ción", "zzz", "str", "ndw")
 DEPTH = ("there", "schau", "quel", "ónde", "thing")
 PLACEHOLDERS_SQL = "(starts_with(x, '*暂无') OR starts_with(x, '待'))"
-_DOC = (
-    "'# ' || source || chr(10) || '## Core ideas' || chr(10) || '- ' || replace(substr(text, 1, 600), '. ', chr(10) || '- ') || chr(10) || '## Methods' || chr(10) || '- ' || "
-    "replace(substr(text, 601, 500), '. ', chr(10) || '- ') || chr(10) || '### Tips' || chr(10) || '**' || replace(substr(text, 1101, 400), ', ', chr(10) || '**') || chr(10) || '## Insights' || chr(10) || "
-    "'x: ' || replace(substr(text, 1501, 500), '. ', chr(10) || 'y: ') || chr(10) || CASE WHEN length(text) > 2500 THEN '## Tools' || chr(10) || '- ' || substr(text, 2001, 200) || chr(10) ELSE '' END || "
-    "CASE WHEN length(text) > 4000 THEN '## Guide' || chr(10) || '- ' || replace(substr(text, 2201, 600), '. ', chr(10) || '- ') || chr(10) || '## Cases' || chr(10) || substr(text, 3001, 5000) ELSE '' END"
-)
+#: Headings of the composed document with the shares of a text's characters, in twelfths, that stand under them, and how
+#: sentences are marked there. The last share goes to the end, so every character of a text is in the document.
+SHARES = (
+    ("## Core ideas\n- ", 3, ". ", "\n- "), ("## Methods\n- ", 2, ". ", "\n- "), ("### Tips\n**", 2, ", ", "\n**"), ("## Insights\nx: ", 2, ". ", "\ny: "),
+    ("## Tools\n- ", 1, "", ""), ("## Guide\n- ", 1, ". ", "\n- "), ("## Cases\n", 1, "", ""),
+)
+
+
+def _pieces():
+    done = 0
+    for heading, share, old, new in SHARES:
+        yield heading, done, done + share, old, new
+        done += share
+
+
+_LIT = lambda x: " || chr(10) || ".join(q.text(part) for part in x.split("\n"))
+_DOC = "'# ' || source || chr(10)"
+for _heading, _from, _to, _old, _new in _pieces():
+    _piece = f"substr(text, length(text) * {_from} // 12 + 1, length(text) * {_to} // 12 - length(text) * {_from} // 12)"
+    _DOC += f" || {_LIT(_heading)} || " + (f"replace({_piece}, {q.text(_old)}, {_LIT(_new)})" if _old else _piece) + " || chr(10)"
 
 
 def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    piece = lambda a, n, old, new: F.replace(F.substring("text", a, n), F.lit(old), F.lit(new))
-    lit = F.lit
-    document = F.concat(
-        lit("# "), F.col("source"), lit("\n## Core ideas\n- "), piece(1, 600, ". ", "\n- "), lit("\n## Methods\n- "), piece(601, 500, ". ", "\n- "), lit("\n### Tips\n**"), piece(1101, 400, ", ", "\n**"),
-        lit("\n## Insights\nx: "), piece(1501, 500, ". ", "\ny: "), lit("\n"), F.when(F.length("text") > 2500, F.concat(lit("## Tools\n- "), F.substring("text", 2001, 200), lit("\n"))).otherwise(""),
-        F.when(F.length("text") > 4000, F.concat(lit("## Guide\n- "), piece(2201, 600, ". ", "\n- "), lit("\n## Cases\n"), F.substring("text", 3001, 5000))).otherwise(""),
-    )
-    return docs(spark, sf_dir).select("doc_id", document.alias("document"), F.when(F.col("lang") == "en", "technology").when(F.col("lang") == "de", "education").otherwise("general").alias("kind"), F.length("text").alias("n"))
+    parts = [F.lit("# "), F.col("source"), F.lit("\n")]
+    at = lambda share: F.floor(F.length("text") * share / 12).cast("int")
+    for heading, begin, end, old, new in _pieces():
+        piece = F.substring("text", at(begin) + 1, at(end) - at(begin))
+        parts += [F.lit(heading), F.replace(piece, F.lit(old), F.lit(new)) if old else piece, F.lit("\n")]
+    kind = F.when(F.col("lang") == "en", "technology").when(F.col("lang") == "de", "education").otherwise("general")
+    return docs(spark, sf_dir).select("doc_id", F.concat(*parts).alias("document"), kind.alias("kind"), F.length("text").alias("n"))
 
 
 SEC = f"d AS (SELECT doc_id, {_DOC} AS document, CASE lang WHEN 'en' THEN 'technology' WHEN 'de' THEN 'education' ELSE 'general' END AS kind, length(text) AS n FROM documents), s AS (SELECT *, " + ", ".join(
