@@ -34,9 +34,9 @@ class Lexicon:
 
 # Results on Chinese texts follow from these lists.
 ZH = Lexicon(
-    stopwords=tuple(
-        "的 是 在 有 和 就 不 了 与 也 上 为 个 我 你 他 她 它 这 那 其 之 以 及 等 很 更 最 还 都 要 可 能 会 而 但 或 如 若 因 由 对 从 到 把 被 让 使 给 向 往 "
-        "一 二 三 四 五 六 七 八 九 十 百 千 万 年 月 日".split()
+    stopwords=(
+        "的", "是", "在", "有", "和", "就", "不", "了", "与", "也", "上", "为", "个", "我", "你", "他", "她", "它", "这", "那", "其", "之", "以", "及", "等", "很", "更", "最", "还", "都", "要", "可", "能",
+        "会", "而", "但", "或", "如", "若", "因", "由", "对", "从", "到", "把", "被", "让", "使", "给", "向", "往", "一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "百", "千", "万", "年", "月", "日",
     ),
     domains=(
         ("technology", ("技术", "软件", "开发", "编程", "代码", "系统", "平台", "工具", "AI", "算法", "数据", "网络")),
@@ -46,11 +46,33 @@ ZH = Lexicon(
         ("finance", ("金融", "投资", "理财", "股票", "基金", "保险", "贷款", "财务", "经济", "货币")),
     ),
     weighted_domains=(
-        ("technology", 1.0, ("编程", "开发", "代码", "软件", "技术", "算法", "系统", "平台")),
-        ("business", 1.0, ("商业", "创业", "营销", "销售", "客户", "市场", "品牌", "运营")),
-        ("finance", 1.0, ("金融", "投资", "理财", "股票", "基金", "债券", "保险", "银行")),
-        ("education", 1.0, ("教育", "学习", "培训", "课程", "教学", "知识", "技能")),
-        ("lifestyle", 0.8, ("生活", "健康", "饮食", "运动", "健身", "美食", "旅行", "娱乐")),
+        ("technology", 1.0, (
+            "编程", "开发", "代码", "程序", "软件", "技术", "算法", "架构", "系统", "平台", "AI", "人工智能", "机器学习", "深度学习", "Python", "Java", "JavaScript", "前端", "后端", "数据库", "网络",
+            "云计算", "大数据", "区块链", "工具", "IDE", "API", "框架", "库", "开源", "Github", "版本控制", "测试", "部署", "运维",
+        )),
+        ("business", 1.0, (
+            "商业", "创业", "营销", "销售", "客户", "市场", "品牌", "运营", "策略", "商务", "合作", "竞争", "产品", "服务", "用户", "体验", "需求", "痛点", "商业模式", "盈利", "收入", "成本", "效率",
+            "增长", "扩张", "转型", "创新", "商业计划",
+        )),
+        ("finance", 1.0, (
+            "金融", "投资", "理财", "股票", "基金", "债券", "证券", "期货", "保险", "银行", "资产", "财富", "收益", "风险", "回报", "资本", "融资", "上市", "IPO", "估值", "财务", "会计", "预算", "现金流",
+            "利润", "成本", "税务", "审计", "报表",
+        )),
+        ("management", 1.0, (
+            "管理", "领导", "团队", "组织", "人事", "招聘", "培训", "绩效", "考核", "激励", "沟通", "协作", "决策", "执行", "监督", "反馈", "改进", "文化", "价值观", "愿景", "使命", "战略", "规划", "目标",
+            "KPI", "OKR", "流程", "制度", "规范",
+        )),
+        ("education", 1.0, (
+            "教育", "学习", "培训", "课程", "教学", "知识", "技能", "能力", "素质", "方法", "技巧", "经验", "实践", "理论", "原理", "概念", "思维", "认知", "理解", "掌握", "提升", "成长", "发展", "进步",
+            "突破", "创新", "思考", "分析", "解决", "应用",
+        )),
+        ("personal_development", 1.0, (
+            "职业", "发展", "成长", "规划", "目标", "习惯", "思维", "心理", "情商", "沟通", "人际关系", "社交", "影响力", "自信", "自律", "时间管理", "效率", "专注", "学习能力", "适应能力", "创造力",
+            "执行力", "领导力", "决策力", "抗压力",
+        )),
+        ("lifestyle", 0.8, (
+            "生活", "健康", "饮食", "运动", "健身", "美食", "旅行", "娱乐", "休闲", "兴趣", "爱好", "家庭", "朋友", "社交", "时尚", "购物", "消费", "家居", "装修", "文化",
+        )),
     ),
     groups=(("method", ("方法", "技巧", "策略", "方式")), ("tool", ("工具", "软件", "平台", "系统")), ("application", ("应用", "实践", "使用", "操作"))),
     overlapping_groups=(
