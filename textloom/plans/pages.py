@@ -250,7 +250,12 @@ def content_text(spark, sf_dir):
     return rows.select("page_id", render.content_text(F.col("title"), urls.authority(F.col("url")), html.tag_text(F.col("html"), "h1"), F.length("html")).alias("content"))
 
 
-@query(f"WITH {TITLED}, n AS (SELECT page_id, {FILE_A} AS base FROM t), k AS (SELECT page_id, base, row_number() OVER (PARTITION BY base ORDER BY page_id) - 1 AS k FROM n) SELECT page_id, base || CASE WHEN k = 0 THEN '' ELSE '_' || k::VARCHAR END || '.md' AS file_name FROM k")
+@query(rf"""WITH {TITLED}, n AS (SELECT page_id, {FILE_A} AS base FROM t),
+k AS (SELECT page_id, base, row_number() OVER (PARTITION BY base ORDER BY page_id) - 1 AS k FROM n),
+u AS (SELECT regexp_extract(base, '^(.*)_([1-9]\d{{0,8}})$', 1) AS base, TRY_CAST(regexp_extract(base, '^(.*)_([1-9]\d{{0,8}})$', 2) AS INTEGER) AS number FROM (SELECT DISTINCT base FROM n)),
+t2 AS (SELECT base, list_sort(list(DISTINCT number)) AS taken FROM u WHERE number IS NOT NULL GROUP BY base),
+f AS (SELECT page_id, k.base, CASE WHEN k = 0 THEN 0 ELSE list_reduce(list_prepend(k, coalesce(taken, []::BIGINT[])), lambda a, b: CASE WHEN b <= a THEN a + 1 ELSE a END) END AS k FROM k LEFT JOIN t2 ON k.base = t2.base)
+SELECT page_id, base || CASE WHEN k = 0 THEN '' ELSE '_' || k::VARCHAR END || '.md' AS file_name FROM f""")
 def sink_names(spark, sf_dir):
     return sinks.named(titled(spark, sf_dir), order="page_id").select("page_id", "file_name")
 

@@ -5,17 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below spark.checkpoint.dir; where that is unset, as in tests, below a temporary folder set once."""
+    """A fresh path below spark.checkpoint.dir. On a local master a temporary folder stands in for it; elsewhere it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             folder = known.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
             spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{folder.rstrip('/')}/textloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

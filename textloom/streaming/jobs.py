@@ -37,9 +37,14 @@ def drained_batches(stream: DataFrame, out: str, work: Callable[[DataFrame, int]
     return stream.sparkSession.read.schema(schema).parquet(f"{out}/data")
 
 
-def deduplicated(docs: DataFrame, content: str = "text") -> DataFrame:
-    """One row per content as it arrives; the state holds a hash per distinct content."""
-    return docs.withColumn("content_hash", F.md5(F.col(content).cast("binary"))).dropDuplicates(["content_hash"])
+def deduplicated(docs: DataFrame, content: str = "text", at: str | None = None, late: str = "7 days") -> DataFrame:
+    """One row per content as it arrives; the state holds a hash per distinct content.
+
+    With at, the time of a row, the state of a content goes once the watermark is past its time by late, and copies that
+    come later still pass. Without it the state is kept for as long as the stream runs, so that suits streams that end.
+    """
+    rows = docs.withColumn("content_hash", F.md5(F.col(content).cast("binary")))
+    return rows.dropDuplicates(["content_hash"]) if at is None else rows.withWatermark(at, late).dropDuplicatesWithinWatermark(["content_hash"])
 
 
 def windowed_counts(events: DataFrame, at: str = "ts", late: str = "1 hour", width: str = "1 day") -> DataFrame:
