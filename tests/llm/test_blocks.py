@@ -1,16 +1,36 @@
-"""Benchmark blocks are bounded by words, and items cut into pieces match as whole ones do."""
+"""Benchmarks of any size and items of any length: the same matches in more tasks, in a plan of the same size."""
 
 from textloom.llm import decontamination
 
+W = [f"w{i}" for i in range(200)]
 
-def test_blocks_by_words(spark, monkeypatch):
-    w = [f"w{i}" for i in range(200)]
-    docs = spark.createDataFrame([(1, " ".join(w[20:90])), (2, "x " + " ".join(w[33:44]) + " y"), (3, "a b c"), (4, " ".join(w[180:]))], "doc_id long, text string")
-    items = spark.createDataFrame([("long", " ".join(w)), ("short", "a b c"), ("none", ""), ("other", " ".join(w[30:60]))], "item_id string, text string")
-    index, sizes, match = decontamination.build_index(docs), [], decontamination._match_block
-    monkeypatch.setattr(decontamination, "_match_block", lambda i, block, *a: sizes.append(sum(len(x) for _, x in block)) or match(i, block, *a))
-    rows = lambda **o: sorted((r.segment, r.doc_no, r.item_id, [tuple(s) for s in r.spans]) for r in decontamination.find_matches(index, items, **o).collect())
-    whole = rows()
-    assert len(sizes) == 1 and len(whole) == 6
-    sizes.clear()
-    assert rows(block_words=25) == whole and max(sizes) <= 25
+
+def rows(index, items, **o):
+    return sorted((r.segment, r.doc_no, r.item_id, [tuple(s) for s in r.spans]) for r in decontamination.find_matches(index, items, **o).collect())
+
+
+def test_blocks_of_windows(spark):
+    docs = spark.createDataFrame([(1, " ".join(W[20:90])), (2, "x " + " ".join(W[33:44]) + " y"), (3, "a b c"), (4, " ".join(W[180:]))], "doc_id long, text string")
+    items = spark.createDataFrame([("long", " ".join(W)), ("short", "a b c"), ("none", ""), ("other", " ".join(W[30:60]))], "item_id string, text string")
+    index = decontamination.build_index(docs)
+    whole = rows(index, items)
+    assert len(whole) == 6 and rows(index, items, block_windows=25) == whole
+
+
+def test_the_plan_does_not_grow_with_the_benchmark(spark):
+    docs = spark.createDataFrame([(i, " ".join(W[i : i + 30])) for i in range(40)], "doc_id long, text string")
+    index = decontamination.build_index(docs, segment_words=200)
+    sizes = []
+    for n in (5, 120):
+        items = spark.createDataFrame([(i, " ".join(W[i : i + 12])) for i in range(n)], "item_id long, text string")
+        found = decontamination.find_matches(index, items, block_windows=10)
+        sizes.append(len(found._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        assert found.count() == sum(i <= j and j + 12 <= i + 30 or any(max(i, j + k) == j + k and j + k + 10 <= i + 30 for k in range(3)) for i in range(40) for j in range(n))
+    assert sizes[0] == sizes[1]
+
+
+def test_one_term_that_is_in_every_document(spark):
+    docs = spark.createDataFrame([(i, "the " * 12 + f"u{i}") for i in range(300)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the " * 11), (2, "the " * 9 + "u7"), (3, "the never seen words at all in any of the texts")], "item_id long, text string")
+    got = {(r.doc_no, r.item_id) for r in decontamination.find_matches(decontamination.build_index(docs.coalesce(1)), items).collect()}
+    assert got == {(i, "1") for i in range(300)} | {(7, "2")}

@@ -199,7 +199,7 @@ def test_phrases_and_proximity_against_brute_force(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     index = decontamination.build_index(d, segment_words=200)
     ids = {(r.segment, r.doc_no): r.doc_id for r in index.where("term is null").collect()}
-    got = {(ids[r.segment, r.doc_no], r.item_id): {p for s in r.spans for p in range(s.start, s.end)} for r in decontamination.find_matches(index, b, window=3, block_items=7).collect()}
+    got = {(ids[r.segment, r.doc_no], r.item_id): {p for s in r.spans for p in range(s.start, s.end)} for r in decontamination.find_matches(index, b, window=3, block_windows=7).collect()}
     want = {}
     for i, t in docs:
         w = t.split()

@@ -4,6 +4,9 @@ The index is split by document into segments. A segment numbers its words on one
 and stores for each term the sorted positions at which it stands. A phrase is found by intersecting the
 offset-adjusted position lists of its terms, from the rarest term on; a proximity match by checking, around each
 position of the rarest term, that all other terms stand close enough.
+
+The windows of the benchmark are a table, too. Postings of its terms tell how often each stands in the corpus, so each
+window is taken to the segments that hold its rarest term, and only there, with the lists of its other terms.
 """
 
 from __future__ import annotations
@@ -17,18 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import documents, quoted, written
+from textloom.llm.common import documents, filter_field, filter_table, may_hold, quoted, written
 
 #: Bytes that end a word; A-Z become a-z. All bytes of non-ASCII characters belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WINDOW = 10
 #: Words of a segment; bounds what one search task holds, besides one longest document.
 SEGMENT_WORDS = 1_000_000
-#: Benchmark items searched at once; larger benchmarks take several passes over the postings of their terms.
-BLOCK_ITEMS = 2000
-#: Words of the benchmark that are searched in one pass.
-BLOCK_WORDS = 200_000
-INDEX = "segment string, doc_no int, doc_id long, n_words int, start int, term binary, positions binary"
+#: Windows that are searched in a segment by one task; more are dealt over several, each with the lists it needs.
+BLOCK_WINDOWS = 20_000
+INDEX = "segment string, doc_no int, doc_id long, n_words int, start int, term binary, n int, positions binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,9 +42,9 @@ def _segment(name: str, ids: list, lists: list[list[bytes]]) -> Iterator[pa.Reco
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
     n = len(ids)
     names = [f.split()[0] for f in INDEX.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
     made = lambda *cols: pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-    yield made([name] * n, range(n), ids, lengths, starts, [None] * n, [None] * n)
+    yield made([name] * n, range(n), ids, lengths, starts, [None] * n, [None] * n, [None] * n)
     number: dict[bytes, int] = {}
     give = number.setdefault
     terms = np.fromiter((give(w, len(number)) for x in lists for w in x), np.int32, int(lengths.sum()))
@@ -52,7 +53,8 @@ def _segment(name: str, ids: list, lists: list[list[bytes]]) -> Iterator[pa.Reco
     place = np.arange(len(terms)) + np.repeat(np.arange(n), lengths)
     order = np.argsort(terms, kind="stable")
     sorted_places = place[order].astype(np.int32)
-    ends = np.cumsum(np.bincount(terms, minlength=len(number)))
+    counts = np.bincount(terms, minlength=len(number))
+    ends = np.cumsum(counts)
     # Lists of four bytes a position, cut from one buffer.
     offsets = np.concatenate([[0], ends]).astype(np.int32) * 4
     lists_col = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(offsets), pa.py_buffer(sorted_places)])
@@ -60,7 +62,7 @@ def _segment(name: str, ids: list, lists: list[list[bytes]]) -> Iterator[pa.Reco
         k = min(20_000, len(number) - a)
         none = pa.nulls(k)
         yield pa.record_batch(
-            [pa.array([name] * k), *(none.cast(t) for t in kinds[1:5]), pa.array(list(number)[a : a + k], pa.binary()), lists_col.slice(a, k)], names
+            [pa.array([name] * k), *(none.cast(t) for t in kinds[1:5]), pa.array(list(number)[a : a + k], pa.binary()), pa.array(counts[a : a + k], pa.int32()), lists_col.slice(a, k)], names
         )
 
 
@@ -96,12 +98,6 @@ def windows_of(words: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ..
     return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
 
 
-def pieces_of(words: list[bytes], window: int, most: int) -> list[list[bytes]]:
-    """words in pieces of at most so many (a window at least) that together have the windows of the whole."""
-    most = max(most, window)
-    return [words[i : i + most] for i in range(0, max(1, len(words) - window + 1), most - window + 1)]
-
-
 def phrase_starts(phrase: tuple[bytes, ...], postings: dict[bytes, np.ndarray]) -> np.ndarray:
     """Positions at which the phrase stands: offset-adjusted lists intersected from the shortest on."""
     lists = sorted(((postings.get(w), k) for k, w in enumerate(phrase)), key=lambda x: -1 if x[0] is None else len(x[0]))
@@ -148,73 +144,74 @@ def proximity_spans(phrase: tuple[bytes, ...], postings: dict[bytes, np.ndarray]
     return sorted(set(spans))
 
 
-def find_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int | None = None, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document and item that match: segment, doc_no, item_id string, spans array<struct<start, end>>.
+def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(item_id string, words array<binary>) of each window of each item; items may be of any length."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id"), batch.column("text"), strict=True):
+                words = words_of(text.as_py())
+                last = max(1, len(words) - window + 1) if words else 0
+                for a in range(0, last, 5000):
+                    made = [words[i : i + window] for i in range(a, min(last, a + 5000))]
+                    yield pa.record_batch([pa.array([item.as_py()] * len(made), pa.string()), pa.array(made, pa.list_(pa.binary()))], ["item_id", "words"])
 
-    spans are word positions in the document, end exclusive, merged where they touch. With slop, a window also matches
-    where all its distinct terms stand within its length plus slop words, in any order. The benchmark is taken in
-    blocks of block_items items and block_words words at most, so what a task is given stays bounded however large the
-    benchmark is. An item of more words is taken in pieces that overlap by a window less one word, so all its windows
-    are searched; its spans are put together again. Each block is a pass over the postings of its words.
-    """
-    out = "segment string, doc_no int, item_id string, spans array<struct<start: int, `end`: int>>"
-    spark = index.sparkSession
     items = benchmark.select(quoted(item_col).cast("string").alias("item_id"), quoted(text_col).cast("string").alias("text")).where("text is not null")
-    found = spark.createDataFrame([], out)
-    block: list = []
-    held, split = 0, False
-    rows = items.toLocalIterator()  # one partition of the benchmark at a time; the corpus never passes here
-    while True:
-        row = next(rows, None)
-        pieces = [] if row is None else pieces_of(words_of(row.text), window, block_words)
-        split |= len(pieces) > 1
-        for words in pieces:
-            if block and (len(block) >= block_items or held + len(words) > block_words):
-                found, block, held = found.unionByName(_match_block(index, block, window, slop, out)), [], 0
-            block.append((row.item_id, words))
-            held += len(words)
-        if row is None:
-            if block:
-                found = found.unionByName(_match_block(index, block, window, slop, out))
-            break
-    if split:
-        found = found.groupBy("segment", "doc_no", "item_id").agg(joined_spans(F.flatten(F.collect_list("spans"))).alias("spans"))  # one document's own
-    return found
+    return items.mapInArrow(cut, "item_id string, words array<binary>")
+
 
+def find_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row per document and item that match: segment, doc_no, item_id string, spans array<struct<start, end>>.
 
-def _match_block(index: DataFrame, block: list, window: int, slop: int | None, out: str) -> DataFrame:
-    phrases: dict[tuple[bytes, ...], set[str]] = {}
-    for item, words in block:
-        for w in windows_of(words, window):
-            phrases.setdefault(w, set()).add(item)
-    phrases = {w: sorted(i, key=str) for w, i in phrases.items()}
+    spans are word positions in the document, end exclusive, merged where they touch. With slop, a window also matches
+    where all its distinct terms stand within its length plus slop words, in any order. Windows with a term that the
+    corpus lacks are dropped; every other is searched in the segments that hold its rarest term. A task searches a segment
+    for block_windows windows on the average, so what it holds does not grow with the benchmark.
+    """
     spark = index.sparkSession
-    terms = spark.createDataFrame([(t,) for t in {t for w in phrases for t in w}], "term binary")
-    shared = spark.sparkContext.broadcast(phrases)  # at most block_items items and block_words words
-    starts = index.where("term is null").select("segment", "doc_no", "start", "term", "positions")
-    lists = index.where("term is not null").select("segment", "doc_no", "start", "term", "positions").join(F.broadcast(terms), "term", "left_semi")
-
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        docs = part[part["term"].isna()].sort_values("doc_no")
-        start = docs["start"].to_numpy(np.int64)
-        rest = part[part["term"].notna()]
-        postings = {bytes(t): np.frombuffer(p, np.int32).astype(np.int64) for t, p in zip(rest["term"], rest["positions"], strict=True)}
-        spans: dict[tuple[int, str], list] = {}
-        for phrase, owners in shared.value.items():
+    windows = written(benchmark_windows(benchmark, item_col, text_col, window), "benchmark-windows")
+    phrases = written(windows.select("words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+    terms = phrases.select("phrase", F.explode("words").alias("term"))
+    wanted = written(terms.select("term").distinct(), "benchmark-terms")
+    passes = may_hold(F.xxhash64("term"), filter_field(filter_table(wanted.select(F.xxhash64("term").alias("h")))), spark)
+    lists = written(index.where("term is not null").where(passes).select("segment", "term", "n", "positions").join(wanted, "term"), "benchmark-lists")
+
+    often = lists.groupBy("term").agg(F.sum("n").alias("often"))
+    rarest = terms.join(often, "term", "left").groupBy("phrase").agg(F.min(F.struct("often", "term")).alias("of"), F.bool_or(F.col("often").isNull()).alias("absent"))
+    rarest = rarest.where("not absent").select("phrase", F.col("of.term").alias("term"))
+    found = written(lists.select("segment", "term").join(rarest, "term").select("segment", "phrase"), "candidate-segments")
+    parts = written(found.groupBy("segment").agg(F.ceil(F.count("*") / block_windows).cast("int").alias("parts")), "segment-parts")
+    asked = found.join(parts, "segment").withColumn("part", F.pmod(F.xxhash64("phrase"), F.col("parts")).cast("int")).join(phrases, "phrase")
+    asked = written(asked.select("segment", "part", "phrase", "words"), "segment-phrases")
+
+    none = lambda kind: F.lit(None).cast(kind)
+    needed = asked.select("segment", "part", F.explode("words").alias("term")).distinct().join(lists, ["segment", "term"])
+    starts = index.where("term is null").select("segment", "doc_no", "start").join(parts, "segment").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = starts.select("segment", "part", "doc_no", "start", none("binary").alias("term"), none("binary").alias("positions"), none("string").alias("phrase"), none("array<binary>").alias("words"))
+    rows = rows.unionByName(needed.select("segment", "part", "term", "positions"), allowMissingColumns=True).unionByName(asked.withColumn("phrase", F.col("phrase").cast("string")), allowMissingColumns=True)
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        docs = rows[rows["doc_no"].notna()].sort_values("doc_no")
+        start, numbers = docs["start"].to_numpy(np.int64), docs["doc_no"].to_numpy(np.int64)
+        held, asked = rows[rows["term"].notna()], rows[rows["phrase"].notna()]
+        postings = {bytes(t): np.frombuffer(p, np.int32).astype(np.int64) for t, p in zip(held["term"], held["positions"], strict=True)}
+        made, name = [], rows["segment"].iloc[0]
+        for number, words in zip(map(int, asked["phrase"]), asked["words"], strict=True):
+            phrase = tuple(bytes(w) for w in words)
             hits = [(p, p + len(phrase)) for p in phrase_starts(phrase, postings).tolist()]
             if slop is not None:
                 hits += proximity_spans(phrase, postings, len(phrase) + slop, start)
+            spans: dict[int, list] = {}
             for a, b in hits:
                 doc = int(np.searchsorted(start, a, "right")) - 1
                 if b - 1 < (start[doc + 1] - 1 if doc + 1 < len(start) else np.inf):
-                    for item in owners:
-                        spans.setdefault((doc, item), []).append((a - int(start[doc]), b - int(start[doc])))
-        name = part["segment"].iloc[0]
-        numbers = docs["doc_no"].to_numpy()
-        made = [(name, int(numbers[d]), item, [{"start": a, "end": b} for a, b in merged_spans(s)]) for (d, item), s in spans.items()]
-        return pd.DataFrame(made, columns=["segment", "doc_no", "item_id", "spans"])
-
-    return starts.unionByName(lists).groupBy("segment").applyInPandas(search, out)
+                    spans.setdefault(doc, []).append((a - int(start[doc]), b - int(start[doc])))
+            made += [(name, int(numbers[d]), number, [{"start": a, "end": b} for a, b in s]) for d, s in spans.items()]
+        return pd.DataFrame(made, columns=["segment", "doc_no", "phrase", "spans"])
+
+    hits = written(rows.groupBy("segment", "part").applyInPandas(search, "segment string, doc_no int, phrase long, spans array<struct<start: int, `end`: int>>"), "phrase-hits")
+    owned = windows.join(phrases, "words").select("phrase", "item_id").distinct()
+    return hits.join(owned, "phrase").groupBy("segment", "doc_no", "item_id").agg(joined_spans(F.flatten(F.collect_list("spans"))).alias("spans"))  # one document's own
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
