@@ -12,6 +12,8 @@ from textloom.sources.shared import shared_path
 
 #: Bits of a filter. It is broadcast, so its size is fixed; fuller filters pass more that the lookup then finds absent.
 FILTER_BITS = 1 << 26
+#: Tasks over which the rows of one key are dealt when they are joined with what the key has.
+SALT = 16
 #: Filters are built in so many parts, each in a task of its own.
 FILTER_PARTS = 64
 
@@ -87,3 +89,9 @@ def may_hold(h: Column, field: np.ndarray, spark: SparkSession) -> Column:
         return pd.Series((hit[0] & hit[1]).astype(bool))
 
     return passes(*_places(h, len(field) * 8))
+
+
+def salted_join(rows: DataFrame, owners: DataFrame, keys: list[str], how: str = "inner", by: str = "doc_id") -> DataFrame:
+    """rows joined with owners, which have a row for each key; the rows of one key are dealt over SALT tasks by the column by."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+    return dealt.join(owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*keys, "salt"], how).drop("salt")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import documents, written
+from textloom.llm.common import documents, salted_join, written
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -292,10 +292,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = classes.select("c", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = written(members.join(shared, "bucket"), "buckets")
+    buckets = written(salted_join(members, shared, ["bucket"], by="c"), "buckets")
     company = buckets.groupBy("c").agg(F.sum("size").alias("company"))
     heads = buckets.join(company, "c").groupBy("bucket").agg(F.max_by("c", F.struct("company", F.col("c"))).alias("head"))
-    buckets = written(buckets.join(heads, "bucket"), "bucket-heads")
+    buckets = written(salted_join(buckets, heads, ["bucket"], by="c"), "bucket-heads")
     grouped = classes.join(company.select("c"), "c")
     texts = written(rows.join(grouped.select("c", "doc_id", "key"), ["doc_id", "key"]).dropDuplicates(["c"]).select("c", "text"), "near-texts")
     known = written(grouped.select("c", "n", "sketch"), "near-sketches")
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rest = buckets.where("c <> head and size > 2").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     mixed = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    rest = written(rest.join(mixed, "bucket").select("head", "c", "label").distinct().join(known, "c"), "open-members")
+    rest = written(salted_join(rest, mixed, ["bucket"], by="c").select("head", "c", "label").distinct().join(known, "c"), "open-members")
     parts = rest.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     rest = rest.join(parts, "head").withColumn("side", F.pmod(F.xxhash64("c", "head"), F.col("parts")).cast("int"))
     rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

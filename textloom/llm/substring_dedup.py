@@ -24,15 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import documents, filter_field, filter_table, may_hold, shared_path, written
+from textloom.llm.common import documents, filter_field, filter_table, may_hold, salted_join, shared_path, written
 
 WINDOW = 50
 #: Words of the n-grams whose smallest hash marks a window.
 GRAM = 8
 #: A fingerprint of more stretches than this is dealt over several tasks and buckets, each with at most about so many.
 HOT = 5000
-#: Tasks over which the holders of one window, stretch or fingerprint are dealt when they are joined with its owner.
-SALT = 16
 DIGEST = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -209,12 +207,6 @@ def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.select("doc_id", "key", "text", "marks", "wide", "old").mapInArrow(emit, made)
 
 
-def salted_join(rows: DataFrame, owners: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows, which have a doc_id, joined with the few distinct owners; the rows of one key are dealt over SALT tasks."""
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
-    return dealt.join(owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*keys, "salt"], how).drop("salt")
-
-
 def repeated_places(found: DataFrame) -> DataFrame:
     """(doc_id, key, at, n): the n windows from the at-th on whose words start in a smaller document, where not old.
 
