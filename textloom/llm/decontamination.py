@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ from textloom.llm.common import documents, filter_field, filter_table, may_hold,
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WINDOW = 10
 #: Words of a segment; bounds what one search task holds, besides one longest document.
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS = 500_000
 #: Windows that are searched in a segment by one task; more are dealt over several, each with the lists it needs.
 BLOCK_WINDOWS = 20_000
 INDEX = "segment string, doc_no int, doc_id long, n_words int, start int, term binary, n int, positions binary"
@@ -173,31 +174,33 @@ def find_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_i
     phrases = written(windows.select("words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     terms = phrases.select("phrase", F.explode("words").alias("term"))
     wanted = written(terms.select("term").distinct(), "benchmark-terms")
-    passes = may_hold(F.xxhash64("term"), filter_field(filter_table(wanted.select(F.xxhash64("term").alias("h")))), spark)
-    lists = written(index.where("term is not null").where(passes).select("segment", "term", "n", "positions").join(wanted, "term"), "benchmark-lists")
+    held = lambda *keys, of: may_hold(F.xxhash64(*keys), filter_field(filter_table(of.select(F.xxhash64(*keys).alias("h")))), spark)
+    places = index.where("term is not null").where(held("term", of=wanted)).select("segment", "term", "n").join(wanted, "term")
+    places = written(places, "benchmark-places")  # without the positions
 
-    often = lists.groupBy("term").agg(F.sum("n").alias("often"))
+    often = places.groupBy("term").agg(F.sum("n").alias("often"))
     rarest = terms.join(often, "term", "left").groupBy("phrase").agg(F.min(F.struct("often", "term")).alias("of"), F.bool_or(F.col("often").isNull()).alias("absent"))
     rarest = rarest.where("not absent").select("phrase", F.col("of.term").alias("term"))
-    found = written(lists.select("segment", "term").join(rarest, "term").select("segment", "phrase"), "candidate-segments")
+    found = written(places.select("segment", "term").join(rarest, "term").select("segment", "phrase"), "candidate-segments")
     parts = written(found.groupBy("segment").agg(F.ceil(F.count("*") / block_windows).cast("int").alias("parts")), "segment-parts")
     asked = found.join(parts, "segment").withColumn("part", F.pmod(F.xxhash64("phrase"), F.col("parts")).cast("int")).join(phrases, "phrase")
     asked = written(asked.select("segment", "part", "phrase", "words"), "segment-phrases")
+    needed = written(asked.select("segment", "part", F.explode("words").alias("term")).distinct(), "needed-terms")
 
     none = lambda kind: F.lit(None).cast(kind)
-    needed = asked.select("segment", "part", F.explode("words").alias("term")).distinct().join(lists, ["segment", "term"])
+    lists = index.where("term is not null").where(held("segment", "term", of=needed)).select("segment", "term", "positions").join(needed, ["segment", "term"])
     starts = index.where("term is null").select("segment", "doc_no", "start").join(parts, "segment").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = starts.select("segment", "part", "doc_no", "start", none("binary").alias("term"), none("binary").alias("positions"), none("string").alias("phrase"), none("array<binary>").alias("words"))
-    rows = rows.unionByName(needed.select("segment", "part", "term", "positions"), allowMissingColumns=True).unionByName(asked.withColumn("phrase", F.col("phrase").cast("string")), allowMissingColumns=True)
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        docs = rows[rows["doc_no"].notna()].sort_values("doc_no")
-        start, numbers = docs["start"].to_numpy(np.int64), docs["doc_no"].to_numpy(np.int64)
-        held, asked = rows[rows["term"].notna()], rows[rows["phrase"].notna()]
-        postings = {bytes(t): np.frombuffer(p, np.int32).astype(np.int64) for t, p in zip(held["term"], held["positions"], strict=True)}
-        made, name = [], rows["segment"].iloc[0]
-        for number, words in zip(map(int, asked["phrase"]), asked["words"], strict=True):
-            phrase = tuple(bytes(w) for w in words)
+    rows = starts.select("segment", "part", "doc_no", "start", none("binary").alias("term"), none("binary").alias("positions"), none("long").alias("phrase"), none("array<binary>").alias("words"))
+    rows = rows.unionByName(lists.select("segment", "part", "term", "positions"), allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+
+    def search(rows: pa.Table) -> pa.Table:
+        docs = rows.filter(pc.is_valid(rows["doc_no"])).sort_by("doc_no")
+        start, numbers = docs["start"].to_numpy().astype(np.int64), docs["doc_no"].to_numpy()
+        held, asked = rows.filter(pc.is_valid(rows["term"])), rows.filter(pc.is_valid(rows["phrase"]))
+        postings = {t: np.frombuffer(p, np.int32).astype(np.int64) for t, p in zip(held["term"].to_pylist(), held["positions"].to_pylist(), strict=True)}
+        made: list[tuple] = []
+        for number, words in zip(asked["phrase"], asked["words"], strict=True):
+            phrase = tuple(words.as_py())
             hits = [(p, p + len(phrase)) for p in phrase_starts(phrase, postings).tolist()]
             if slop is not None:
                 hits += proximity_spans(phrase, postings, len(phrase) + slop, start)
@@ -205,11 +208,13 @@ def find_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_i
             for a, b in hits:
                 doc = int(np.searchsorted(start, a, "right")) - 1
                 if b - 1 < (start[doc + 1] - 1 if doc + 1 < len(start) else np.inf):
-                    spans.setdefault(doc, []).append((a - int(start[doc]), b - int(start[doc])))
-            made += [(name, int(numbers[d]), number, [{"start": a, "end": b} for a, b in s]) for d, s in spans.items()]
-        return pd.DataFrame(made, columns=["segment", "doc_no", "phrase", "spans"])
+                    spans.setdefault(doc, []).append({"start": a - int(start[doc]), "end": b - int(start[doc])})
+            made += [(int(numbers[d]), number.as_py(), s) for d, s in spans.items()]
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int32(), pa.int64(), span))]
+        return pa.table([pa.array([rows["segment"][0].as_py()] * len(made), pa.string()), *columns], ["segment", "doc_no", "phrase", "spans"])
 
-    hits = written(rows.groupBy("segment", "part").applyInPandas(search, "segment string, doc_no int, phrase long, spans array<struct<start: int, `end`: int>>"), "phrase-hits")
+    hits = written(rows.groupBy("segment", "part").applyInArrow(search, "segment string, doc_no int, phrase long, spans array<struct<start: int, `end`: int>>"), "phrase-hits")
     owned = windows.join(phrases, "words").select("phrase", "item_id").distinct()
     return hits.join(owned, "phrase").groupBy("segment", "doc_no", "item_id").agg(joined_spans(F.flatten(F.collect_list("spans"))).alias("spans"))  # one document's own
 
