@@ -36,7 +36,7 @@ _STEP, _PATH, _PLACE = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025
 #: Characters of the texts that are searched together; bounds a task's memory besides one longest text.
 BLOCK_CHARS = 1_500_000
 #: Distinct chunks whose lattices a task keeps from block to block.
-KEPT_CHUNKS = 150_000
+KEPT_CHUNKS = 300_000
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -102,6 +102,9 @@ class Pieces:
         self.surface = [p.replace(MARK, " ").encode() for p in pieces]
         for b, i in enumerate(byte_ids):
             self.surface[i] = bytes([b])
+        self.blob = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.sizes = np.fromiter(map(len, self.surface), np.int32, len(self.surface))
+        self.offsets = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
         self.byte_ids, self.byte_log_p = byte_ids, byte_log_p
         for p in pieces:
             if "\n" in p or re.search(f"[^{MARK}]{MARK}", p):
@@ -255,13 +258,17 @@ class Pieces:
                 out += [self.byte_ids[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")]
         return np.array(out, np.int32)
 
-    def decoded(self, ids: list[int]) -> bytes:
+    def decoded(self, ids: np.ndarray) -> bytes:
         """The bytes of a sequence of ids, with the leading space that encoding puts in front."""
-        return b"".join(map(self.surface.__getitem__, ids))
+        size = self.sizes[ids]
+        ends = np.cumsum(size, dtype=np.int32)
+        if not len(ends):
+            return b""
+        return self.blob[np.repeat(self.offsets[ids] - (ends - size), size) + np.arange(ends[-1], dtype=np.int32)].tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; the leading space is taken off."""
-        return self.decoded(ids).decode("utf-8", "replace").removeprefix(" ")
+        return self.decoded(np.asarray(ids, np.int64)).decode("utf-8", "replace").removeprefix(" ")
 
 
 @dataclass
@@ -453,7 +460,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 0,
                 own = pieces.ids(lattice.piece[s.arcs])
                 lists.append(own)
                 hashed = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
-                out.append((i, rank, len(own), s.log_prob, s.perturbed, s.inclusion, hashed, pieces.decoded(own.tolist()) == plain))
+                out.append((i, rank, len(own), s.log_prob, s.perturbed, s.inclusion, hashed, pieces.decoded(own) == plain))
         columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
         if with_ids:
             ends = np.cumsum([0, *map(len, lists)])
