@@ -135,6 +135,23 @@ def deep_find(keys: Sequence[str]):
     return find
 
 
+def first_entry():
+    """A pandas UDF of JSON texts and keys: as JSON, the first value of the object that stands under the key, depth first."""
+
+    @F.pandas_udf(T.StringType())
+    def find(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        def one(text, key):
+            try:
+                hit = find_first(json.loads(text), lambda d: d.get(key)) if key else None
+            except (TypeError, ValueError):
+                return None
+            return json.dumps(next(iter(hit.values())), ensure_ascii=False) if isinstance(hit, dict) else None
+
+        return pd.Series([one(t, k) for t, k in zip(texts, keys, strict=True)])
+
+    return find
+
+
 def find_with(required: Sequence[str], wrappers: Sequence[str] = ()):
     """A pandas UDF: as JSON, the first object that has all required keys, or stands under a wrapper key."""
     need, wrap = tuple(required), tuple(wrappers)

@@ -111,7 +111,7 @@ ZH = Lexicon(
     default_title="未知标题",
     texts={
         "title_theme": "：核心主题", "domain_theme": "：领域主题", "keyword_theme": "相关应用：实践主题", "relation_theme": "相关内容：",
-        "brief": "关于{}的简要内容。", "around": "主要内容围绕{}展开，涉及{}等关键概念。", "about": "内容主要讨论{}相关话题。",
+        "brief": "关于{}的简要内容。", "around": "主要内容围绕{}展开，涉及{}等关键概念。", "about": "内容主要讨论{}相关话题。", "too_short": "内容过短，无法进行有效分析",
     },
 )
 
@@ -138,6 +138,6 @@ LATIN = Lexicon(
     drop_ascii=False,
     texts={
         "title_theme": ": main theme", "domain_theme": ": field", "keyword_theme": " in use: practice", "relation_theme": " content:",
-        "brief": "A short text on {}.", "around": "Mainly about {}, with {} among its terms.", "about": "Mainly about {}.",
+        "brief": "A short text on {}.", "around": "Mainly about {}, with {} among its terms.", "about": "Mainly about {}.", "too_short": "Too short to analyse.",
     },
 )

@@ -41,48 +41,30 @@ def markdown(g: Column, as_of: Column) -> Column:
     )
 
 
-#: Parts of the template document, each with the key it is looked up by and its texts; "" serves all other keys.
-TEMPLATES = [
-    (part, key, value, f"{part} of {value}" if value else f"{part} in general")
-    for part, key, values in [
-        ("structure", "type", ["article", "qa_answer", "short_video", "lifestyle_note", "video_content", ""]),
-        ("elements", "type", ["article", "qa_answer", "short_video", "lifestyle_note", "video_content", ""]),
-        ("audience", "pair", ["www/article", "blog/article", "m/article", "zhihu/article", "douyin/short_video", ""]),
-        ("platform", "platform", ["www", "blog", "m", "zhihu", ""]),
-        ("distribution", "platform", ["www", "blog", "m", "zhihu", ""]),
-        ("behaviour", "platform", ["www", "blog", "m", "zhihu", ""]),
-        ("insights", "pair", ["www/article", "blog/article", "m/article", "zhihu/article", "douyin/short_video", ""]),
-        ("success", "pair", ["www/article", "blog/article", "m/article", "zhihu/article", "douyin/short_video", ""]),
-        ("risks", "pair", ["www/article", "blog/article", "m/article", "zhihu/article", "douyin/short_video", ""]),
-        ("optimisation", "pair", ["www/article", "blog/article", "m/article", "zhihu/article", "douyin/short_video", ""]),
-        ("strategy", "pair", ["www/article", "blog/article", "m/article", "zhihu/article", "douyin/short_video", ""]),
-        ("advice", "pair", ["www/article", "blog/article", "m/article", "zhihu/article", "douyin/short_video", ""]),
-    ]
-    for value in values
-]
-
-
-def templated(rows: DataFrame, platform: str = "platform", content_type: str = "content_type") -> DataFrame:
-    """rows with a column t_<part> for each part: its text for the row's key, or the general one.
+#: (part, what it is looked up by: type, platform or pair, key, text); the key "" serves all others.
+Template = tuple[str, str, str, str]
+
+
+def templated(rows: DataFrame, templates: list[Template], platform: str = "platform", content_type: str = "content_type") -> DataFrame:
+    """rows with a column t_<part> for each part of templates: its text for the row's key, or the general one, or null.
 
     The few texts are looked up in literal maps, so no join is needed.
     """
     keys = {"type": F.col(content_type), "platform": F.col(platform), "pair": F.concat_ws("/", platform, content_type)}
     out = {}
-    for part in dict.fromkeys(p for p, *_ in TEMPLATES):
-        own = [(kind, value, text) for p, kind, value, text in TEMPLATES if p == part]
-        table = F.create_map(*[F.lit(x) for _, value, text in own if value for x in (value, text)])
-        default = next(text for _, value, text in own if not value)
-        out[f"t_{part}"] = F.coalesce(F.try_element_at(table, keys[own[0][0]]), F.lit(default))
+    for part in dict.fromkeys(p for p, *_ in templates):
+        own = [(kind, value, text) for p, kind, value, text in templates if p == part]
+        named = [F.when(keys[kind] == value, text) for kind, value, text in own if value]
+        out[f"t_{part}"] = F.coalesce(*named, *[F.lit(text) for _, value, text in own if not value], F.lit(None).cast("string"))
     return rows.withColumns(out)
 
 
-def template_document(rows: DataFrame, title: str = "title") -> DataFrame:
-    """rows with document, the templated parts under headings after a front matter."""
-    out = templated(rows)
-    parts = list(dict.fromkeys(p for p, *_ in TEMPLATES))
+def template_document(rows: DataFrame, templates: list[Template], title: str = "title") -> DataFrame:
+    """rows with document: after a front matter the templated parts under headings, then a line that sums up."""
+    out = templated(rows, templates)
+    parts = list(dict.fromkeys(p for p, *_ in templates))
     front = F.concat(F.lit("---\ntitle: "), F.col(title), F.lit("\n---"))
-    body = joined(front, *[section(p.capitalize(), F.col(f"t_{p}")) for p in parts], F.format_string("> %s on %s: %s", F.col("content_type"), F.col("platform"), F.col(title)))
+    body = joined(front, *[section(p.capitalize(), F.coalesce(f"t_{p}", F.lit(""))) for p in parts], F.format_string("> %s on %s: %s", F.col("content_type"), F.col("platform"), F.col(title)))
     return out.withColumn("document", body).drop(*[f"t_{p}" for p in parts])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import context, html, urls
-from textloom.operators import render, store
+from textloom.operators import records, render, store
 from textloom.plans import sqltext as q
 from textloom.sources import sinks
 
@@ -210,26 +210,94 @@ def html_images(spark, sf_dir):
     return rows.select("page_id", F.array_join(html.images(F.col("html")), "|").alias("images"), html.meta(F.col("html"), "description").alias("description"))
 
 
+# The pages given hold no page state, so each gets one that is made of its own row; every page is read whole.
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+_NOTE = """'{"title": "' || page_id || '", "user": {"nickname": "' || {host} || '"}, "imageList": [{"urlDefault": "i' || page_id || '"}], "interactInfo": {"likedCount": "' || page_id * 3 || '"}, "tagList": [{"name": "t1"}, {"name": "t2"}]}'"""
+_VIDEO = """'{"desc": "d } ' || page_id || '", "author": {"nickname": "' || {host} || '"}, "statistics": {"play_count": ' || page_id * 1000 || ', "digg_count": 7}, "video": {"duration": ' || page_id * 500 || ', "cover": {"url_list": ["c' || page_id || '"]}}, "create_time": 5}'"""
+_ANSWER = """'{"answers": {"' || page_id || '": {"question": {"title": "' || {host} || '"}, "content": "body ' || page_id || '", "voteup_count": ' || page_id * 2 || ', "author": {"name": "a' || page_id || '"}, "created_time": 9}}}'"""
+_JSON = {k: v.replace("{host}", _HOST) for k, v in {"note": _NOTE, "video": _VIDEO, "answer": _ANSWER}.items()}
+#: The state of a page: of every fourth the answer, a note, a video, or one that is broken.
+_STATE = f"""CASE page_id % 4 WHEN 0 THEN 'window.__INITIAL_STATE__ = ' || {_JSON["answer"]} WHEN 1 THEN 'window.__INITIAL_STATE__ = ' || '{{"note": {{"noteDetailMap": {{"x": {{"note": ' || {_JSON["note"]} || '}}}}}}}}'
+WHEN 2 THEN 'window._ROUTER_DATA = ' || '{{"a": [{{"aweme_detail": ' || {_JSON["video"]} || '}}]}}' ELSE 'window._ROUTER_DATA = {{broken' END"""
+STATED = f"st AS (SELECT page_id, url, coalesce(html, '') || '<script>' || {_STATE} || ';</script>' AS html FROM pages)"
+
+
+def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.lit("<script>"), F.expr(_STATE), F.lit(";</script>")).alias("html"))
+
+
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).withColumn("state", html.script_json(["window._ROUTER_DATA", "window.__INITIAL_STATE__"])(F.col("html")))
+    return stated(spark, sf_dir).withColumn("state", records.state_of(F.col("html")))
 
 
-@query()
+@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN {_JSON["answer"]} WHEN 1 THEN '{{"note": {{"noteDetailMap": {{"x": {{"note": ' || {_JSON["note"]} || '}}}}}}}}' WHEN 2 THEN '{{"a": [{{"aweme_detail": ' || {_JSON["video"]} || '}}]}}' END AS state FROM pages""")
 def html_script_json(spark, sf_dir):
     return _state(spark, sf_dir).select("page_id", "state")
 
 
-@query()
+@query(f"""SELECT page_id, CASE WHEN page_id % 4 IN (1, 2) THEN '"' || {_HOST} || '"' END AS nickname, CASE WHEN page_id % 4 = 1 THEN '{{"note": ' || {_JSON["note"]} || '}}' END AS note FROM pages""")
 def json_deep_find(spark, sf_dir):
     return _state(spark, sf_dir).select("page_id", html.deep_find(["nickname"])(F.col("state")).alias("nickname"), html.find_with(["title", "user"], ["noteDetailMap"])(F.col("state")).alias("note"))
 
 
-@query()
+@query(f"""SELECT page_id, CASE WHEN v THEN 'd }} ' || page_id END AS title, CASE WHEN v THEN {_HOST} END AS author, CASE WHEN v THEN page_id * 1000 ELSE 0 END AS view_count, CASE WHEN v THEN 7 ELSE 0 END AS like_count,
+CASE WHEN v THEN page_id * 500 // 1000 ELSE 0 END AS duration, CASE WHEN v THEN 'c' || page_id END AS cover_url, CASE WHEN v THEN 5 END AS create_time FROM (SELECT *, page_id % 4 = 2 AS v FROM pages)""")
 def json_field_map(spark, sf_dir):
     found = _state(spark, sf_dir).withColumn("found", html.find_with(["desc", "author"], ["aweme_detail"])(F.col("state")))
     return found.select("page_id", html.video_record(F.col("found")).alias("v")).select("page_id", "v.*")
 
 
+_KIND = "CASE page_id % 4 WHEN 0 THEN 'answer' ELSE 'article' END"
+_QM_CONTENT = f"coalesce(nullif({unescape(_META)}, ''), '')"
+_QM_TITLE = f"coalesce(nullif({tag('h1')}, ''), nullif({tag('title')}, ''), {q.text(records.DEFAULT_TITLES['qa'])})"
+
+
+@query(f"""SELECT page_id, CASE WHEN v THEN {_HOST} ELSE {_QM_TITLE} END AS title, CASE WHEN v THEN 'a' || page_id ELSE {q.text(records.UNKNOWN_AUTHOR)} END AS author,
+CASE WHEN v THEN 'body ' || page_id ELSE {_QM_CONTENT} END AS content, CASE WHEN v THEN page_id * 2 ELSE 0 END AS votes, CASE WHEN v THEN '9' ELSE '' END AS created FROM (SELECT *, page_id % 4 = 0 AS v FROM pages)""")
+def qa_records(spark, sf_dir):
+    rows = _state(spark, sf_dir).withColumn("kind", F.expr(_KIND)).withColumn("entry", records.qa_entry(F.col("state"), F.col("kind")))
+    rows = rows.withColumn("r", records.qa_record(F.col("html"), F.col("entry"), F.col("kind")))
+    return rows.select("page_id", "r.title", "r.author", "r.content", F.col("r.voteup_count").alias("votes"), F.col("r.created_time").alias("created"))
+
+
+@query(f"""SELECT page_id, CASE WHEN v THEN page_id::VARCHAR ELSE coalesce(nullif({tag('h1')}, ''), nullif({tag('title')}, '')) END AS title, CASE WHEN v THEN {_HOST} ELSE {q.text(records.UNKNOWN_AUTHOR)} END AS author,
+CASE WHEN v THEN page_id * 3 ELSE 0 END AS likes, CASE WHEN v THEN 'i' || page_id ELSE '' END AS images, CASE WHEN v THEN 't1|t2' ELSE '' END AS tags, 'note' AS kind FROM (SELECT *, page_id % 4 = 1 AS v FROM pages)""")
+def note_records(spark, sf_dir):
+    rows = _state(spark, sf_dir).withColumn("entry", records.note_entry(F.col("state")))
+    rows = rows.withColumn("r", records.note_record(F.col("html"), F.col("entry")))
+    return rows.select("page_id", "r.title", "r.author", F.col("r.like_count").alias("likes"), F.array_join("r.images", "|").alias("images"), F.array_join("r.tags", "|").alias("tags"), records.note_type(F.col("r.video_url")).alias("kind"))
+
+
+_IDS = "CASE page_id % 4 WHEN 0 THEN 'x' || html WHEN 1 THEN html || '\"item_id\":\"' || page_id || '\"' WHEN 2 THEN 'aweme_id=' || page_id || html ELSE html || ' /video/' || page_id END"
+
+
+@query("SELECT page_id, CASE WHEN html IS NULL OR page_id % 4 = 0 THEN NULL ELSE page_id::VARCHAR END AS id FROM pages")
+def page_text_ids(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", records.page_identifier(F.expr(_IDS)).alias("id"))
+
+
+_N = "page_id * 1000"
+
+
+@query(f"""SELECT page_id, '标题: ' || url || chr(10) || '作者: ' || {_HOST} || chr(10) || chr(10) || CASE WHEN page_id % 2 = 0 THEN '视频描述:' || chr(10) || 'd' || page_id || chr(10) || chr(10) ELSE '' END
+|| CASE WHEN page_id > 0 THEN '播放量: ' || format('{{:,}}', {_N}) || chr(10) ELSE '' END AS video,
+'标题: ' || url || chr(10) || '作者: ' || {_HOST} || chr(10) || '类型: article' || chr(10) || chr(10) || CASE WHEN page_id % 2 = 0 THEN '内容:' || chr(10) || 'd' || page_id || chr(10) || chr(10) ELSE '' END
+|| '相关话题: a, b' || chr(10) || CASE WHEN page_id > 0 THEN '赞同数: ' || format('{{:,}}', {_N}) || chr(10) ELSE '' END AS qa,
+'标题: ' || url || chr(10) || '作者: ' || {_HOST} || chr(10) || chr(10) || '简介:' || chr(10) || 'd' || page_id || chr(10) || chr(10) || '标签: x, y' || chr(10) || chr(10) || '分P信息:' || chr(10) || 'P1: p' || page_id || ' (' || page_id || '秒)' || chr(10) || 'P2:  (0秒)' || chr(10) AS api
+FROM pages""")
+def content_shapes(spark, sf_dir):
+    described = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("d"), F.col("page_id").cast("string"))).otherwise("")
+    head = [F.col("url").alias("title"), F.expr(_HOST).alias("author")]
+    none, views = F.lit(0), F.expr(_N)
+    video = F.struct(*head, described.alias("description"), views.alias("view_count"), none.alias("like_count"), none.alias("comment_count"))
+    qa = F.struct(*head, F.lit("").alias("excerpt"), described.alias("content"), F.array(F.lit("a"), F.lit("b")).alias("topics"), views.alias("voteup_count"), none.alias("comment_count"), none.alias("view_count"))
+    info = F.expr("""'{"title": "' || url || '", "owner": {"name": "' || """ + _HOST + """ || '"}, "desc": "d' || page_id || '"}'""")
+    parts = F.expr("""'[{"page": 1, "part": "p' || page_id || '", "duration": ' || page_id || '}, {"page": 2}]'""")
+    api = records.api_record(info, F.lit('[{"tag_name": "x"}, {"tag_name": "y"}]'), parts)
+    rows = pages(spark, sf_dir).select("page_id", video.alias("v"), qa.alias("q"), api.alias("a"))
+    return rows.select("page_id", records.video_text(F.col("v")).alias("video"), records.qa_text(F.col("q"), F.lit("article")).alias("qa"), records.api_text(F.col("a")).alias("api"))
+
+
 _WRAP = "CASE event_type WHEN 'click' THEN 'Here: ' || props || ' (end)' WHEN 'view' THEN 'no answer' ELSE '  ' || props || chr(10) END"
 _WHOLE = f"trim({_WRAP}, ' ' || chr(10))"
 
@@ -280,16 +348,32 @@ def unified_tags(spark, sf_dir):
     return rows.select("page_id", F.array_join(render.tags(F.col("platform"), F.col("content_type"), F.col("title")), "|").alias("tags"))
 
 
-@query()
+#: Texts for the template document's parts, by what each part of it is looked up by.
+TEMPLATES = [
+    ("structure", "type", "article", "Opening, argument, close."), ("structure", "type", "short_video", "Hook, core, call."), ("structure", "type", "", "Parts in order."),
+    ("audience", "pair", "www/article", "Readers at a desk."), ("audience", "pair", "m/short_video", "Viewers on the way."), ("audience", "pair", "", "Anyone."),
+    ("platform", "platform", "blog", "Posts by date."), ("platform", "platform", "www", "Pages by place."), ("platform", "platform", "", "Pages."),
+]
+
+
+def _template_sql(part: str) -> str:
+    by = {"type": _CT, "platform": f"coalesce({PLATFORM}, 'other')", "pair": f"coalesce({PLATFORM}, 'other') || '/' || {_CT}"}
+    own = [(kind, value, text) for p, kind, value, text in TEMPLATES if p == part]
+    return "CASE " + " ".join(f"WHEN {by[k]} = {q.text(v)} THEN {q.text(t)}" for k, v, t in own if v) + f" ELSE {q.text(next(t for _, v, t in own if not v))} END"
+
+
+@query(f"""WITH {TITLED} SELECT page_id, '---' || chr(10) || 'title: ' || title || chr(10) || '---' || """ + " || ".join(f"chr(10) || chr(10) || '## {p.capitalize()}' || chr(10) || chr(10) || {_template_sql(p)}" for p in ("structure", "audience", "platform"))
+       + f""" || chr(10) || chr(10) || '> ' || {_CT} || ' on ' || coalesce({PLATFORM}, 'other') || ': ' || title AS document FROM t""")
 def template_document(spark, sf_dir):
-    return render.template_document(_typed(spark, sf_dir)).select("page_id", "document")
+    return render.template_document(_typed(spark, sf_dir), TEMPLATES).select("page_id", "document")
 
 
-@query()
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE '图片1: ' || url || ' end' || chr(10) END || '图片3: ' || page_id AS text FROM pages")
 def ocr_lines(spark, sf_dir):
-    made = [(1, [[("one", 0.9), ("two", 0.5)], [(" ", 0.9)], [("three", 0.7), ("four", 0.61)]]), (2, []), (3, None)]
-    rows = spark.createDataFrame(made, "note_id bigint, images array<array<struct<text:string,conf:double>>>")
-    return rows.select("note_id", render.ocr_text(F.col("images")).alias("text"))
+    line = lambda text, conf: F.struct(text.cast("string").alias("text"), (F.lit(conf) if isinstance(conf, float) else conf).alias("conf"))
+    sure = F.when(F.col("page_id") % 3 == 0, 0.6).otherwise(0.9)
+    images = F.array(F.array(line(F.col("url"), sure), line(F.lit("low"), 0.5), line(F.lit("end"), sure)), F.array(line(F.lit(" "), 0.9)), F.array(line(F.col("page_id"), 0.7)))
+    return pages(spark, sf_dir).select("page_id", render.ocr_text(images).alias("text"))
 
 
 # Cache, batches, spacing and settings over events: the user is the key, ts the time of writing.
