@@ -34,9 +34,9 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xC6A4A7935BD1E995)  # brings the last character of a piece into the first bits of its hash
 _STEP, _PATH, _PLACE = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5), np.uint64(0x9FB21C651E98DF25)
 #: Characters of the texts that are searched together; bounds a task's memory besides one longest text.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 750_000
 #: Distinct chunks whose lattices a task keeps from block to block.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 100_000
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
