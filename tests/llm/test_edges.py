@@ -97,3 +97,21 @@ def test_urls_of_edges(spark):
     assert got[1] == ("a.com", "/p", "com/", "allow") and got[2] == ("", "", None, "allow") and got[3] == ("", "", None, "allow")
     assert got[4] == ("sub.bad.com", "/x", "bad.com/x", "block") and got[5] == ("com", "", None, "allow") and got[6] == ("notcom", "/", None, "allow")
     assert url_filter.judge_urls(pages.where("false"), rules).collect() == []
+
+
+def test_values_of_null_empty_and_repeated_rows(spark):
+    all_of = lambda name, *cols: {(r.doc_id, *(r[c] for c in cols)) for r in ops(spark)[name](frame(spark, ROWS)).collect()}
+    tokens = all_of("tokens", "n_bytes", "n_tokens", "over_limit")
+    assert {(2, 0, 0, False), (3, 0, 0, False), (None, 0, 0, False), (5, 13, 3, False), (6, 6, 0, False)} <= tokens
+    assert (4, 240_000, 48_000, True) in tokens and (8, 240_000, 48_000, True) in tokens
+    languages = all_of("language", "lang_pred")
+    assert {(2, "und"), (3, "und"), (6, "und"), (None, "und"), (1, "en"), (5, "en"), (4, "en")} <= languages
+    scores = all_of("toxicity", "score")
+    of = lambda i: {s for d, s in scores if d == i}
+    assert len(of(5)) == 1 and of(2) == of(3) == of(6) and of(4) == of(8) and all(0 <= s <= 1 for _, s in scores)
+    hits = {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in ops(spark)["decontamination"](frame(spark, ROWS)).collect()}
+    assert {(2, 0, 0, ()), (3, 0, 0, ()), (None, 0, 0, ()), (5, 3, 2, ()), (1, 3, 2, ())} <= hits
+    shards = ops(spark)["shards"](frame(spark, ROWS)).select("doc_id", "size", "text_crc32").collect()
+    from zlib import crc32
+
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in shards) == sorted((str(i), len((t or "").encode()) + 1, crc32((t or "").encode())) for i, t in ROWS)
