@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import contains_any, count_contained, kept, literals, strip
+from textloom.sources.shared import written
 
 # Section headings, weights and bounds that the scores follow from.
 SECTIONS_ZH = {
@@ -216,16 +217,17 @@ def feedback(overall: Column, counts: dict[str, Column], content_type: Column, t
 def until_passed(docs: DataFrame, assess: Callable[[DataFrame], DataFrame], regenerate: Callable[[DataFrame], DataFrame], rounds: int = 3, threshold: float = PASS_THRESHOLD) -> DataFrame:
     """docs assessed, those under the threshold regenerated and assessed again, at most so many times; with retries.
 
-    assess adds `overall`; regenerate returns the columns that assess reads. Only what still fails is done again.
+    assess adds `overall`; regenerate returns the columns that assess reads. Only what still fails is done again. Each
+    round is a table in the shared folder, so a lost executor does not make regenerate, which may vary, run again.
     """
-    done, left = None, assess(docs).persist()
+    done, left = None, written(assess(docs), "assessed")
     for n in range(rounds):
         passed = left.where(F.col("overall") >= threshold).withColumn("retries", F.lit(n))
         done = passed if done is None else done.unionByName(passed)
         failing = left.where(F.coalesce(F.col("overall"), F.lit(0.0)) < threshold)
         if failing.isEmpty():
             return done
-        left = assess(regenerate(failing).select(docs.columns)).persist()
+        left = written(assess(regenerate(failing).select(docs.columns)), "assessed")
     rest = left.withColumn("retries", F.lit(rounds))
     return rest if done is None else done.unionByName(rest)
 

@@ -23,6 +23,16 @@ def valid(entries: DataFrame, now: Column, ttl: str, at: str = "cached_at") -> D
     return entries.where(F.col(at) >= now - F.expr(f"interval {ttl}"))
 
 
+def with_payload(entries: DataFrame, payloads: DataFrame, key: str = "url_hash") -> DataFrame:
+    """The entries whose payload is there; an entry without one is no valid entry."""
+    return entries.join(payloads.select(key), key, "left_semi")
+
+
+def removed(entries: DataFrame, gone: DataFrame, key: str = "url_hash") -> DataFrame:
+    """The entries left when those of some keys are taken out; with all keys gone the index is cleared."""
+    return entries.join(gone.select(key), key, "left_anti")
+
+
 def expired(entries: DataFrame, now: Column, ttl: str, at: str = "cached_at") -> DataFrame:
     return entries.where(F.col(at) < now - F.expr(f"interval {ttl}"))
 
@@ -89,6 +99,8 @@ def batch_stats(results: DataFrame, ok: Column) -> DataFrame:
 def isolated(rows: DataFrame, work, schema: str) -> DataFrame:
     """work(row) for each row in Arrow batches; a row that raises gets status `error` and its message, not the batch.
 
+    Rows are worked on one at a time, as each may fail by itself: a slow path, for work that only a Python call can do.
+
     schema holds the columns that work returns as a dict; status and message are added. Input columns are kept.
     """
     import pandas as pd

@@ -407,6 +407,17 @@ def cache_misses(spark, sf_dir):
     return store.misses(requests(spark, sf_dir), store.valid(store.upserted(entries(spark, sf_dir)), now(), TTL)).select("c_custkey", "url_hash")
 
 
+@query(f"WITH {ENTRIES}, {LAST}, p AS (SELECT DISTINCT md5(user_id::VARCHAR) AS url_hash FROM events WHERE event_type = 'click') SELECT event_id, url_hash FROM l WHERE {_FRESH} AND url_hash IN (SELECT url_hash FROM p)")
+def cache_payloads(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'").select(F.md5(F.col("user_id").cast("string").cast("binary")).alias("url_hash"))
+    return store.with_payload(store.valid(store.upserted(entries(spark, sf_dir)), now(), TTL), rows).select("event_id", "url_hash")
+
+
+@query(f"WITH {ENTRIES} SELECT event_id, url_hash FROM e WHERE url_hash NOT IN (SELECT md5(c_custkey::VARCHAR) FROM customer)")
+def cache_remove(spark, sf_dir):
+    return store.removed(entries(spark, sf_dir), requests(spark, sf_dir)).select("event_id", "url_hash")
+
+
 @query(f"WITH {ENTRIES}, {LAST} SELECT event_id, url_hash, user_id, cached_at, file_size FROM l")
 def cache_upsert(spark, sf_dir):
     return store.upserted(entries(spark, sf_dir))
