@@ -424,7 +424,8 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 0,
     """k rows per input row (fewer where a text has fewer segmentations), numbered by rank from 1.
 
     Columns: doc_id, rank, n_pieces, log_prob (normalised over the lattice), perturbed, inclusion (the chance that the
-    sample holds this segmentation, given the threshold that the search stopped at), ids_hash, decoded (whether the
+    sample holds this segmentation, given the threshold that the search stopped at; for long texts it may be less than a
+    double holds, and 0 then), ids_hash, decoded (whether the
     ids decode to the text) and, with_ids, ids. Draws depend on the row's doc_id and seed alone; rows that repeat an id
     and text repeat the samples, and null ids draw as one id. Null and empty texts have one segmentation, without
     pieces. A U+2581 in a text decodes as a space, as in any SentencePiece model.
