@@ -226,27 +226,47 @@ def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.lit("<script>"), F.expr(_STATE), F.lit(";</script>")).alias("html"))
 
 
-def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stated(spark, sf_dir).withColumn("state", records.state_of(F.col("html")))
 
 
-@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN {_JSON["answer"]} WHEN 1 THEN '{{"note": {{"noteDetailMap": {{"x": {{"note": ' || {_JSON["note"]} || '}}}}}}}}' WHEN 2 THEN '{{"a": [{{"aweme_detail": ' || {_JSON["video"]} || '}}]}}' END AS state FROM pages""")
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).withColumn("state", html.script_json(["window._ROUTER_DATA", "window.__INITIAL_STATE__"])(F.col("html")))
+
+
+@query()
 def html_script_json(spark, sf_dir):
     return _state(spark, sf_dir).select("page_id", "state")
 
 
-@query(f"""SELECT page_id, CASE WHEN page_id % 4 IN (1, 2) THEN '"' || {_HOST} || '"' END AS nickname, CASE WHEN page_id % 4 = 1 THEN '{{"note": ' || {_JSON["note"]} || '}}' END AS note FROM pages""")
+@query()
 def json_deep_find(spark, sf_dir):
     return _state(spark, sf_dir).select("page_id", html.deep_find(["nickname"])(F.col("state")).alias("nickname"), html.find_with(["title", "user"], ["noteDetailMap"])(F.col("state")).alias("note"))
 
 
-@query(f"""SELECT page_id, CASE WHEN v THEN 'd }} ' || page_id END AS title, CASE WHEN v THEN {_HOST} END AS author, CASE WHEN v THEN page_id * 1000 ELSE 0 END AS view_count, CASE WHEN v THEN 7 ELSE 0 END AS like_count,
-CASE WHEN v THEN page_id * 500 // 1000 ELSE 0 END AS duration, CASE WHEN v THEN 'c' || page_id END AS cover_url, CASE WHEN v THEN 5 END AS create_time FROM (SELECT *, page_id % 4 = 2 AS v FROM pages)""")
+@query()
 def json_field_map(spark, sf_dir):
     found = _state(spark, sf_dir).withColumn("found", html.find_with(["desc", "author"], ["aweme_detail"])(F.col("state")))
     return found.select("page_id", html.video_record(F.col("found")).alias("v")).select("page_id", "v.*")
 
 
+@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN {_JSON["answer"]} WHEN 1 THEN '{{"note": {{"noteDetailMap": {{"x": {{"note": ' || {_JSON["note"]} || '}}}}}}}}' WHEN 2 THEN '{{"a": [{{"aweme_detail": ' || {_JSON["video"]} || '}}]}}' END AS state FROM pages""")
+def page_state_json(spark, sf_dir):
+    return _stated(spark, sf_dir).select("page_id", "state")
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 4 IN (1, 2) THEN '"' || {_HOST} || '"' END AS nickname, CASE WHEN page_id % 4 = 1 THEN '{{"note": ' || {_JSON["note"]} || '}}' END AS note FROM pages""")
+def page_state_find(spark, sf_dir):
+    return _stated(spark, sf_dir).select("page_id", html.deep_find(["nickname"])(F.col("state")).alias("nickname"), html.find_with(["title", "user"], ["noteDetailMap"])(F.col("state")).alias("note"))
+
+
+@query(f"""SELECT page_id, CASE WHEN v THEN 'd }} ' || page_id END AS title, CASE WHEN v THEN {_HOST} END AS author, CASE WHEN v THEN page_id * 1000 ELSE 0 END AS view_count, CASE WHEN v THEN 7 ELSE 0 END AS like_count,
+CASE WHEN v THEN page_id * 500 // 1000 ELSE 0 END AS duration, CASE WHEN v THEN 'c' || page_id END AS cover_url, CASE WHEN v THEN 5 END AS create_time FROM (SELECT *, page_id % 4 = 2 AS v FROM pages)""")
+def page_state_video(spark, sf_dir):
+    found = _stated(spark, sf_dir).withColumn("found", html.find_with(["desc", "author"], ["aweme_detail"])(F.col("state")))
+    return found.select("page_id", html.video_record(F.col("found")).alias("v")).select("page_id", "v.*")
+
+
 _KIND = "CASE page_id % 4 WHEN 0 THEN 'answer' ELSE 'article' END"
 _QM_CONTENT = f"coalesce(nullif({unescape(_META)}, ''), '')"
 _QM_TITLE = f"coalesce(nullif({tag('h1')}, ''), nullif({tag('title')}, ''), {q.text(records.DEFAULT_TITLES['qa'])})"
@@ -255,7 +275,7 @@ _QM_TITLE = f"coalesce(nullif({tag('h1')}, ''), nullif({tag('title')}, ''), {q.t
 @query(f"""SELECT page_id, CASE WHEN v THEN {_HOST} ELSE {_QM_TITLE} END AS title, CASE WHEN v THEN 'a' || page_id ELSE {q.text(records.UNKNOWN_AUTHOR)} END AS author,
 CASE WHEN v THEN 'body ' || page_id ELSE {_QM_CONTENT} END AS content, CASE WHEN v THEN page_id * 2 ELSE 0 END AS votes, CASE WHEN v THEN '9' ELSE '' END AS created FROM (SELECT *, page_id % 4 = 0 AS v FROM pages)""")
 def qa_records(spark, sf_dir):
-    rows = _state(spark, sf_dir).withColumn("kind", F.expr(_KIND)).withColumn("entry", records.qa_entry(F.col("state"), F.col("kind")))
+    rows = _stated(spark, sf_dir).withColumn("kind", F.expr(_KIND)).withColumn("entry", records.qa_entry(F.col("state"), F.col("kind")))
     rows = rows.withColumn("r", records.qa_record(F.col("html"), F.col("entry"), F.col("kind")))
     return rows.select("page_id", "r.title", "r.author", "r.content", F.col("r.voteup_count").alias("votes"), F.col("r.created_time").alias("created"))
 
@@ -263,7 +283,7 @@ def qa_records(spark, sf_dir):
 @query(f"""SELECT page_id, CASE WHEN v THEN page_id::VARCHAR ELSE coalesce(nullif({tag('h1')}, ''), nullif({tag('title')}, '')) END AS title, CASE WHEN v THEN {_HOST} ELSE {q.text(records.UNKNOWN_AUTHOR)} END AS author,
 CASE WHEN v THEN page_id * 3 ELSE 0 END AS likes, CASE WHEN v THEN 'i' || page_id ELSE '' END AS images, CASE WHEN v THEN 't1|t2' ELSE '' END AS tags, 'note' AS kind FROM (SELECT *, page_id % 4 = 1 AS v FROM pages)""")
 def note_records(spark, sf_dir):
-    rows = _state(spark, sf_dir).withColumn("entry", records.note_entry(F.col("state")))
+    rows = _stated(spark, sf_dir).withColumn("entry", records.note_entry(F.col("state")))
     rows = rows.withColumn("r", records.note_record(F.col("html"), F.col("entry")))
     return rows.select("page_id", "r.title", "r.author", F.col("r.like_count").alias("likes"), F.array_join("r.images", "|").alias("images"), F.array_join("r.tags", "|").alias("tags"), records.note_type(F.col("r.video_url")).alias("kind"))
 
