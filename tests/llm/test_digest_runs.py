@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import common, exact_dedup
@@ -13,7 +14,7 @@ def keys(spark, texts):
 
 def test_filter_passes_what_it_holds_and_little_else(spark):
     held, others = [f"in{i}" for i in range(3000)], [f"out{i}" for i in range(3000)]
-    field = common.filter_field(common.filter_table(keys(spark, held).select(F.xxhash64("digest").alias("h")), 1 << 18), 1 << 18)
+    field = common.fitted_filter(keys(spark, held).select(F.xxhash64("digest").alias("h")))
     passed = keys(spark, held + others).where(common.may_hold(F.xxhash64("digest"), field, spark)).collect()
     names = {bytes(r.digest).decode() for r in passed}
     assert set(held) <= names and len(names & set(others)) < 30
@@ -30,7 +31,9 @@ def test_run_that_no_digest_may_be_in_is_not_read(spark, tmp_path):
     assert again.found(made(200, 210)).collect() == [] and again.skipped == 3
 
 
-def test_calls_with_one_index_equal_plain_groups(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_calls_with_one_index_equal_plain_groups(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HITS", broadcast)
     rng = random.Random(4)
     texts = ["", " ", "a b", "a  b", "c", "d e f", "g"]
     rows = [(i, rng.choice(texts)) for i in rng.sample(range(200), 90)] + [(None, "c"), (None, "new"), (7, "q"), (7, "q")]

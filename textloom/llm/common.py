@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from textloom.sources.shared import shared_path
 
-#: Bits of a filter. It is broadcast, so its size is fixed; fuller filters pass more that the lookup then finds absent.
-FILTER_BITS = 1 << 26
+#: Least and most bits of a filter. Filters are broadcast, so their size is bounded; fuller ones pass more that the lookup
+#: then finds absent.
+FILTER_BITS = (1 << 20, 1 << 28)
 #: Tasks over which the rows of one key are dealt when they are joined with what the key has.
 SALT = 16
 #: Filters are built in so many parts, each in a task of its own.
@@ -49,7 +50,12 @@ def _places(h: Column, bits: int) -> list[Column]:
     return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 29), F.lit(bits))]
 
 
-def filter_table(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def filter_bits(n: int) -> int:
+    """The bits of a filter for n hashes: a power of two, sixteen for each within the bounds."""
+    return min(max(1 << (16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+
+
+def filter_table(keys: DataFrame, bits: int) -> DataFrame:
     """(part, bits): the bits set for the 64-bit hashes h of keys, eight a byte, cut into FILTER_PARTS parts; parts without any are left out.
 
     Bits go to the task of their part, so what is shuffled grows with keys, and a task holds its parts only.
@@ -71,17 +77,24 @@ def filter_table(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     return places.repartition(F.floor(F.col("at") / part)).mapInArrow(set_bits, "part int, bits binary")
 
 
-def filter_field(table: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """The parts of filter_table() put together: bits / 8 bytes, and nothing else comes to the driver."""
-    field = np.zeros((FILTER_PARTS, bits // FILTER_PARTS // 8), np.uint8)
-    for row in table.collect():
+def filter_field(table: DataFrame) -> np.ndarray:
+    """The parts of filter_table() put together: at most FILTER_BITS[1] / 8 bytes, and nothing else comes to the driver."""
+    rows = table.collect()
+    size = len(rows[0].bits) if rows else FILTER_BITS[0] // FILTER_PARTS // 8
+    field = np.zeros((FILTER_PARTS, size), np.uint8)
+    for row in rows:
         field[row.part] = np.frombuffer(row.bits, np.uint8)
     return field.ravel()
 
 
+def fitted_filter(keys: DataFrame) -> np.ndarray:
+    """The field of a filter for the hashes h of keys, a written table."""
+    return filter_field(filter_table(keys, filter_bits(keys.count())))
+
+
 def may_hold(h: Column, field: np.ndarray, spark: SparkSession) -> Column:
     """Whether the filter passes a hash."""
-    shared = spark.sparkContext.broadcast(field)  # a fixed size: FILTER_BITS / 8 bytes
+    shared = spark.sparkContext.broadcast(field)  # at most FILTER_BITS[1] / 8 bytes
 
     @F.pandas_udf("boolean")
     def passes(a: pd.Series, b: pd.Series) -> pd.Series:

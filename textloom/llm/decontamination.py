@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import documents, filter_field, filter_table, may_hold, quoted, written
+from textloom.llm.common import documents, fitted_filter, may_hold, quoted, written
 
 #: Bytes that end a word; A-Z become a-z. All bytes of non-ASCII characters belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -176,7 +176,7 @@ def find_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_i
     phrases = written(windows.select("words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     terms = phrases.select("phrase", F.explode("words").alias("term"))
     wanted = written(terms.select("term").distinct(), "benchmark-terms")
-    held = lambda *keys, of: may_hold(F.xxhash64(*keys), filter_field(filter_table(of.select(F.xxhash64(*keys).alias("h")))), spark)
+    held = lambda *keys, of: may_hold(F.xxhash64(*keys), fitted_filter(of.select(F.xxhash64(*keys).alias("h"))), spark)
     places = index.where("term is not null").where(held("term", of=wanted)).select("segment", "term", "n").join(wanted, "term")
     places = written(places, "benchmark-places")  # without the positions
 

@@ -1,7 +1,7 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
 Batches are aggregated to one entry per digest (the memtable) and flushed as immutable runs: Parquet sorted by digest
-within each partition, and beside it a filter, a bit field of fixed size. A batch is probed against the filter of each
+within each partition, and beside it a filter, a bit field of bounded size. A batch is probed against the filter of each
 earlier run; only digests that pass are looked up in the run, and a run that none passes is not read. Compaction merges
 runs once there are fan_in and keeps the smallest identifier of a digest. Rows that share a digest are hits; only the
 texts of hits are gathered, and verified byte by byte before they count as equal.
@@ -16,11 +16,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import FILTER_BITS, documents, filter_field, filter_table, may_hold, shared_path, written
+from textloom.llm.common import documents, filter_bits, filter_field, filter_table, fitted_filter, may_hold, shared_path, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Copies of one text that are compared with it in one go.
 GROUP_PART = 500
+#: Digests of several rows that are broadcast; with more of them a filter rules texts out before these are shuffled.
+BROADCAST_HITS = 200_000
 ENTRIES = "digest binary, first struct<no_id: boolean, doc_id: bigint, row: bigint>, members bigint"
 
 
@@ -36,12 +38,11 @@ def sha256(text: Column) -> Column:
 class DigestIndex:
     """Sorted runs of (digest, first, members); first is the smallest (no_id, doc_id, row) of the members.
 
-    Each run has its filter in a table beside it, so an index is loaded again from the paths of its runs, with the same
-    bits. More bits suit runs of more than some ten million digests, as each executor holds the filters of fan_in runs.
+    Each run has its filter in a table beside it, so an index is loaded again from the paths of its runs.
     """
 
-    def __init__(self, spark: SparkSession, path: str, fan_in: int = 4, runs: list[str] | None = None, bits: int = FILTER_BITS):
-        self.spark, self.path, self.fan_in, self.bits = spark, path, fan_in, bits
+    def __init__(self, spark: SparkSession, path: str, fan_in: int = 4, runs: list[str] | None = None):
+        self.spark, self.path, self.fan_in = spark, path, fan_in
         self.runs = list(runs or [])
         self.filters: dict[str, np.ndarray] = {}
         #: Runs that lookups read, and runs that their filters spared them.
@@ -83,7 +84,7 @@ class DigestIndex:
 
     def _filter(self, run: str) -> np.ndarray:
         if run not in self.filters:
-            self.filters[run] = filter_field(self._read(f"{run}-filter"), self.bits)
+            self.filters[run] = filter_field(self._read(f"{run}-filter"))
         return self.filters[run]
 
     def _read(self, run: str) -> DataFrame:
@@ -98,7 +99,8 @@ class DigestIndex:
     def _run(self, entries: DataFrame) -> str:
         path = f"{self.path}/run-{uuid.uuid4().hex}"
         entries.sortWithinPartitions("digest").write.parquet(path)
-        filter_table(self._read(path).select(F.xxhash64("digest").alias("h")), self.bits).write.parquet(f"{path}-filter")
+        keys = self._read(path).select(F.xxhash64("digest").alias("h"))
+        filter_table(keys, filter_bits(keys.count())).write.parquet(f"{path}-filter")
         self.filters = {run: f for run, f in self.filters.items() if run in self.runs}
         return path
 
@@ -141,8 +143,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Byte verification of all hits against the text of the row that stays. Texts of other rows stay where they are.
     # The first text is repeated for each GROUP_PART members, so copies of one text are compared in as many tasks as
     # their number asks for.
-    passed = may_hold(F.xxhash64("digest"), filter_field(filter_table(hits.select(F.xxhash64("digest").alias("h")), index.bits), index.bits), spark)
-    several = (text if past is None else text.unionByName(past)).where(passed).join(shared.select("digest", F.col("first.doc_id").alias("first_id"), "parts"), "digest")
+    every, wanted = text if past is None else text.unionByName(past), shared.select("digest", F.col("first.doc_id").alias("first_id"), "parts")
+    if shared.count() <= BROADCAST_HITS:
+        several = every.join(F.broadcast(wanted), "digest")  # a checked size
+    else:
+        several = every.where(may_hold(F.xxhash64("digest"), fitted_filter(hits.select(F.xxhash64("digest").alias("h"))), spark)).join(wanted, "digest")
     several = several.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int"))
     several = written(several.select("digest", "norm", "part", "parts", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("may_stay")), "digest-hits")
     first = several.where("may_stay").groupBy("digest", "parts").agg(F.min("norm").alias("first_norm"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import documents, filter_field, filter_table, may_hold, salted_join, shared_path, written
+from textloom.llm.common import documents, fitted_filter, may_hold, salted_join, shared_path, written
 
 WINDOW = 50
 #: Words of the n-grams whose smallest hash marks a window.
@@ -226,7 +226,7 @@ def repeated_places(found: DataFrame) -> DataFrame:
 def wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The (doc_id, key, text) rows joined with wanted by doc_id and key; texts that a filter rules out are not shuffled."""
     spark = texts.sparkSession
-    field = filter_field(filter_table(wanted.select(F.xxhash64("doc_id", "key").alias("h"))))
+    field = fitted_filter(wanted.select(F.xxhash64("doc_id", "key").alias("h")))
     return texts.where(may_hold(F.xxhash64("doc_id", "key"), field, spark)).join(wanted, ["doc_id", "key"])
 
 
