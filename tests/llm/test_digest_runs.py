@@ -14,8 +14,11 @@ def keys(spark, texts):
 
 def test_filter_passes_what_it_holds_and_little_else(spark):
     held, others = [f"in{i}" for i in range(3000)], [f"out{i}" for i in range(3000)]
+    both = keys(spark, held + others)
     field = common.fitted_filter(keys(spark, held).select(F.xxhash64("digest").alias("h")))
-    passed = keys(spark, held + others).where(common.may_hold(F.xxhash64("digest"), field, spark)).collect()
+    passed = both.where(common.may_hold(F.xxhash64("digest"), field, spark)).collect()
+    words = exact_dedup.passing(both, exact_dedup.bit_words(keys(spark, held), 1 << 20), 1 << 20).collect()
+    assert sorted(bytes(r.digest) for r in words) == sorted(bytes(r.digest) for r in passed)  # the same bits, as words in a join
     names = {bytes(r.digest).decode() for r in passed}
     assert set(held) <= names and len(names & set(others)) < 30
 

@@ -45,7 +45,7 @@ def id_remainder(doc_id, n: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def _places(h: Column, bits: int) -> list[Column]:
+def filter_places(h: Column, bits: int) -> list[Column]:
     """Two bits of a 64-bit hash."""
     return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 29), F.lit(bits))]
 
@@ -73,7 +73,7 @@ def filter_table(keys: DataFrame, bits: int) -> DataFrame:
         if fields:
             yield pa.record_batch([pa.array(list(fields), pa.int32()), pa.array([np.packbits(f).tobytes() for f in fields.values()], pa.binary())], ["part", "bits"])
 
-    places = keys.select(F.explode(F.array(*_places(F.col("h"), bits))).alias("at"))
+    places = keys.select(F.explode(F.array(*filter_places(F.col("h"), bits))).alias("at"))
     return places.repartition(F.floor(F.col("at") / part)).mapInArrow(set_bits, "part int, bits binary")
 
 
@@ -101,7 +101,7 @@ def may_hold(h: Column, field: np.ndarray, spark: SparkSession) -> Column:
         hit = [(shared.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 for x in (a.to_numpy(np.int64), b.to_numpy(np.int64))]
         return pd.Series((hit[0] & hit[1]).astype(bool))
 
-    return passes(*_places(h, len(field) * 8))
+    return passes(*filter_places(h, len(field) * 8))
 
 
 def salted_join(rows: DataFrame, owners: DataFrame, keys: list[str], how: str = "inner", by: str = "doc_id") -> DataFrame:

@@ -12,11 +12,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import documents, filter_bits, filter_field, filter_table, fitted_filter, may_hold, shared_path, written
+from textloom.llm.common import documents, filter_bits, filter_places, shared_path, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Copies of one text that are compared with it in one go.
@@ -35,6 +34,22 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def bit_words(keys: DataFrame, bits: int) -> DataFrame:
+    """(word, held): a filter of so many bits for the digests of keys, 64 bits a word; words without any are left out."""
+    at = keys.select(F.explode(F.array(*filter_places(F.xxhash64("digest"), bits))).alias("at"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
+    return at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("held"))
+
+
+def passing(rows: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """The rows whose digest a filter may hold. The filter is broadcast, at most FILTER_BITS[1] / 64 words."""
+    columns = rows.columns
+    for place in filter_places(F.xxhash64("digest"), bits):
+        probed = rows.withColumn("_at", place).join(F.broadcast(words), F.shiftright("_at", 6) == F.col("word"))
+        rows = probed.where(F.call_function("getbit", F.col("held"), F.pmod("_at", F.lit(64)).cast("int")) == 1).select(columns)
+    return rows
+
+
 class DigestIndex:
     """Sorted runs of (digest, first, members); first is the smallest (no_id, doc_id, row) of the members.
 
@@ -44,7 +59,7 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str, fan_in: int = 4, runs: list[str] | None = None):
         self.spark, self.path, self.fan_in = spark, path, fan_in
         self.runs = list(runs or [])
-        self.filters: dict[str, np.ndarray] = {}
+        self.filters: dict[str, tuple[DataFrame, int]] = {}
         #: Runs that lookups read, and runs that their filters spared them.
         self.read = self.skipped = 0
 
@@ -69,7 +84,7 @@ class DigestIndex:
         """The entries, one a run, of the (digest) rows: probed by each run's filter, then joined with what the run holds."""
         out = self.spark.createDataFrame([], ENTRIES)
         for run in self.runs:
-            passed = written(digests.select("digest").where(may_hold(F.xxhash64("digest"), self._filter(run), self.spark)).distinct(), "digest-probe")
+            passed = written(passing(digests.select("digest"), *self._filter(run)).distinct(), "digest-probe")
             if passed.isEmpty():
                 self.skipped += 1
                 continue
@@ -82,9 +97,10 @@ class DigestIndex:
         found = self.found(rows).groupBy("digest").agg(F.min("first").alias("first"), F.sum("members").alias("members"))
         return rows.join(found, "digest", "left")
 
-    def _filter(self, run: str) -> np.ndarray:
+    def _filter(self, run: str) -> tuple[DataFrame, int]:
+        """The words of a run's filter and its bits, which the number of the run's entries tells."""
         if run not in self.filters:
-            self.filters[run] = filter_field(self._read(f"{run}-filter"))
+            self.filters[run] = self._read(f"{run}-filter"), filter_bits(self._read(run).count())
         return self.filters[run]
 
     def _read(self, run: str) -> DataFrame:
@@ -99,8 +115,8 @@ class DigestIndex:
     def _run(self, entries: DataFrame) -> str:
         path = f"{self.path}/run-{uuid.uuid4().hex}"
         entries.sortWithinPartitions("digest").write.parquet(path)
-        keys = self._read(path).select(F.xxhash64("digest").alias("h"))
-        filter_table(keys, filter_bits(keys.count())).write.parquet(f"{path}-filter")
+        keys = self._read(path).select("digest")
+        bit_words(keys, filter_bits(keys.count())).write.parquet(f"{path}-filter")
         self.filters = {run: f for run, f in self.filters.items() if run in self.runs}
         return path
 
@@ -147,7 +163,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if shared.count() <= BROADCAST_HITS:
         several = every.join(F.broadcast(wanted), "digest")  # a checked size
     else:
-        several = every.where(may_hold(F.xxhash64("digest"), fitted_filter(hits.select(F.xxhash64("digest").alias("h"))), spark)).join(wanted, "digest")
+        bits = filter_bits(hits.count())
+        several = passing(every, written(bit_words(hits, bits), "hit-filter"), bits).join(wanted, "digest")
     several = several.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int"))
     several = written(several.select("digest", "norm", "part", "parts", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("may_stay")), "digest-hits")
     first = several.where("may_stay").groupBy("digest", "parts").agg(F.min("norm").alias("first_norm"))
