@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, exact_dedup, language_id, near_dup, segmentation, sharding, substring_dedup, token_counts, toxicity, url_filter
+from textloom.llm import alignment, decontamination, exact_dedup, fill_middle, fingerprints, language_id, near_dup, segmentation, sharding, substring_dedup, token_counts, toxicity, url_filter
 from textloom.llm.common import id_remainder, table
 
 #: Folder of the public tokenizers' files on every node, where it is not that of the installed package.
@@ -81,6 +81,26 @@ def op10_substring_dedup_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha256")).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    rebuilt = fill_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer(spark, "byte_bpe_50k.json"), tokenizer(spark, "piece_bpe_32k.model")
+    rows = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    rows = alignment.with_link_counts(rows.select(*[c for c in rows.columns if c != "groups"], digest))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_one_permutation_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.against_next(table(spark, sf_dir, "documents"))
+    prints = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -135,6 +155,23 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
 
 
+_CUT = "array_to_string(list_slice(u, {}, {}), '')"
+ORACLES["op11_fill_in_middle"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || doc_id::VARCHAR) AS h FROM documents),
+r AS (SELECT *, len(u)::BIGINT AS n, {", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))} FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, {_CUT.format(1, "a")} AS p, {_CUT.format("a + 1", "b")} AS m, {_CUT.format("b + 1", "n")} AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
+
 _SPACED = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 ORACLES["op10_substring_dedup_lsm"] = rf"""
 WITH d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
