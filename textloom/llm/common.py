@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from textloom.sources.shared import shared_path
 
-#: Least and most bits of a filter. Filters are broadcast, so their size is bounded; fuller ones pass more that the lookup
-#: then finds absent.
+#: Least and most bits of a filter. Filters are broadcast, so their size is bounded; fuller ones pass more that the join
+#: behind them, which each of their users has, then finds absent.
 FILTER_BITS = (1 << 20, 1 << 28)
 #: Tasks over which the rows of one key are dealt when they are joined with what the key has.
 SALT = 16

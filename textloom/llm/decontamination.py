@@ -30,8 +30,6 @@ WINDOW = 10
 SEGMENT_WORDS = 500_000
 #: Windows that are searched in a segment by one task; more are dealt over several, each with the lists it needs.
 BLOCK_WINDOWS = 20_000
-#: Segments whose numbers of tasks are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_SEGMENTS = 1_000_000
 INDEX = "segment string, doc_no int, doc_id long, n_words int, start int, term binary, n int, positions binary"
 
 
@@ -190,14 +188,13 @@ def find_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_i
     needed = written(asked.select("segment", "part", F.explode("words").alias("term")).distinct(), "needed-terms")
 
     none = lambda kind: F.lit(None).cast(kind)
-    # What passes the filter without being needed is not looked at, so lists and needed terms need no join.
-    few = F.broadcast(parts) if parts.count() <= BROADCAST_SEGMENTS else parts  # two numbers a segment
-    dealt = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lists = index.where("term is not null").where(held("segment", "term", of=needed)).select("segment", "term", "positions").join(dealt, "segment")
-    lists = lists.where((F.col("parts") == 1) | held("segment", "part", "term", of=needed))
+    # The filter spares most lists the shuffle; the join behind it lets none through that its part does not need.
+    lists = index.where("term is not null").where(held("segment", "term", of=needed)).select("segment", "term", "positions")
+    lists = lists.join(needed, ["segment", "term"]).select("segment", "part", "term", "positions")
+    dealt = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     starts = index.where("term is null").select("segment", "doc_no", "start").join(dealt, "segment")
     rows = starts.select("segment", "part", "doc_no", "start", none("binary").alias("term"), none("binary").alias("positions"), none("long").alias("phrase"), none("array<binary>").alias("words"))
-    rows = rows.unionByName(lists.select("segment", "part", "term", "positions"), allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    rows = rows.unionByName(lists, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
 
     def search(rows: pa.Table) -> pa.Table:
         docs = rows.filter(pc.is_valid(rows["doc_no"])).sort_by("doc_no")

@@ -204,15 +204,13 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.b) AS component_id, m
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n"""
 
 
-def _pagerank_sql(name: str, edges: str, seeds: str, iterations: int = 10, damping: float = 0.85) -> str:
-    base = f"SELECT host, {1 - damping}::DOUBLE AS score FROM {seeds}"
-    steps = [f"{name}0 AS ({base})"]
-    for i in range(iterations):
-        steps.append(
-            f"{name}{i + 1} AS (SELECT host, sum(score) AS score FROM ({base} UNION ALL SELECT e.dst, e.weight * r.score * {damping}::DOUBLE"
-            f" FROM {edges} e JOIN {name}{i} r ON e.src = r.host) GROUP BY host)"
-        )
-    return ",\n".join(steps)
+def _pagerank_sql(name: str, edges: str, seeds: str, damping: float = 0.85) -> str:
+    """What each step adds, until it adds nothing to speak of, and the sums over all steps."""
+    return f"""{name}_steps(step, host, added) AS (
+  SELECT 0, host, {1 - damping}::DOUBLE / (SELECT count(*) FROM {seeds}) FROM {seeds}
+  UNION ALL SELECT step + 1, dst, sum(weight * added) * {damping}::DOUBLE FROM {name}_steps JOIN {edges} ON src = host GROUP BY step + 1, dst
+  HAVING sum(weight * added) > 1e-30),
+{name} AS (SELECT host, sum(added) AS score FROM {name}_steps GROUP BY host)"""
 
 
 def _rule_sql() -> tuple[str, str]:
@@ -223,7 +221,7 @@ def _rule_sql() -> tuple[str, str]:
 _RULE, _VERDICT = _rule_sql()
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op5_url_link_propagation"] = rf"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, html, {_LOWER.format(r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 j AS (SELECT *, {_RULE} AS rule, {_VERDICT} AS by_rule FROM p),
@@ -236,9 +234,8 @@ good AS (SELECT DISTINCT host FROM j WHERE by_rule = 'allow' AND host <> ''),
 bad AS (SELECT DISTINCT host FROM j WHERE by_rule = 'block' AND host <> ''),
 {_pagerank_sql("t", "e", "good")},
 {_pagerank_sql("d", "b", "bad")}
-SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(d10.score, 0) > coalesce(t10.score, 0)
-  AND coalesce(d10.score, 0) >= 0.05 * 0.15 THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN t10 ON j.host = t10.host LEFT JOIN d10 ON j.host = d10.host"""
+SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(d.score, 0) > coalesce(t.score, 0) * {1 + url_filter.MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN t ON j.host = t.host LEFT JOIN d ON j.host = d.host"""
 
 
 def oracles() -> dict[str, str]:

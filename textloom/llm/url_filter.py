@@ -2,7 +2,7 @@
 
 DataFrame operations only. Trust flows along links from hosts that the rules allow; distrust flows against links from
 hosts that the rules block (who links to blocked hosts is distrusted). Both are personalised PageRank with restart
-weight 1 at each seed.
+weight 1 at each seed; they are compared with restart weight 1 in all, so that neither side gains by having more seeds.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from textloom.llm.common import quoted, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Absolute and protocol-relative link targets; others stay on their host.
 LINK = r"""(?i)href\s*=\s*["']((?:https?:)?//[^"'>\s]+)"""
+#: Share by which distrust must be over trust; above what settled scores may still lack.
+MARGIN = 1e-5
 
 
 @dataclass(frozen=True)
@@ -87,9 +89,9 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, iterations: int |
 def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", iterations: int | None = None, damping: float = 0.85, threshold: float = 0.05) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
-    The longest fitting rule decides. Where none fits, a host is blocked if its distrust is over its trust and at
-    least the share threshold of both together, and allowed otherwise; so are empty hosts and hosts that no link
-    ties to a seed. The share has no absolute floor: distrust is split among all that link to a blocked host, so a
+    The longest fitting rule decides. Where none fits, a host is blocked if its distrust, divided by the number of
+    distrusted seeds, is over its trust, divided by that of trusted seeds, by more than the share MARGIN, and at least the
+    share threshold of both together; it is allowed otherwise, and so are empty hosts and hosts that no link ties to a seed. The share has no absolute floor: distrust is split among all that link to a blocked host, so a
     floor would let them pass once they are many. Both scores run until they settle, or for so many iterations. A host with both allowed and blocked pages seeds both. A null url has an empty host
     and path; null html has no links; repeated rows are each judged.
     """
@@ -109,5 +111,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
         distrust = personalised_pagerank(against, seeds.where("verdict = 'block'").select("host"), iterations, damping)
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full_outer")
     scored = judged.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    by_graph = F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * (F.col("distrust") + F.col("trust"))), "block").otherwise("allow")
+    seeded = {r.verdict: r["count"] for r in seeds.groupBy("verdict").count().collect()}  # two numbers
+    d, t = F.col("distrust") / seeded.get("block", 1), F.col("trust") / seeded.get("allow", 1)
+    by_graph = F.when((d > t * (1 + MARGIN)) & (d >= threshold * (d + t)), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_graph).alias("verdict"), "trust", "distrust")
