@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions.lexicons import Lexicon
+from textloom.functions.matching import related_counts, term_counts
 from textloom.functions.text import contained, either_contains, literals, sentences, strip
 from textloom.operators.keywords import having
 
@@ -18,11 +23,8 @@ def _best(scores: list[tuple[str, Column]]) -> Column:
 
 def keyword_domain(keywords: Column, lexicon: Lexicon) -> Column:
     """struct(domain, score): pairs of keyword and term of which one contains the other, over the keywords."""
-
-    def pairs(terms):
-        return F.aggregate(keywords, F.lit(0), lambda n, k: n + F.size(F.filter(literals(terms), lambda t: either_contains(k, t))))
-
-    best = _best([(name, pairs(terms)) for name, terms in lexicon.domains])
+    counts = related_counts(keywords, [terms for _, terms in lexicon.domains])
+    best = _best([(name, F.get(counts, F.lit(i))) for i, (name, _) in enumerate(lexicon.domains)])
     found = best["score"] > 0
     return F.struct(F.when(found, best["name"]).otherwise("general").alias("domain"), F.when(found, best["score"] / F.size(keywords)).otherwise(0.0).alias("score"))
 
@@ -30,12 +32,9 @@ def keyword_domain(keywords: Column, lexicon: Lexicon) -> Column:
 def weighted_domain(text: Column, keywords: Column, lexicon: Lexicon) -> Column:
     """struct(domain, score): a term weighs once in text or keywords and again in the first 100 characters."""
     everything, start = F.lower(F.concat(text, F.lit(" "), F.array_join(keywords, " "))), F.lower(F.substring(text, 1, 100))
-
-    def weight(w, terms):
-        low = [t.lower() for t in terms]
-        return F.lit(w) * (F.size(contained(everything, low)) + F.size(F.filter(literals(low), lambda t: F.contains(everything, t) & F.contains(start, t))))
-
-    best = _best([(name, weight(w, terms)) for name, w, terms in lexicon.weighted_domains])
+    groups = [[t.lower() for t in terms] for _, _, terms in lexicon.weighted_domains]
+    anywhere, early = term_counts(everything, groups), term_counts(start, groups)  # what stands early stands in the text
+    best = _best([(name, F.lit(w) * (F.get(anywhere, F.lit(i)) + F.get(early, F.lit(i)))) for i, (name, w, _) in enumerate(lexicon.weighted_domains)])
     found = best["score"] > 0
     return F.struct(F.when(found, best["name"]).otherwise("general").alias("domain"), F.when(found, best["score"]).otherwise(0.0).alias("score"))
 
@@ -117,18 +116,35 @@ def template_summary(title: Column, text: Column, keywords: Column, lexicon: Lex
     )
 
 
+def best_sentences(text: Column, keywords: Column, words: Column, lexicon: Lexicon, most: int = 3, least: int = 10, longest: int = 200) -> Column:
+    """The best sentences of at least so many characters, best first, joined and cut; null if none has any points.
+
+    A keyword in it gives a sentence one point, 20 to 100 characters one, and each of the words half a point; earlier
+    sentences come first among equals. Null texts and keywords have none. One pass a text, in Arrow batches.
+    """
+    split, period = regex.compile("[" + lexicon.delimiters_rich + "]").split, lexicon.period
+
+    @F.pandas_udf("string")
+    def best(texts: pd.Series, keyword_lists: pd.Series, word_lists: pd.Series) -> pd.Series:
+        def one(t, keys, more):
+            if t is None or keys is None:
+                return None
+            found, more = [], [w for w in (more if more is not None else ()) if w is not None]
+            for i, s in enumerate(split(t)):
+                if len(bare := s.strip()) >= least:
+                    points = sum(k in s for k in keys) + (20 <= len(s) <= 100) + 0.5 * sum(w in s for w in more)
+                    found.append((-points, i, bare))
+            joined = period.join(bare for minus, _, bare in heapq.nsmallest(most, found) if minus < 0)
+            return (joined[:longest] + "..." if len(joined) > longest else joined) or None
+
+        return pd.Series([one(*x) for x in zip(texts, keyword_lists, word_lists, strict=True)], dtype=object)
+
+    return best(text, keywords, words)
+
+
 def extractive_summary(title: Column, text: Column, keywords: Column, theme_list: Column, lexicon: Lexicon) -> Column:
     """The three best sentences: keywords in them, a fit length, and half a point for each theme word."""
     top = F.slice(keywords, 1, 10)
     words = F.flatten(F.transform(F.filter(theme_list, lambda t: F.contains(t, F.lit(lexicon.colon))), lambda t: F.split(F.get(F.split(t, lexicon.colon), F.lit(1)), lexicon.comma)))
-    raw = F.split(text, f"[{lexicon.delimiters_rich}]")
-
-    def scored(s: Column, i: Column) -> Column:
-        points = _hits(s, top) + F.when(F.length(s).between(20, 100), 1.0).otherwise(0.0) + 0.5 * F.size(F.filter(words, lambda w: F.contains(s, w)))
-        return F.struct((-points).cast("double").alias("minus"), i.alias("i"), strip(s).alias("s"))
-
-    ranked = F.filter(F.array_sort(F.transform(raw, scored)), lambda x: F.length(x["s"]) >= 10)
-    best = F.transform(F.filter(F.slice(ranked, 1, 3), lambda x: x["minus"] < 0), lambda x: x["s"])
-    joined = F.array_join(best, lexicon.period)
-    cut = F.when(F.length(joined) > 200, F.concat(F.substring(joined, 1, 200), F.lit("..."))).otherwise(joined)
-    return F.when(F.size(best) > 0, cut).otherwise(filled_in(lexicon.texts["around"], title, F.array_join(F.slice(keywords, 1, 5), ", ")))
+    around = filled_in(lexicon.texts["around"], title, F.array_join(F.slice(keywords, 1, 5), ", "))
+    return F.coalesce(best_sentences(text, top, words, lexicon), around)

@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 
 from textloom.functions.lexicons import Lexicon
 from textloom.functions.text import WORD, contains_any, word_tokens, ws_tokens
+from textloom.sources.shared import written
 
 _WORD = regex.compile(WORD)
 _ASCII = re.compile("[a-zA-Z]+")
 COUNTS = "array<struct<word: string, n: bigint, pos: int>>"
+SHARES = "array<struct<word: string, share: double, pos: int>>"
+#: Tasks over which the documents that hold one word are dealt.
+SALT = 16
 RANKS = "array<struct<word: string, score: double>>"
 
 
@@ -49,15 +53,18 @@ def plain_rule(lexicon: Lexicon) -> Callable[[str], bool]:
     return lambda w: len(w) > 1 and w not in stop
 
 
-def ranked_words(text: Column, rule: Callable[[str], bool], k: int | None = None) -> Column:
-    """array of (word, n, pos): the k most frequent words that rule takes, or all; earlier ones first among equals."""
+def ranked_words(text: Column, rule: Callable[[str], bool], k: int | None = None, cut: Callable[[str], list[str]] = _WORD.findall) -> Column:
+    """array of (word, n, pos): the k most frequent words that rule takes, or all; earlier ones first among equals.
+
+    cut gives the words of a text in lower case: runs of letters and digits, or those of segmenting.cutter().
+    """
 
     @F.pandas_udf(COUNTS)
     def rank(texts: pd.Series) -> pd.Series:
         def one(t):
             if not t:
                 return []
-            every = _WORD.findall(t)
+            every = cut(t)
             first = {w: len(every) - 1 - i for i, w in enumerate(reversed(every))}
             best = sorted(((w, n) for w, n in Counter(every).items() if rule(w)), key=lambda x: -x[1])[:k]
             return [{"word": w, "n": n, "pos": first[w]} for w, n in best]
@@ -78,27 +85,45 @@ def top_keywords(words: DataFrame, k: int = 20) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "word", "n")
 
 
-def top_words(docs: DataFrame, rule: Callable[[str], bool], k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def top_words(docs: DataFrame, rule: Callable[[str], bool], k: int = 20, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = _WORD.findall) -> DataFrame:
     """(doc_id, rank, word, n) of each document's text, a row per word; rows that repeat an id are ranked apart."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ranked_words(F.col(text_col), rule, k)).alias("at", "of"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ranked_words(F.col(text_col), rule, k, cut)).alias("at", "of"))
     return rows.select("doc_id", (F.col("at") + 1).alias("rank"), "of.word", "of.n")
 
 
-def keyword_arrays(docs: DataFrame, lexicon: Lexicon, k: int = 20, text_col: str = "text") -> DataFrame:
+def keyword_arrays(docs: DataFrame, lexicon: Lexicon, k: int = 20, text_col: str = "text", cut: Callable[[str], list[str]] = _WORD.findall) -> DataFrame:
     """docs with a column keywords, ranked; an empty array where a document has none."""
-    return docs.withColumn("keywords", F.transform(ranked_words(F.col(text_col), keyword_rule(lexicon), k), lambda x: x["word"]))
+    return docs.withColumn("keywords", F.transform(ranked_words(F.col(text_col), keyword_rule(lexicon), k, cut), lambda x: x["word"]))
+
+
+def word_shares(text: Column, rule: Callable[[str], bool], cut: Callable[[str], list[str]] = _WORD.findall) -> Column:
+    """array of (word, share, pos): of each distinct word that rule takes its share of all these words, and its first place."""
+
+    @F.pandas_udf(SHARES)
+    def shares(texts: pd.Series) -> pd.Series:
+        def one(t):
+            every = cut(t) if t else []
+            first = {w: len(every) - 1 - i for i, w in enumerate(reversed(every))}
+            counts = [(w, n) for w, n in Counter(every).items() if rule(w)]
+            total = sum(n for _, n in counts)
+            return [{"word": w, "share": n / total, "pos": first[w]} for w, n in counts]
+
+        return texts.map(one)
+
+    return shares(F.lower(text))
 
 
-def tfidf(docs: DataFrame, n_docs: int, lexicon: Lexicon, k: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tfidf(docs: DataFrame, n_docs: int, lexicon: Lexicon, k: int = 30, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = _WORD.findall) -> DataFrame:
     """(doc_id, rank, word, score): score is term frequency times ln(n_docs / document frequency).
 
-    Only a row per document and distinct word is shuffled. Rows that repeat an id are ranked apart.
+    Texts are counted once, where they are read; a row per document and distinct word is written and joined with the words'
+    document frequencies. Words that most documents hold are dealt over SALT tasks. Rows that repeat an id are ranked apart.
     """
-    counts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), ranked_words(F.col(text_col), keyword_rule(lexicon)).alias("counts"))
-    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    tf = counts.select("doc_id", "row", total.alias("total"), F.inline("counts"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "word").withColumn("score", F.round(F.col("n") / F.col("total") * F.log(F.lit(float(n_docs)) / F.col("df")), 9))
+    shares = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), word_shares(F.col(text_col), keyword_rule(lexicon), cut).alias("shares"))
+    rows = written(shares.select("doc_id", "row", F.inline("shares")), "word-shares")
+    df = rows.groupBy("word").agg(F.count("*").alias("df")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    scored = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(df, ["word", "salt"])
+    scored = scored.withColumn("score", F.round(F.col("share") * F.log(F.lit(float(n_docs)) / F.col("df")), 9))
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("doc_id", "row").orderBy(F.desc("score"), "pos")))
     return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "word", "score")
 
@@ -123,13 +148,13 @@ def cooccurrence_scores(words: list[str], window: int = 4, iterations: int = 5,
     return {w: float(score[i]) for w, i in number.items() if joined[i]}
 
 
-def ranked_by_company(text: Column, rule: Callable[[str], bool], k: int = 20, window: int = 4) -> Column:
+def ranked_by_company(text: Column, rule: Callable[[str], bool], k: int = 20, window: int = 4, cut: Callable[[str], list[str]] = _WORD.findall) -> Column:
     """array of (word, score): the k words of the highest co-occurrence score, in alphabetical order among equals."""
 
     @F.pandas_udf(RANKS)
     def rank(texts: pd.Series) -> pd.Series:
         def one(t):
-            scores = cooccurrence_scores([w for w in _WORD.findall(t or "") if rule(w)], window)
+            scores = cooccurrence_scores([w for w in cut(t or "") if rule(w)], window)
             best = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0].encode()))[:k]
             return [{"word": w, "score": round(v, 6)} for w, v in best]
 
@@ -138,9 +163,9 @@ def ranked_by_company(text: Column, rule: Callable[[str], bool], k: int = 20, wi
     return rank(F.lower(text))
 
 
-def textrank(docs: DataFrame, lexicon: Lexicon, k: int = 20, window: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def textrank(docs: DataFrame, lexicon: Lexicon, k: int = 20, window: int = 4, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = _WORD.findall) -> DataFrame:
     """(doc_id, rank, word, score): words of each document ranked by co-occurrence within a window."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ranked_by_company(F.col(text_col), keyword_rule(lexicon), k, window)).alias("at", "of"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ranked_by_company(F.col(text_col), keyword_rule(lexicon), k, window, cut)).alias("at", "of"))
     return rows.select("doc_id", (F.col("at") + 1).alias("rank"), "of.word", "of.score")
 
 

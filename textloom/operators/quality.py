@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.matching import term_counts
 from textloom.functions.text import contains_any, count_contained, kept, literals, strip
 from textloom.sources.shared import written
 
@@ -124,11 +125,13 @@ def structure_score(parts: dict[str, Column]) -> Column:
 
 def practicality(parts: dict[str, Column], terms: tuple[str, ...] = ACTIONABLE_ZH) -> Column:
     names = ("practical_tips", "actionable_advice", "methodologies")
-    return sum((F.least(count_contained(parts[n], terms) * 10, F.lit(100)) for n in names), F.lit(0)) / 3
+    counts = (F.get(term_counts(parts[n], [terms]), F.lit(0)) for n in names)
+    return sum((F.least(n * 10, F.lit(100)) for n in counts), F.lit(0)) / 3
 
 
 def professionalism(document: Column, terms: tuple[str, ...] = PROFESSIONAL_ZH, depth: tuple[str, ...] = DEPTH_ZH) -> Column:
-    return F.least(count_contained(document, terms) * 8, F.lit(80)) + F.least(count_contained(document, depth) * 5, F.lit(20))
+    counts = term_counts(document, [terms, depth])
+    return F.least(F.get(counts, F.lit(0)) * 8, F.lit(80)) + F.least(F.get(counts, F.lit(1)) * 5, F.lit(20))
 
 
 def content_score(length: Column, structure: Column, practical: Column, professional: Column) -> Column:

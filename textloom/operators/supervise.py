@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions.text import contains_any, count_contained, kept
+from textloom.functions.matching import term_counts
+from textloom.functions.text import contains_any, kept
 from textloom.operators.keywords import unique_tokens
 
 
@@ -29,7 +30,7 @@ class Standards:
 def template_ratio(title: Column, content: Column, std: Standards = Standards()) -> Column:
     low = [t.lower() for t in std.template_terms]
     both = F.concat(F.lower(content), F.lit("\n"), F.lower(title))
-    return count_contained(both, low) / len(low)
+    return F.get(term_counts(both, [low]), F.lit(0)) / len(low)
 
 
 def platform_issues(platform: Column, title: Column, content: Column, std: Standards = Standards()) -> Column:
