@@ -58,26 +58,51 @@ def has_marker(html: Column, markers: Sequence[str]) -> Column:
     return F.exists(literals(markers), lambda m: F.contains(low, m))
 
 
+#: What matters to where an object ends: brackets, quotes and escaped characters.
+_MARKS = re.compile(r'[{}"]|\\.', re.DOTALL)
+#: Levels of nesting beyond which a page's state counts as broken.
+DEEPEST = 500
+
+
+def object_ends(text: str) -> dict[int, tuple[int, int]]:
+    """For each brace that opens an object and is closed again: where it ends, and how many levels are below it.
+
+    Braces inside strings are not counted. Which stretches are strings depends on the number of quotes since the start,
+    odd or even; so one pass with a stack for either case serves every start, and what never closes costs no more.
+    """
+    out: dict[int, tuple[int, int]] = {}
+    stacks: tuple[list, list] = ([], [])
+    odd = 0
+    for m in _MARKS.finditer(text):
+        c, stack = m[0], stacks[odd]
+        if c == '"':
+            odd = 1 - odd
+        elif c == "{":
+            stack.append([m.start(), 0])
+        elif c == "}" and stack:
+            start, below = stack.pop()
+            out[start] = (m.end(), below)
+            if stack:
+                stack[-1][1] = max(stack[-1][1], below + 1)
+    return out
+
+
 def balanced(text: str, start: int) -> str | None:
     """The JSON object that opens at start, braces inside strings not counted; None if it never closes."""
-    depth, quoted, i = 0, False, start
-    while i < len(text):
-        ch = text[i]
-        if quoted:
-            if ch == "\\":
-                i += 1
-            elif ch == '"':
-                quoted = False
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0:
-                return text[start : i + 1]
-        i += 1
-    return None
+    end = object_ends(text[start:]).get(0)
+    return text[start : start + end[0]] if end else None
+
+
+def parsed(text: str | None):
+    """The value of a JSON text; None if it is null, broken or nested too deeply."""
+    try:
+        return json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return None
+
+
+def as_json(value) -> str | None:
+    return None if value is None else json.dumps(value, ensure_ascii=False)
 
 
 def script_json(names: Sequence[str]):
@@ -87,14 +112,12 @@ def script_json(names: Sequence[str]):
     @F.pandas_udf(T.StringType())
     def extract(html: pd.Series) -> pd.Series:
         def one(page):
-            for p in patterns if page else ():
-                for m in p.finditer(page):
-                    found = balanced(page, m.end())
-                    try:
-                        json.loads(found or "")
-                    except ValueError:
-                        continue
-                    return found
+            starts = [m.end() for p in patterns for m in p.finditer(page)] if page else []
+            ends = object_ends(page) if starts else {}
+            for start in starts:
+                end, below = ends.get(start, (0, 0))
+                if end and below < DEEPEST and parsed(page[start:end]) is not None:
+                    return page[start:end]
             return None
 
         return html.map(one)
@@ -124,11 +147,7 @@ def deep_find(keys: Sequence[str]):
     @F.pandas_udf(T.StringType())
     def find(texts: pd.Series) -> pd.Series:
         def one(text):
-            try:
-                hit = find_first(json.loads(text), lambda d: next((d[k] for k in wanted if d.get(k)), None))
-            except (TypeError, ValueError):
-                return None
-            return None if hit is None else json.dumps(hit, ensure_ascii=False)
+            return as_json(find_first(parsed(text), lambda d: next((d[k] for k in wanted if d.get(k)), None)))
 
         return texts.map(one)
 
@@ -141,11 +160,8 @@ def first_entry():
     @F.pandas_udf(T.StringType())
     def find(texts: pd.Series, keys: pd.Series) -> pd.Series:
         def one(text, key):
-            try:
-                hit = find_first(json.loads(text), lambda d: d.get(key)) if key else None
-            except (TypeError, ValueError):
-                return None
-            return json.dumps(next(iter(hit.values())), ensure_ascii=False) if isinstance(hit, dict) else None
+            hit = find_first(parsed(text), lambda d: d.get(key)) if key else None
+            return as_json(next(iter(hit.values()))) if isinstance(hit, dict) else None
 
         return pd.Series([one(t, k) for t, k in zip(texts, keys, strict=True)])
 
@@ -168,46 +184,13 @@ def find_with(required: Sequence[str], wrappers: Sequence[str] = ()):
     @F.pandas_udf(T.StringType())
     def find(texts: pd.Series) -> pd.Series:
         def one(text):
-            try:
-                hit = find_first(json.loads(text), test)
-            except (TypeError, ValueError):
-                return None
-            return None if hit is None else json.dumps(hit, ensure_ascii=False)
+            return as_json(find_first(parsed(text), test))
 
         return texts.map(one)
 
     return find
 
 
-VIDEO_SCHEMA = (
-    "`desc` string, author struct<nickname:string,unique_id:string>, statistics struct<play_count:bigint,digg_count:bigint,comment_count:bigint,share_count:bigint>,"
-    "video struct<duration:bigint,cover struct<url_list:array<string>>>, create_time bigint"
-).replace("cover struct<", "cover:struct<")
-NOTE_SCHEMA = (
-    "title string, `desc` string, user struct<nickname:string>, imageList array<struct<urlDefault:string>>, interactInfo struct<likedCount:string,commentCount:string>,"
-    "tagList array<struct<name:string>>, time bigint"
-)
-
-
-def video_record(found: Column) -> Column:
-    """The flat fields of a video object as JSON text."""
-    v = F.from_json(found, VIDEO_SCHEMA)
-    return F.struct(
-        v["desc"].alias("title"), first_filled(v["author"]["nickname"], v["author"]["unique_id"]).alias("author"), F.coalesce(v["statistics"]["play_count"], F.lit(0)).alias("view_count"),
-        F.coalesce(v["statistics"]["digg_count"], F.lit(0)).alias("like_count"), F.floor(F.coalesce(v["video"]["duration"], F.lit(0)) / 1000).alias("duration"),
-        F.get(v["video"]["cover"]["url_list"], F.lit(0)).alias("cover_url"), v["create_time"].alias("create_time"),
-    )
-
-
-def note_record(found: Column) -> Column:
-    """The flat fields of a note object as JSON text."""
-    n = F.from_json(found, NOTE_SCHEMA)
-    return F.struct(
-        n["title"].alias("title"), n["desc"].alias("description"), n["user"]["nickname"].alias("author"), F.transform(n["imageList"], lambda i: i["urlDefault"]).alias("images"),
-        F.transform(n["tagList"], lambda t: t["name"]).alias("tags"), F.coalesce(n["interactInfo"]["likedCount"].try_cast("bigint"), F.lit(0)).alias("like_count"),
-    )
-
-
 def lenient_json(answer: Column) -> Column:
     """The text if it is JSON, else the widest stretch from { to } if that is, else null."""
     whole, wide = strip(answer), F.regexp_extract(answer, r"(?s)\{.*\}", 0)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,7 +43,8 @@ def word_tokens(c: Column) -> Column:
 
 
 def contains_any(c: Column, terms: Sequence[str]) -> Column:
-    return F.exists(literals(terms), lambda t: F.contains(c, t))
+    """Whether c holds one of the terms; without a lambda, so that it may stand inside one."""
+    return reduce(or_, (F.contains(c, F.lit(t)) for t in terms)) if terms else F.lit(False)
 
 
 def contained(c: Column, terms: Sequence[str]) -> Column:

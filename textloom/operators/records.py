@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions import context, html
+from textloom.functions import context, html, tree
 from textloom.functions.text import filled, first_filled, first_match, strip
 
 # Names that the pages of the platforms use, and texts of records without values.
@@ -40,7 +40,21 @@ LABELS = {
     "title": "标题", "author": "作者", "kind": "类型", "video": "视频描述", "note": "笔记描述", "api": "简介", "tags": "标签", "images": "图片文字内容", "excerpt": "摘要", "content": "内容", "topics": "相关话题",
     "views": "播放量", "likes": "点赞数", "comments": "评论数", "collects": "收藏数", "votes": "赞同数", "visits": "浏览量", "parts": "分P信息",
 }
-QA_TITLE_CLASS, QA_TEXT_CLASSES, QA_AUTHOR_CLASSES = "QuestionHeader-title", ("RichContent-inner", "QuestionRichText", "Post-RichText"), ("AuthorInfo-name", "UserLink-link", "author-link-line")
+#: For each kind of page the selectors of a field, best first.
+CASCADES = {
+    "video": {
+        "title": ('meta[property="og:title"]', 'meta[name="twitter:title"]', 'meta[property="twitter:title"]', "title"),
+        "description": ('meta[property="og:description"]', 'meta[name="description"]', 'meta[name="twitter:description"]'),
+        "author": ('meta[name="author"]', 'meta[property="og:site_name"]', ".author-name", ".user-name"),
+        "cover_url": ('meta[property="og:image"]', 'meta[name="twitter:image"]'),
+    },
+    "qa": {
+        "title": ('meta[property="og:title"]', 'meta[name="twitter:title"]', "h1.QuestionHeader-title", "h1", "title"),
+        "content": ('meta[property="og:description"]', 'meta[name="description"]', ".RichContent-inner", ".QuestionRichText", ".Post-RichText"),
+        "author": (".AuthorInfo-name a", ".UserLink-link", ".author-link-line a"),
+    },
+}
+SELECTORS = tuple(dict.fromkeys(s for fields in CASCADES.values() for order in fields.values() for s in order))
 
 _NO_WORDS = "array<string>"
 
@@ -77,23 +91,22 @@ def qa_from_entry(entry: Column, kind: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in fields.items()], topics.alias("topics"), entry.isNotNull().alias("found"))
 
 
-def class_text(page: Column, name: str, inner: str = "") -> Column:
-    """The stripped text of the first element of a class, or of the first inner element after its start; empty if there is none.
+def markup(page: Column) -> Column:
+    """What a page's elements hold, for every selector of the cascades; one pass a page serves all of them."""
+    return tree.selected(page, SELECTORS)
+
 
-    An element ends at the first end tag of its name.
-    """
-    start = rf"""(?is)<(\w+)[^>]*\bclass=["'][^"']*(?<![\w-]){name}(?![\w-])[^"']*["'][^>]*>"""
-    found = F.regexp_extract(page, rf"{start}.*?<{inner}(?:\s[^>]*)?>(.*?)</{inner}>" if inner else rf"{start}(.*?)</\1>", 2)
-    return strip(html.unescaped(F.regexp_replace(found, "(?s)<[^>]*>", "")))
+def from_markup(page: Column, kind: str) -> Column:
+    """struct of the fields of CASCADES for this kind of page; a field that no element gives is null."""
+    found = markup(page)
+    rules = CASCADES[kind]
+    title = {"longer_than": 5} if kind == "video" else {"without": QA_SITE}
+    return F.struct(*[tree.first_good(found, SELECTORS, order, **(title if name == "title" else {})).alias(name) for name, order in rules.items()])
 
 
 def qa_from_markup(page: Column) -> Column:
     """struct(title, content, author) by the cascades of Q&A pages; titles with the site's name are passed over."""
-    titles = [html.meta(page, "og:title", "property"), html.meta(page, "twitter:title"), class_text(page, QA_TITLE_CLASS), html.tag_text(page, "h1"), html.tag_text(page, "title")]
-    title = F.coalesce(*[F.when((strip(t) != "") & ~F.contains(t, F.lit(QA_SITE)), strip(t)) for t in titles])
-    content = first_filled(strip(html.meta(page, "og:description", "property")), strip(html.meta(page, "description")), *[class_text(page, c) for c in QA_TEXT_CLASSES])
-    named = [class_text(page, c, "" if c == "UserLink-link" else "a") for c in QA_AUTHOR_CLASSES]
-    return F.struct(title.alias("title"), content.alias("content"), first_filled(*named).alias("author"))
+    return from_markup(page, "qa")
 
 
 def qa_record(page: Column, entry: Column, kind: Column) -> Column:
@@ -132,14 +145,14 @@ def note_entry(state: Column) -> Column:
 
 def video_record(page: Column, entry: Column, shared: Column) -> Column:
     """The record of a short video: its object, then markup, then the text it was shared with, then the defaults."""
-    v = F.from_json(entry, VIDEO_STATE)
+    v, m = F.from_json(entry, VIDEO_STATE), from_markup(page, "video")
     n = lambda c: F.coalesce(c, F.lit(0))
     return F.struct(
-        filled(first_filled(v["desc"], html.title_cascade(page), html.tag_text(page, "title"), context.context_title(shared)), DEFAULT_TITLES["video"]).alias("title"),
-        filled(first_filled(v["author"]["nickname"], v["author"]["unique_id"], html.meta(page, "author"), context.context_author(shared)), UNKNOWN_AUTHOR).alias("author"),
-        filled(html.meta(page, "description"), "").alias("description"), n(v["statistics"]["play_count"]).alias("view_count"), n(v["statistics"]["digg_count"]).alias("like_count"),
+        filled(first_filled(v["desc"], m["title"], html.tag_text(page, "title"), context.context_title(shared)), DEFAULT_TITLES["video"]).alias("title"),
+        filled(first_filled(v["author"]["nickname"], v["author"]["unique_id"], m["author"], context.context_author(shared)), UNKNOWN_AUTHOR).alias("author"),
+        filled(m["description"], "").alias("description"), n(v["statistics"]["play_count"]).alias("view_count"), n(v["statistics"]["digg_count"]).alias("like_count"),
         n(v["statistics"]["comment_count"]).alias("comment_count"), n(v["statistics"]["share_count"]).alias("share_count"), filled(v["create_time"], "").alias("publish_time"),
-        filled(F.get(v["video"]["cover"]["url_list"], F.lit(0)), "").alias("cover_url"), n(v["video"]["duration"]).alias("duration"),
+        filled(first_filled(F.get(v["video"]["cover"]["url_list"], F.lit(0)), m["cover_url"]), "").alias("cover_url"), n(v["video"]["duration"]).alias("duration"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import context, html, urls
+from textloom.functions import context, html, tree, urls
 from textloom.operators import records, render, store
 from textloom.plans import sqltext as q
 from textloom.sources import sinks
@@ -42,6 +42,7 @@ def tag(name: str) -> str:
     return q.strip(unescape(f"regexp_replace({inner}, '(?s)<[^>]*>', '', 'g')"))
 
 
+_HOST_SQL = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 HOSTS = (("blog", (r"^https?://blog\.",)), ("m", (r"^https?://m\.",)), ("www", (r"^https?://www\.",)))
 PARTS = (("net", (".net/", ".net?")), ("org", (".org",)))
 LANGS = (("english", r"/(en)/(\d+)"), ("german", r"/(de)/(\d+)"), ("french", r"/(fr)/(\d+)"))
@@ -184,6 +185,25 @@ def html_cascade(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", html.title_cascade(F.col("html"), 30).alias("title"))
 
 
+@query(f"""SELECT page_id, {tag('h1')} AS h1, {tag('title')} AS title, regexp_extract(html, '<nav>.*?<a href="([^"]*)"', 1) AS first_link,
+CASE WHEN html LIKE '%class="ad"%' THEN {q.strip(unescape(r"""regexp_replace(regexp_extract(html, '(?is)<div class="ad">(.*?)</div>', 1), '(?s)<[^>]*>', '', 'g')"""))} END AS ad FROM pages""")
+def html_elements(spark, sf_dir):
+    wanted = ("article h1", "title", "nav ul li a@href", "div.ad")
+    found = tree.selected(F.col("html"), wanted)
+    return pages(spark, sf_dir).select("page_id", *[F.get(found, F.lit(i)).alias(n) for i, n in enumerate(("h1", "title", "first_link", "ad"))])
+
+
+# Elements inside elements of their own kind, around each page's own title and text.
+_NEST = """'<html><head><title> </title><meta property="og:image" content="i' || page_id || '.png"></head><body><div class="RichContent-inner"><div>in <div>deep ' || page_id || '</div></div> out</div><div class="x AuthorInfo-name"><div><i>by</i></div><span><a href="/u">' || coalesce({host}, '') || '</a></span></div>'"""
+
+
+@query(f"""SELECT page_id, {q.strip(f"'in deep ' || page_id || ' out'")} AS content, {_HOST_SQL} AS author, {tag('h1')} AS title, 'i' || page_id || '.png' AS cover FROM pages""")
+def html_nested(spark, sf_dir):
+    rows = pages(spark, sf_dir).select("page_id", F.concat(F.expr(_NEST.replace("{host}", _HOST_SQL)), F.coalesce("html", F.lit(""))).alias("html"))
+    qa, video = records.from_markup(F.col("html"), "qa"), records.from_markup(F.col("html"), "video")
+    return rows.select("page_id", qa["content"].alias("content"), qa["author"].alias("author"), qa["title"].alias("title"), video["cover_url"].alias("cover"))
+
+
 @query("""SELECT page_id, regexp_extract(html, '(?i)<meta[^>]*\\bcharset=["'']?([a-zA-Z0-9_-]+)', 1) AS charset FROM pages""")
 def html_meta(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", html.charset(F.col("html")).alias("charset"))
@@ -244,10 +264,20 @@ def json_deep_find(spark, sf_dir):
     return _state(spark, sf_dir).select("page_id", html.deep_find(["nickname"])(F.col("state")).alias("nickname"), html.find_with(["title", "user"], ["noteDetailMap"])(F.col("state")).alias("note"))
 
 
+def _videos(rows: DataFrame) -> DataFrame:
+    """Fields of the engine's record of the video in a page's state, its duration in seconds; null where there is none."""
+    rows = rows.withColumn("entry", records.video_entry(F.col("state")))
+    rows = rows.select("page_id", F.col("entry").isNotNull().alias("there"), records.video_record(F.lit(""), F.col("entry"), F.lit("")).alias("v"))
+    field = lambda c: F.when(F.col("there"), F.nullif(F.col(f"v.{c}"), F.lit("")))
+    return rows.select(
+        "page_id", field("title").alias("title"), field("author").alias("author"), "v.view_count", "v.like_count", F.floor(F.col("v.duration") / 1000).alias("duration"),
+        field("cover_url").alias("cover_url"), field("publish_time").cast("bigint").alias("create_time"),
+    )
+
+
 @query()
 def json_field_map(spark, sf_dir):
-    found = _state(spark, sf_dir).withColumn("found", html.find_with(["desc", "author"], ["aweme_detail"])(F.col("state")))
-    return found.select("page_id", html.video_record(F.col("found")).alias("v")).select("page_id", "v.*")
+    return _videos(_state(spark, sf_dir))
 
 
 @query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN {_JSON["answer"]} WHEN 1 THEN '{{"note": {{"noteDetailMap": {{"x": {{"note": ' || {_JSON["note"]} || '}}}}}}}}' WHEN 2 THEN '{{"a": [{{"aweme_detail": ' || {_JSON["video"]} || '}}]}}' END AS state FROM pages""")
@@ -263,8 +293,7 @@ def page_state_find(spark, sf_dir):
 @query(f"""SELECT page_id, CASE WHEN v THEN 'd }} ' || page_id END AS title, CASE WHEN v THEN {_HOST} END AS author, CASE WHEN v THEN page_id * 1000 ELSE 0 END AS view_count, CASE WHEN v THEN 7 ELSE 0 END AS like_count,
 CASE WHEN v THEN page_id * 500 // 1000 ELSE 0 END AS duration, CASE WHEN v THEN 'c' || page_id END AS cover_url, CASE WHEN v THEN 5 END AS create_time FROM (SELECT *, page_id % 4 = 2 AS v FROM pages)""")
 def page_state_video(spark, sf_dir):
-    found = _stated(spark, sf_dir).withColumn("found", html.find_with(["desc", "author"], ["aweme_detail"])(F.col("state")))
-    return found.select("page_id", html.video_record(F.col("found")).alias("v")).select("page_id", "v.*")
+    return _videos(_stated(spark, sf_dir))
 
 
 _KIND = "CASE page_id % 4 WHEN 0 THEN 'answer' ELSE 'article' END"
