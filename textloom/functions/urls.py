@@ -72,17 +72,33 @@ def routed(pages: DataFrame, name: Column, supported: Sequence[str]) -> DataFram
     })
 
 
+def query_decoded(c: Column) -> Column:
+    """A key or value of a query: + is a space, percent codes are UTF-8 bytes, and a % that begins no code stays."""
+    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def query_encoded(c: Column) -> Column:
+    """Percent codes for all but letters, digits and _.-~, and + for a space."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def normalised(url: Column, hosts: Sequence[str] = ("douyin.com", "iesdouyin.com"), drop: Sequence[str] = VOLATILE_KEYS) -> Column:
-    """The url without its fragment and, on the hosts, without the query keys in drop and keys without a value.
+    """The url with its scheme in lower case, without fragment and empty query; on the hosts its query is read and written anew.
 
-    Repeated keys are grouped at the place of their first; percent codes are left as they stand.
+    Then keys in drop and keys without a value are left out, repeated keys stand at the place of their first, and keys and
+    values are decoded and encoded again, so that links which differ in their codes only have one form.
     """
-    bare = F.regexp_replace(url, "(?s)#.*$", "")
+    bare = F.regexp_replace(F.regexp_replace(url, "(?s)#.*$", ""), r"\?$", "")
+    scheme = F.regexp_extract(bare, "^[a-zA-Z][a-zA-Z0-9+.-]*(?=:)", 0)
+    bare = F.concat(F.lower(scheme), F.substr(bare, F.length(scheme) + 1))
     base, query = F.substring_index(bare, "?", 1), F.regexp_extract(bare, r"(?s)\?(.*)$", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: p.rlike("(?s)^[^=]+=.") & ~F.array_contains(literals(drop), F.substring_index(p, "=", 1)))
-    keys = F.array_distinct(F.transform(pairs, lambda p: F.substring_index(p, "=", 1)))
-    grouped = F.flatten(F.transform(keys, lambda k: F.filter(pairs, lambda p: F.substring_index(p, "=", 1) == k)))
-    cleaned = F.concat(base, F.when(F.size(grouped) > 0, F.concat(F.lit("?"), F.array_join(grouped, "&"))).otherwise(""))
+    pairs = F.filter(F.split(query, "&"), lambda p: p.rlike("(?s)^[^=]*=."))
+    read = F.transform(pairs, lambda p: F.struct(query_decoded(F.substring_index(p, "=", 1)).alias("k"), query_decoded(F.substr(p, F.locate("=", p) + 1)).alias("v")))
+    read = F.filter(read, lambda p: ~F.array_contains(literals(drop), p["k"]))
+    keys = F.array_distinct(F.transform(read, lambda p: p["k"]))
+    grouped = F.flatten(F.transform(keys, lambda k: F.filter(read, lambda p: p["k"] == k)))
+    made = F.array_join(F.transform(grouped, lambda p: F.concat(query_encoded(p["k"]), F.lit("="), query_encoded(p["v"]))), "&")
+    cleaned = F.concat(base, F.when(F.size(grouped) > 0, F.concat(F.lit("?"), made)).otherwise(""))
     return F.when(F.exists(literals(hosts), lambda h: F.contains(authority(url), h)), cleaned).otherwise(bare)
 
 

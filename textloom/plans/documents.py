@@ -293,6 +293,12 @@ def learning_path(spark, sf_dir):
     return ranked(spark, sf_dir).select("doc_id", *[flat(c).alias(f"p_{n}") for n, c in path.items()])
 
 
+@query()
+def rich_analysis(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", "title", F.lit("").alias("description"), F.col("text").alias("content"))
+    return api.richly_analysed(rows, LEX).select("doc_id", F.to_json("analysis").alias("analysis"))
+
+
 def _graphs(spark, sf_dir):
     return api.with_graph(api.analysed(docs(spark, sf_dir), LEX), F.col("source"), LEX)
 

@@ -118,6 +118,16 @@ def url_key(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.url_key(F.col("url"), **OPTIONS).alias("key"), F.md5(F.col("url").cast("binary")).alias("id"))
 
 
+# Each link with a query that names the same things in other codes, repeats keys and leaves values out.
+_CODED = "concat('HTTP://www.example.com/p/', page_id, '?b=%7e', page_id, '&utm%5Fsource=x&a+b=c%2Bd+', page_id % 7, '&e=&=n&b=~*&ref=1&z=', replace(replace(coalesce(url, ''), '#', '%23'), '&', '%26'), '#f')"
+_CODED_Z = "replace(url_encode(coalesce(url, '')), '%20', '+')"
+
+
+@query(f"""SELECT page_id, 'http://www.example.com/p/' || page_id || '?b=~' || page_id || '&b=~%2A&a+b=c%2Bd+' || (page_id % 7) || '&=n' || CASE WHEN coalesce(url, '') <> '' THEN '&z=' || {_CODED_Z} ELSE '' END AS url FROM pages""")
+def url_query_codes(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", urls.normalised(F.expr(_CODED), **OPTIONS).alias("url"))
+
+
 @query(f"SELECT page_id, {AUTHORITY} AS authority FROM pages")
 def url_authority(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.authority(F.col("url")).alias("authority"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.operators import quality, supervise
 from textloom.plans import sqltext as q
 from textloom.sources.shared import shared_path
-from textloom.streaming import jobs
+from textloom.streaming import jobs, ttl
 
 Q, SQL = {}, {}
 
@@ -178,6 +178,14 @@ for _name, _column in (("density_score", "density"), ("structure_score", "struct
     _score(_name, _column)
 
 
+@query(f"""WITH {SCORES} SELECT doc_id, round(CASE WHEN doc_id % 10 > 5 THEN density * 0.3 + content_quality * 0.3 + (doc_id % 101) * 0.4 ELSE density * 0.6 + content_quality * 0.4 END::DOUBLE, 4) AS overall FROM o""")
+def overall_judged(spark, sf_dir):
+    """The overall score with an outside judgement, made of the id, that is confident for some documents."""
+    judged, confidence = (F.col("doc_id") % 101).cast("double"), (F.col("doc_id") % 10) / 10
+    rows = assessed(spark, sf_dir)
+    return rows.select("doc_id", F.round(quality.overall(F.col("density"), F.col("content_quality"), judged, confidence), 4).alias("overall"))
+
+
 @query(f"WITH {SCORES} SELECT doc_id, CASE WHEN overall >= 90 THEN 'excellent' WHEN overall >= 80 THEN 'good' WHEN overall >= 70 THEN 'fair' WHEN overall >= 60 THEN 'poor' ELSE 'bad' END AS level FROM o")
 def quality_level(spark, sf_dir):
     return assessed(spark, sf_dir).select("doc_id", "level")
@@ -343,6 +351,13 @@ def stream_ttl(spark, sf_dir):
     return jobs.drained(rows, shared_path(spark, "stream-ttl")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("""WITH l AS (SELECT md5(user_id::VARCHAR) AS url_hash, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS cached_at FROM events GROUP BY 1)
+SELECT url_hash, event_id, cached_at FROM l WHERE epoch_ms(cached_at) + 240 * 3600000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
+def stream_cache_ttl(spark, sf_dir):
+    rows = _stream(spark, sf_dir, "events").select(F.md5(F.col("user_id").cast("string").cast("binary")).alias("url_hash"), "event_id", F.col("ts").alias("cached_at"))
+    return jobs.drained(ttl.expirations(rows, 240 * 3_600_000), shared_path(spark, "stream-cache-ttl"))
+
+
 @query(f"WITH {REP} SELECT * FROM rep")
 def stream_supervisor(spark, sf_dir):
     rows = _stream(spark, sf_dir, "documents").select(F.col("source").alias("platform"), F.when(F.length("text") >= 300, "success").otherwise("error").alias("status"), F.substring_index("text", " ", 1).alias("title"))
