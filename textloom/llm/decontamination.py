@@ -188,11 +188,12 @@ def find_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_i
     needed = written(asked.select("segment", "part", F.explode("words").alias("term")).distinct(), "needed-terms")
 
     none = lambda kind: F.lit(None).cast(kind)
-    # The filter spares most lists the shuffle; the join behind it lets none through that its part does not need.
+    # The filter spares most lists the shuffle; the join behind it lets none through that its part does not need. Both sides
+    # grow with the documents, so the plan is that of large inputs at every size.
     lists = index.where("term is not null").where(held("segment", "term", of=needed)).select("segment", "term", "positions")
-    lists = lists.join(needed, ["segment", "term"]).select("segment", "part", "term", "positions")
+    lists = lists.join(needed.hint("merge"), ["segment", "term"]).select("segment", "part", "term", "positions")
     dealt = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    starts = index.where("term is null").select("segment", "doc_no", "start").join(dealt, "segment")
+    starts = index.where("term is null").select("segment", "doc_no", "start").join(dealt.hint("merge"), "segment")
     rows = starts.select("segment", "part", "doc_no", "start", none("binary").alias("term"), none("binary").alias("positions"), none("long").alias("phrase"), none("array<binary>").alias("words"))
     rows = rows.unionByName(lists, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
 
