@@ -99,3 +99,20 @@ def test_keywords_take_the_words(spark):
     assert {(r.doc_id, r.word, r.n) for r in got} == want and {"天地", "宇宙"} <= {r.word for r in got}
     one = docs.limit(1)
     assert keywords.keyword_arrays(one, LATIN, cut=cut).first().keywords and keywords.tfidf(docs, 400, LATIN, cut=cut).count() > 400 and keywords.textrank(one, LATIN, cut=cut).count() > 0
+
+
+def test_the_engine_takes_the_words(spark):
+    from pyspark.sql import functions as F
+
+    from textloom import api
+    from textloom.functions.lexicons import ZH
+
+    text = "数据分析方法很好数据分析方法" * 3
+    vocab = segmenting.Vocabulary({"数据": -2.0, "分析": -2.0, "方法": -2.0, "很好": -3.0})
+    rows = spark.createDataFrame([(1, "题", text)], "doc_id long, title string, text string")
+    assert api.analysed(rows, ZH, segmenting.cutter(spark, vocab)).first().keywords == ["数据", "分析", "方法", "很好"]
+    assert api.analysed(rows, ZH).first().keywords == [text]
+    page = f"<title>一个很长的标题</title><p>{text * 9}</p>"
+    engine = api.Engine(spark, vocabulary=vocab)
+    made = engine.process(spark.createDataFrame([(1, "https://www.zhihu.com/question/5", page)], "page_id long, url string, html string"), F.lit("2024-01-01")).first()
+    assert made.document is None or "数据" in made.document

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,20 +11,23 @@ from pyspark.sql import functions as F
 from textloom.functions import html, urls
 from textloom.functions.lexicons import ZH, Lexicon
 from textloom.functions.text import filled
-from textloom.operators import analysis, graph, keywords, quality, records, render, store, supervise
+from textloom.operators import analysis, graph, keywords, quality, records, render, segmenting, store, supervise
 from textloom.sources.shared import written
 
 
-def analysed(docs: DataFrame, lexicon: Lexicon = ZH) -> DataFrame:
-    """(doc_id, title, text and more) with keywords, domain, phrases, theme_list and summary."""
-    out = keywords.keyword_arrays(docs, lexicon)
+def analysed(docs: DataFrame, lexicon: Lexicon = ZH, cut: Callable[[str], list[str]] = keywords.words_of) -> DataFrame:
+    """(doc_id, title, text and more) with keywords, domain, phrases, theme_list and summary.
+
+    cut gives the words of a text: runs of letters and digits, or those of segmenting.cutter() for text without spaces.
+    """
+    out = keywords.keyword_arrays(docs, lexicon, cut=cut)
     kw, text = F.col("keywords"), F.col("text")
     out = out.withColumn("dom", analysis.keyword_domain(kw, lexicon)).withColumn("domain", F.col("dom.domain")).withColumn("domain_score", F.col("dom.score")).drop("dom")
     out = out.withColumn("phrases", analysis.key_phrases(text, kw, lexicon)).withColumn("theme_list", analysis.themes(F.col("title"), kw, F.col("domain"), lexicon))
     return out.withColumn("summary", analysis.template_summary(F.col("title"), text, kw, lexicon))
 
 
-def richly_analysed(docs: DataFrame, lexicon: Lexicon = ZH, least: int = 10) -> DataFrame:
+def richly_analysed(docs: DataFrame, lexicon: Lexicon = ZH, least: int = 10, cut: Callable[[str], list[str]] = keywords.words_of) -> DataFrame:
     """(doc_id, title, description, content) rows to one struct analysis each, as a column.
 
     Keywords are those of the highest TF-IDF share, here by frequency within the text, then those of the best company; texts
@@ -32,7 +36,7 @@ def richly_analysed(docs: DataFrame, lexicon: Lexicon = ZH, least: int = 10) ->
     text = F.trim(F.concat_ws(" ", "title", "description", "content"))
     rule = keywords.keyword_rule(lexicon)
     word = lambda c: F.transform(c, lambda x: x["word"])
-    out = docs.withColumn("_text", text).withColumn("_kw", keywords.united(word(keywords.ranked_words(F.col("_text"), rule, 30)), word(keywords.ranked_by_company(F.col("_text"), rule, 20))))
+    out = docs.withColumn("_text", text).withColumn("_kw", keywords.united(word(keywords.ranked_words(F.col("_text"), rule, 30, cut)), word(keywords.ranked_by_company(F.col("_text"), rule, 20, cut=cut))))
     out = out.withColumn("_dom", analysis.weighted_domain(F.col("_text"), F.col("_kw"), lexicon))
     groups = keywords.overlapping(F.col("_kw"), lexicon, F.col("_dom.domain") != "general")
     out = out.withColumn("_themes", analysis.rich_themes(F.col("_text"), groups, lexicon))
@@ -64,6 +68,11 @@ class Engine:
     platforms: tuple = urls.PLATFORM_PATTERNS
     gate: quality.Gate = field(default_factory=quality.Gate)
     standards: supervise.Standards = field(default_factory=supervise.Standards)
+    #: Words for text without spaces, of segmenting.vocabulary(); None takes runs of letters and digits as words.
+    vocabulary: segmenting.Vocabulary | None = None
+
+    def _cut(self) -> Callable[[str], list[str]]:
+        return keywords.words_of if self.vocabulary is None else segmenting.cutter(self.spark, self.vocabulary)
 
     def supported_platforms(self) -> DataFrame:
         rows = [(name, len(patterns)) for name, patterns in self.platforms]
@@ -119,7 +128,7 @@ class Engine:
         """Pages to documents: valid records are analysed and rendered; the others keep their status and message."""
         checked = self.validate(self.extract(pages))
         good = checked.where("status = 'success'").withColumn("text", F.concat_ws(" ", "title", "description", "content"))
-        made = with_graph(analysed(good, self.lexicon), F.col("author"), self.lexicon).select(*checked.columns, render.markdown(F.col("graph"), as_of).alias("document"))
+        made = with_graph(analysed(good, self.lexicon, self._cut()), F.col("author"), self.lexicon).select(*checked.columns, render.markdown(F.col("graph"), as_of).alias("document"))
         return made.unionByName(checked.where("status <> 'success'").withColumn("document", F.lit(None).cast("string")))
 
     def batch(self, pages: DataFrame, cache: DataFrame | None, now: Column, ttl: str = "24 hours") -> DataFrame:

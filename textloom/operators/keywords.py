@@ -22,6 +22,8 @@ from textloom.functions.text import WORD, contains_any, word_tokens, ws_tokens
 from textloom.sources.shared import written
 
 _WORD = regex.compile(WORD)
+#: Runs of letters and digits.
+words_of = _WORD.findall
 _ASCII = re.compile("[a-zA-Z]+")
 COUNTS = "array<struct<word: string, n: bigint, pos: int>>"
 SHARES = "array<struct<word: string, share: double, pos: int>>"
@@ -53,7 +55,7 @@ def plain_rule(lexicon: Lexicon) -> Callable[[str], bool]:
     return lambda w: len(w) > 1 and w not in stop
 
 
-def ranked_words(text: Column, rule: Callable[[str], bool], k: int | None = None, cut: Callable[[str], list[str]] = _WORD.findall) -> Column:
+def ranked_words(text: Column, rule: Callable[[str], bool], k: int | None = None, cut: Callable[[str], list[str]] = words_of) -> Column:
     """array of (word, n, pos): the k most frequent words that rule takes, or all; earlier ones first among equals.
 
     cut gives the words of a text in lower case: runs of letters and digits, or those of segmenting.cutter().
@@ -85,18 +87,18 @@ def top_keywords(words: DataFrame, k: int = 20) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "word", "n")
 
 
-def top_words(docs: DataFrame, rule: Callable[[str], bool], k: int = 20, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = _WORD.findall) -> DataFrame:
+def top_words(docs: DataFrame, rule: Callable[[str], bool], k: int = 20, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = words_of) -> DataFrame:
     """(doc_id, rank, word, n) of each document's text, a row per word; rows that repeat an id are ranked apart."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ranked_words(F.col(text_col), rule, k, cut)).alias("at", "of"))
     return rows.select("doc_id", (F.col("at") + 1).alias("rank"), "of.word", "of.n")
 
 
-def keyword_arrays(docs: DataFrame, lexicon: Lexicon, k: int = 20, text_col: str = "text", cut: Callable[[str], list[str]] = _WORD.findall) -> DataFrame:
+def keyword_arrays(docs: DataFrame, lexicon: Lexicon, k: int = 20, text_col: str = "text", cut: Callable[[str], list[str]] = words_of) -> DataFrame:
     """docs with a column keywords, ranked; an empty array where a document has none."""
     return docs.withColumn("keywords", F.transform(ranked_words(F.col(text_col), keyword_rule(lexicon), k, cut), lambda x: x["word"]))
 
 
-def word_shares(text: Column, rule: Callable[[str], bool], cut: Callable[[str], list[str]] = _WORD.findall) -> Column:
+def word_shares(text: Column, rule: Callable[[str], bool], cut: Callable[[str], list[str]] = words_of) -> Column:
     """array of (word, share, pos): of each distinct word that rule takes its share of all these words, and its first place."""
 
     @F.pandas_udf(SHARES)
@@ -113,7 +115,7 @@ def word_shares(text: Column, rule: Callable[[str], bool], cut: Callable[[str],
     return shares(F.lower(text))
 
 
-def tfidf(docs: DataFrame, n_docs: int, lexicon: Lexicon, k: int = 30, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = _WORD.findall) -> DataFrame:
+def tfidf(docs: DataFrame, n_docs: int, lexicon: Lexicon, k: int = 30, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = words_of) -> DataFrame:
     """(doc_id, rank, word, score): score is term frequency times ln(n_docs / document frequency).
 
     Texts are counted once, where they are read; a row per document and distinct word is written and joined with the words'
@@ -148,7 +150,7 @@ def cooccurrence_scores(words: list[str], window: int = 4, iterations: int = 5,
     return {w: float(score[i]) for w, i in number.items() if joined[i]}
 
 
-def ranked_by_company(text: Column, rule: Callable[[str], bool], k: int = 20, window: int = 4, cut: Callable[[str], list[str]] = _WORD.findall) -> Column:
+def ranked_by_company(text: Column, rule: Callable[[str], bool], k: int = 20, window: int = 4, cut: Callable[[str], list[str]] = words_of) -> Column:
     """array of (word, score): the k words of the highest co-occurrence score, in alphabetical order among equals."""
 
     @F.pandas_udf(RANKS)
@@ -163,7 +165,7 @@ def ranked_by_company(text: Column, rule: Callable[[str], bool], k: int = 20, wi
     return rank(F.lower(text))
 
 
-def textrank(docs: DataFrame, lexicon: Lexicon, k: int = 20, window: int = 4, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = _WORD.findall) -> DataFrame:
+def textrank(docs: DataFrame, lexicon: Lexicon, k: int = 20, window: int = 4, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = words_of) -> DataFrame:
     """(doc_id, rank, word, score): words of each document ranked by co-occurrence within a window."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ranked_by_company(F.col(text_col), keyword_rule(lexicon), k, window, cut)).alias("at", "of"))
     return rows.select("doc_id", (F.col("at") + 1).alias("rank"), "of.word", "of.score")

@@ -98,7 +98,7 @@ def discovered(run_rows: DataFrame, found: Found = Found()) -> DataFrame:
     part = lambda name: counts.select(F.col("gram").alias(name), F.col("n").alias(f"{name}_n"))
     tied = halves.join(part("head"), "head").join(part("tail"), "tail").crossJoin(F.broadcast(total))  # one number
     tied = tied.groupBy("gram", "n").agg(F.min(F.log(F.col("n") * F.col("total") / (F.col("head_n") * F.col("tail_n")).cast("double"))).alias("cohesion"))
-    tied = tied.where(F.col("cohesion") >= found.cohesion)
+    tied = written(tied.where(F.col("cohesion") >= found.cohesion), "bound-grams")  # read for itself and for either side
     wider = counts.where(size >= 3)
     right = _entropy(tied, wider, F.substr("gram", F.lit(1), size - 1), "right")
     left = _entropy(tied, wider, F.substr("gram", F.lit(2)), "left")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,6 +92,39 @@ def batch_totals(results: DataFrame, std: Standards = Standards()) -> DataFrame:
     return row.withColumn("alert", F.coalesce(F.try_divide("template_documents", "total") > 0.5, F.lit(False)))
 
 
+def observed(results: DataFrame, platforms: Sequence[str], std: Standards = Standards(), name: str = "supervision") -> tuple[DataFrame, Observation]:
+    """results as they are, and what batch_report() says of them, taken while they are written; so it needs no second pass.
+
+    Rows of other platforms count in the totals only. With a stream, the metrics of each batch come with its progress
+    instead: observed_stream() adds them up.
+    """
+    seen = Observation(name)
+    return results.observe(seen, *_metrics(platforms, std)), seen
+
+
+def observed_stream(results: DataFrame, platforms: Sequence[str], std: Standards = Standards(), name: str = "supervision") -> DataFrame:
+    """A stream of results whose progress carries the metrics of observed() under this name."""
+    return results.observe(name, *_metrics(platforms, std))
+
+
+def _metrics(platforms: Sequence[str], std: Standards) -> list[Column]:
+    good, bad = F.col("status") == "success", F.coalesce(is_template_title(F.col("title"), std), F.lit(False))
+    out = [F.count(F.lit(1)).alias("total"), F.count_if(good).alias("success"), F.count_if(good & bad).alias("template_documents")]
+    for i, p in enumerate(platforms):
+        own = good & (F.col("platform") == p)
+        out += [F.count_if(own).alias(f"success_{i}"), F.count_if(own & bad).alias(f"issues_{i}")]
+    return out
+
+
+def report_of(spark: SparkSession, metrics: Iterable[dict], platforms: Sequence[str]) -> DataFrame:
+    """(platform, total, success, quality_issues) of the metrics of one pass, or of several batches; as batch_report()."""
+    sums = Counter()
+    for m in metrics:
+        sums.update(m)
+    rows = [(p, sums[f"success_{i}"], sums[f"success_{i}"], sums[f"issues_{i}"]) for i, p in enumerate(platforms) if sums[f"success_{i}"]]
+    return spark.createDataFrame(rows, "platform string, total long, success long, quality_issues long")
+
+
 def recommendations(report: DataFrame) -> DataFrame:
     """(platform, advice): platforms with issues in over 0.3 of the successes, and general advice if there is any issue."""
     bad = report.where(F.col("quality_issues") > 0.3 * F.col("success")).select("platform", F.lit("check_extractor").alias("advice"))

@@ -51,15 +51,16 @@ def write_markdown(docs: DataFrame, path: str, title: str = "title", document: s
 
     Each task writes the files of its partition. path is a folder that all executors reach, with the scheme of its file
     system where it is not mounted. A file is written under another name and then moved, so a task that runs again does no
-    harm. The names of the files that are there come to the driver.
+    harm. The names of the files that are there are read as a table.
     """
     from pyarrow import fs
 
     spark = docs.sparkSession
     system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
     system.create_dir(folder, recursive=True)
-    there = [(f.base_name.removesuffix(".md"),) for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name.endswith(".md")]
-    made = named(docs, title, order, spark.createDataFrame(there, "name string")).select("file_name", F.coalesce(document, F.lit("")).alias("document"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path if "://" in path else f"file://{path}")
+    there = files.select(F.regexp_extract("path", r"([^/]*)\.md$", 1).alias("name"))  # contents are not read
+    made = named(docs, title, order, there).select("file_name", F.coalesce(document, F.lit("")).alias("document"))
     made = written(made, "markdown")  # names are settled before the first file appears
 
     def write(batches):
@@ -84,9 +85,10 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
-def stage(spark: SparkSession, rows: list[dict], path: str, schema: str) -> None:
-    """Add rows to the content staged as JSON lines below path."""
-    spark.createDataFrame(rows, schema).write.mode("append").json(path)
+def stage(spark: SparkSession, rows: DataFrame | list[dict], path: str, schema: str) -> None:
+    """Add rows, a table or a few dicts, to the content staged as JSON lines below path."""
+    made = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, schema)
+    made.write.mode("append").json(path)
 
 
 def staged(spark: SparkSession, path: str, schema: str) -> DataFrame:
