@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,7 +27,8 @@ _WORD = regex.compile(WORD)
 words_of = _WORD.findall
 _ASCII = re.compile("[a-zA-Z]+")
 COUNTS = "array<struct<word: string, n: bigint, pos: int>>"
-SHARES = "array<struct<word: string, share: double, pos: int>>"
+#: Words that a task holds before it passes them on, besides those of one text.
+HELD_WORDS = 100_000
 #: Tasks over which the documents that hold one word are dealt.
 SALT = 16
 RANKS = "array<struct<word: string, score: double>>"
@@ -98,21 +100,36 @@ def keyword_arrays(docs: DataFrame, lexicon: Lexicon, k: int = 20, text_col: str
     return docs.withColumn("keywords", F.transform(ranked_words(F.col(text_col), keyword_rule(lexicon), k, cut), lambda x: x["word"]))
 
 
-def word_shares(text: Column, rule: Callable[[str], bool], cut: Callable[[str], list[str]] = words_of) -> Column:
-    """array of (word, share, pos): of each distinct word that rule takes its share of all these words, and its first place."""
+def word_shares(rows: DataFrame, rule: Callable[[str], bool], cut: Callable[[str], list[str]] = words_of) -> DataFrame:
+    """(doc_id, row, word, share, pos) of (doc_id, row, text): of each distinct word that rule takes its share of all these words in
+    the text, and its first place. Rows leave a task in pieces of bounded size."""
 
-    @F.pandas_udf(SHARES)
-    def shares(texts: pd.Series) -> pd.Series:
-        def one(t):
-            every = cut(t) if t else []
-            first = {w: len(every) - 1 - i for i, w in enumerate(reversed(every))}
-            counts = [(w, n) for w, n in Counter(every).items() if rule(w)]
-            total = sum(n for _, n in counts)
-            return [{"word": w, "share": n / total, "pos": first[w]} for w, n in counts]
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, words, parts, places = [], [], [], []
 
-        return texts.map(one)
+            def made(batch=batch, owner=owner, words=words, parts=parts, places=places) -> pa.RecordBatch:
+                at = pa.array(owner, pa.int64())
+                out = [batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(words, pa.string()), pa.array(parts, pa.float64()), pa.array(places, pa.int32())]
+                for x in (owner, words, parts, places):
+                    x.clear()
+                return pa.record_batch(out, ["doc_id", "row", "word", "share", "pos"])
+
+            for i, t in enumerate(batch.column("text")):
+                every = cut(t.as_py() or "")
+                first = {w: len(every) - 1 - k for k, w in enumerate(reversed(every))}
+                counts = {w: n for w, n in Counter(every).items() if rule(w)}
+                total = sum(counts.values())
+                owner += [i] * len(counts)
+                words += counts
+                parts += [n / total for n in counts.values()]
+                places += map(first.__getitem__, counts)
+                if len(words) > HELD_WORDS:
+                    yield made()
+            yield made()
 
-    return shares(F.lower(text))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "row", F.lower("text").alias("text")).mapInArrow(shares, f"doc_id {kind}, row long, word string, share double, pos int")
 
 
 def tfidf(docs: DataFrame, n_docs: int, lexicon: Lexicon, k: int = 30, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = words_of) -> DataFrame:
@@ -121,8 +138,8 @@ def tfidf(docs: DataFrame, n_docs: int, lexicon: Lexicon, k: int = 30, id_col: s
     Texts are counted once, where they are read; a row per document and distinct word is written and joined with the words'
     document frequencies. Words that most documents hold are dealt over SALT tasks. Rows that repeat an id are ranked apart.
     """
-    shares = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), word_shares(F.col(text_col), keyword_rule(lexicon), cut).alias("shares"))
-    rows = written(shares.select("doc_id", "row", F.inline("shares")), "word-shares")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    rows = written(word_shares(texts, keyword_rule(lexicon), cut), "word-shares")
     df = rows.groupBy("word").agg(F.count("*").alias("df")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     scored = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(df, ["word", "salt"])
     scored = scored.withColumn("score", F.round(F.col("share") * F.log(F.lit(float(n_docs)) / F.col("df")), 9))
