@@ -36,6 +36,11 @@ def test_scripts_comments_and_references_are_no_text():
     assert first(page, "title", "div", "b") == ["A & B é '", "xy", None]
 
 
+def test_references_without_a_semicolon_are_text():
+    page = "<title>a &amp;&amp</title><h1>&ampx; &copy2; &#38 &quot &lt;&gt;</h1><a href='/?a=1&copy=2&amp;lt=3'>x</a>"
+    assert first(page, "title", "h1", "a@href") == ["a &&amp", "&ampx; &copy2; &#38 &quot <>", "/?a=1&copy=2&lt=3"]
+
+
 def test_hostile_pages_take_linear_time():
     began = time.time()
     deep = "<div class=k>" * 40_000 + "<a>x</a>" * 20_000
