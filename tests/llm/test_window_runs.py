@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.llm import substring_dedup
+from textloom.llm import common, substring_dedup
 from tests.llm.test_methods import brute_repeats
 
 
@@ -55,3 +55,10 @@ def test_words_are_verified_where_word_hashes_collide(spark, monkeypatch):
             if first.setdefault(tuple(w[a : a + 4]), i) < i:
                 want.add((i, a))
     assert places == want
+
+
+def test_what_each_key_has_is_never_broadcast(spark):
+    rows = spark.range(50).select("id", F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"))
+    found = common.salted_join(rows, common.written(rows.select("h", F.col("id").alias("owner")), "owners"), ["h"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan and found.where("id = owner").count() == 50

@@ -227,7 +227,7 @@ def wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The (doc_id, key, text) rows joined with wanted by doc_id and key; texts that a filter rules out are not shuffled."""
     spark = texts.sparkSession
     field = fitted_filter(wanted.select(F.xxhash64("doc_id", "key").alias("h")))
-    return texts.where(may_hold(F.xxhash64("doc_id", "key"), field, spark)).join(wanted, ["doc_id", "key"])
+    return texts.where(may_hold(F.xxhash64("doc_id", "key"), field, spark)).join(wanted.hint("merge"), ["doc_id", "key"])
 
 
 def deduplicate_batch(index: WindowIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False, earlier: DataFrame | None = None) -> DataFrame:
@@ -254,7 +254,7 @@ def deduplicate_batch(index: WindowIndex, docs: DataFrame, id_col: str = "doc_id
     shared = written(several.select("fingerprint").union(hits.select("fingerprint")).distinct(), "shared-fingerprints")
 
     # Who stands for each kind of stretch, and where one fingerprint has several kinds, one of them new.
-    kinds = own.join(shared, "fingerprint").select("fingerprint", "stretch", "first.*", F.lit(False).alias("old")).unionByName(hits.withColumn("old", F.lit(True)))
+    kinds = own.join(shared.hint("merge"), "fingerprint").select("fingerprint", "stretch", "first.*", F.lit(False).alias("old")).unionByName(hits.withColumn("old", F.lit(True)))
     first = kinds.groupBy("fingerprint", "stretch").agg(F.min(F.struct("doc_id", ~F.col("old"), "key", "old")).alias("of")).select("fingerprint", "of.doc_id", "of.key", "of.old")
     first = written(first, "kind-firsts")
     mixed = first.groupBy("fingerprint").agg(F.count("*").alias("kinds"), F.bool_or(~F.col("old")).alias("new")).where("kinds > 1 and new").select("fingerprint")
@@ -277,16 +277,16 @@ def deduplicate_batch(index: WindowIndex, docs: DataFrame, id_col: str = "doc_id
 
 def batch_result(rows: DataFrame, marks: DataFrame, texts: DataFrame, cuts: DataFrame, window: int, with_text: bool) -> DataFrame:
     """The rows of a batch: those that cuts names without the windows in them, copies empty, all others whole."""
-    held = cut_texts(texts.join(cuts, ["doc_id", "key"]).select("doc_id", "key", "text", "cuts"), window, with_text)
+    held = cut_texts(texts.join(cuts.hint("merge"), ["doc_id", "key"]).select("doc_id", "key", "text", "cuts"), window, with_text)
     nothing = F.unhex(F.sha2(F.lit(""), 256))
-    whole = marks.join(cuts.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
+    whole = marks.join(cuts.select("doc_id", "key").hint("merge"), ["doc_id", "key"], "left_anti")
     whole = whole.select("doc_id", "key", "copy", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(0).alias("n_removed"), F.when(F.col("copy"), nothing).otherwise(F.col("sha")).alias("kept_sha256"))
     if with_text:
         kept = spaced(rows.dropDuplicates(["doc_id", "key"]))
         whole = whole.join(kept, whole.doc_id.eqNullSafe(kept.doc_id) & whole.key.eqNullSafe(kept.key)).select(whole["*"], F.when(F.col("copy"), "").otherwise(F.col("text")).alias("text"))
     # A row that is there several times comes back as often.
-    again = marks.join(cuts.select("doc_id", "key"), ["doc_id", "key"]).select("doc_id", "key")
-    return whole.drop("key", "copy").unionByName(again.join(held, ["doc_id", "key"]).drop("key"))
+    again = marks.join(cuts.select("doc_id", "key").hint("merge"), ["doc_id", "key"]).select("doc_id", "key")
+    return whole.drop("key", "copy").unionByName(again.join(held.hint("merge"), ["doc_id", "key"]).drop("key"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 2, with_text: bool = False, history: WindowIndex | None = None) -> DataFrame:
