@@ -80,6 +80,25 @@ def test_counts_do_not_depend_on_when_a_task_passes_them_on(spark, monkeypatch):
     assert sorted(map(tuple, segmenting.gram_counts(segmenting.runs(docs), 3).collect())) == whole
 
 
+@pytest.mark.parametrize("longest", [1, 2, 3, 5])
+def test_words_of_any_length_are_those_of_plain_counting(spark, longest):
+    docs = spark.createDataFrame(corpus(80), "doc_id long, text string").repartition(3)
+    found = segmenting.Found(longest=longest, cohesion=0.5, freedom=0.3)
+    got = {r.word: (r.n, r.cohesion, r.freedom) for r in segmenting.discovered(segmenting.runs(docs), found).collect()}
+    want = plain_words([t for _, t in corpus(80)], found)
+    assert got.keys() == want.keys() and all(row == pytest.approx(want[w], abs=1e-9) for w, row in got.items())
+
+
+def test_long_grams_with_rare_parts_are_not_counted(spark):
+    draw = random.Random(1)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    texts = ["".join(draw.choice(letters) for _ in range(500)) for _ in range(40)] + ["天地玄黄宇"] * 6
+    runs = segmenting.runs(spark.createDataFrame([(t,) for t in texts], "text string"))
+    often = runs.sparkSession.createDataFrame([("天地玄",), ("地玄黄",)], "gram string")
+    filtered = segmenting._counted(runs, [4], segmenting._gram_filter(often.limit(0), 3), segmenting._gram_filter(often, 3)).collect()
+    assert ("天地玄黄", 6) in {(r.gram, r.n) for r in filtered} and len(filtered) < 200
+
+
 def test_no_text_gives_no_words(spark):
     empty = spark.createDataFrame([(1, None), (2, "only latin")], "doc_id long, text string")
     words = segmenting.discovered(segmenting.runs(empty))

@@ -12,25 +12,27 @@ of word frequencies, found over a trie of the vocabulary from the run's end to i
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import filters
 from textloom.functions.text import WORD
 from textloom.sources.shared import written
 
 #: Letters of scripts that put no space between words.
 UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+"
 _JVM_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]+"
-#: Grams that a task holds before it passes them on, and characters of a run between two looks at their number.
-HELD_GRAMS, PIECE = 500_000, 50_000
+#: Characters of runs that a task gathers before it counts their grams, places counted at once, and grams sent at once.
+HELD_GRAMS, PIECE, SENT_GRAMS = 2_000_000, 2_000_000, 100_000
 #: Words that a vocabulary takes at most, the most frequent first.
 MOST_WORDS = 200_000
 
@@ -50,28 +52,94 @@ def runs(docs: DataFrame, text_col: str = "text", pattern: str = _JVM_UNSPACED)
     return docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("run"))
 
 
-def gram_counts(run_rows: DataFrame, longest: int) -> DataFrame:
-    """(gram, n) of all grams up to so many characters of the column run; counted in the task before the shuffle."""
+def _distinct(codes: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The distinct grams of so many characters at these places, with their numbers."""
+    alphabet = np.flatnonzero(np.bincount(codes))
+    dense = np.zeros(alphabet[-1] + 1, np.int64)
+    dense[alphabet] = np.arange(len(alphabet))
+    columns = [dense[codes[at + j]] for j in range(size)]
+    if len(alphabet) ** size < 1 << 63:
+        keys = columns[0]
+        for column in columns[1:]:
+            keys = keys * len(alphabet) + column
+        keys, n = np.unique(keys, return_counts=True)
+        columns = []
+        for _ in range(size):
+            keys, digit = np.divmod(keys, len(alphabet))
+            columns.insert(0, digit)
+    else:
+        rows, n = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+        columns = list(rows.T)
+    for a in range(0, len(n), SENT_GRAMS):
+        letters = np.stack([alphabet[c[a : a + SENT_GRAMS]] for c in columns], 1).astype("<u4").tobytes().decode("utf-32-le")
+        yield [letters[i : i + size] for i in range(0, len(letters), size)], n[a : a + SENT_GRAMS]
+
+
+def _hashes(columns: Sequence[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each gram whose characters these columns hold, as signed integers."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        h = (h ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def _gram_filter(grams: DataFrame, size: int) -> Broadcast:
+    """A filter of the column gram, whose grams have so many characters; bounded, as filters are."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, size)
+            yield pa.record_batch([pa.array(_hashes(codes.T))], ["h"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+    return grams.sparkSession.sparkContext.broadcast(filters.fitted_filter(grams.select("gram").mapInArrow(hashed, "h long")))
+
+
+def _counted(run_rows: DataFrame, sizes: Sequence[int], bound: Broadcast | None = None, often: Broadcast | None = None) -> DataFrame:
+    """(gram, n, heads, tails) of all grams of these sizes in the column run, counted in the task before the shuffle.
+
+    With bound, a filter of grams that are shorter by one, only those that begin or end with one of these (heads, tails), and
+    with often, another, those whose both parts are in that. A filter passes a gram everywhere or nowhere, so counts are whole.
+    """
 
-        def flushed() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "n"])
-            held.clear()
-            return out
+    def counted(codes: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for size in sizes:
+            for a in range(0, len(codes), PIECE):
+                at = np.flatnonzero(left[a : a + PIECE] >= size) + a
+                groups = [(at, True, True)]
+                if bound is not None:
+                    part = [_hashes([codes[at + i + j] for j in range(size - 1)]) for i in (0, 1)]
+                    head, tail = (filters.passed(h, bound.value) for h in part)
+                    both = np.zeros(len(at), bool) if often is None else filters.passed(part[0], often.value) & filters.passed(part[1], often.value)
+                    groups = [(at[head & tail], True, True), (at[head & ~tail], True, False), (at[tail & ~head], False, True), (at[both & ~head & ~tail], False, False)]
+                for places, heads, tails in groups:
+                    for grams, n in _distinct(codes, places, size) if len(places) else ():
+                        yield pa.record_batch([pa.array(grams, pa.string()), pa.array(n, pa.int64()), *(pa.array(np.full(len(n), x)) for x in (heads, tails))], ["gram", "n", "heads", "tails"])
+
+    def gathered(held: list[str]) -> Iterator[pa.RecordBatch]:
+        codes = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
+        sizes_of = np.fromiter(map(len, held), np.int64, len(held))
+        return counted(codes, np.repeat(np.cumsum(sizes_of), sizes_of) - np.arange(len(codes)))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, letters = [], 0
         for batch in batches:
             for run in batch.column("run").to_pylist():
-                for a in range(0, len(run or ""), PIECE):
-                    for k in range(1, longest + 1):
-                        held.update(run[i : i + k] for i in range(a, min(a + PIECE, len(run) - k + 1)))
-                    if len(held) > HELD_GRAMS:
-                        yield flushed()
-        yield flushed()
+                if run:
+                    held.append(run)
+                    letters += len(run)
+                if letters > HELD_GRAMS:
+                    yield from gathered(held)
+                    held, letters = [], 0
+        yield from gathered(held)
+
+    made = run_rows.select("run").mapInArrow(count, "gram string, n long, heads boolean, tails boolean")
+    return made.groupBy("gram", "heads", "tails").agg(F.sum("n").alias("n"))
 
-    counted = run_rows.select("run").mapInArrow(count, "gram string, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+
+def gram_counts(run_rows: DataFrame, longest: int) -> DataFrame:
+    """(gram, n) of all grams up to so many characters of the column run."""
+    return _counted(run_rows, range(1, longest + 1)).select("gram", "n")
 
 
 def _entropy(counts: DataFrame, wider: DataFrame, inner: Column, name: str) -> DataFrame:
@@ -83,25 +151,41 @@ def _entropy(counts: DataFrame, wider: DataFrame, inner: Column, name: str) -> D
     return joined.select("gram", F.greatest(F.log("n") - logs / F.col("n"), F.lit(0.0)).alias(name))
 
 
-def discovered(run_rows: DataFrame, found: Found = Found()) -> DataFrame:
-    """(word, n, cohesion, freedom): words of two characters or more, and single characters with 0 in both measures.
-
-    Runs are those of runs(), or any column run of strings. Without any the result is empty. Every run is counted; only
-    grams, not texts, are shuffled.
-    """
-    counts = written(gram_counts(run_rows, found.longest + 1), "gram-counts")
+def _bound(counts: DataFrame, least_size: int, most_size: int, found: Found) -> DataFrame:
+    """(gram, n, cohesion) of the grams of these sizes that are frequent and whose parts stand together; written."""
     size = F.length("gram")
     total = counts.where(size == 1).agg(F.sum("n").alias("total"))
-    often = counts.where((size >= 2) & (size <= found.longest) & (F.col("n") >= found.least))
+    counts = counts.where(F.col("n") >= found.least)  # so are all parts of such grams
+    often = counts.where((size >= least_size) & (size <= most_size))
     splits = often.select("gram", "n", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
     halves = splits.select("gram", "n", F.substr("gram", F.lit(1), F.col("k")).alias("head"), F.substr("gram", F.col("k") + 1).alias("tail"))
-    part = lambda name: counts.select(F.col("gram").alias(name), F.col("n").alias(f"{name}_n"))
+    part = lambda name: counts.where(size < most_size).select(F.col("gram").alias(name), F.col("n").alias(f"{name}_n"))
     tied = halves.join(part("head"), "head").join(part("tail"), "tail").crossJoin(F.broadcast(total))  # one number
     tied = tied.groupBy("gram", "n").agg(F.min(F.log(F.col("n") * F.col("total") / (F.col("head_n") * F.col("tail_n")).cast("double"))).alias("cohesion"))
-    tied = written(tied.where(F.col("cohesion") >= found.cohesion), "bound-grams")  # read for itself and for either side
+    return written(tied.where(F.col("cohesion") >= found.cohesion), "bound-grams")  # read for itself, for either side and for a filter
+
+
+def discovered(run_rows: DataFrame, found: Found = Found()) -> DataFrame:
+    """(word, n, cohesion, freedom): words of two characters or more, and single characters with 0 in both measures.
+
+    Runs are those of runs(), or any column run of strings. Without any the result is empty. Every run is counted; only
+    grams, not texts, are shuffled. Up to three characters all grams are counted; longer ones level by level, those that can
+    be words, as their parts are frequent, and those that tell what stands beside a bound gram.
+    """
+    run_rows = written(run_rows.select("run"), "runs")  # read once a level
+    full = min(3, found.longest + 1)
+    counts = written(_counted(run_rows, range(1, full + 1)), "gram-counts")
+    tied = _bound(counts, 2, min(full, found.longest), found)
+    size = F.length("gram")
+    for k in range(full + 1, found.longest + 2):
+        often = counts.where((size == k - 1) & (F.col("n") >= found.least)) if k <= found.longest else None
+        more = _counted(run_rows, [k], _gram_filter(tied.where(size == k - 1), k - 1), often and _gram_filter(often, k - 1))
+        counts = counts.unionByName(written(more.where((F.col("n") >= found.least) | F.col("heads") | F.col("tails")), "gram-counts"))
+        if k <= found.longest:
+            tied = tied.unionByName(_bound(counts, k, k, found))
     wider = counts.where(size >= 3)
-    right = _entropy(tied, wider, F.substr("gram", F.lit(1), size - 1), "right")
-    left = _entropy(tied, wider, F.substr("gram", F.lit(2)), "left")
+    right = _entropy(tied, wider.where("heads"), F.substr("gram", F.lit(1), size - 1), "right")
+    left = _entropy(tied, wider.where("tails"), F.substr("gram", F.lit(2)), "left")
     free = tied.join(right, "gram").join(left, "gram").withColumn("freedom", F.least("right", "left")).where(F.col("freedom") >= found.freedom)
     single = counts.where(size == 1).select(F.col("gram").alias("word"), "n", F.lit(0.0).alias("cohesion"), F.lit(0.0).alias("freedom"))
     return free.select(F.col("gram").alias("word"), "n", "cohesion", "freedom").unionByName(single)
