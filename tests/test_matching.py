@@ -34,3 +34,14 @@ def test_word_totals_are_taken_once_a_document(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "inline(" not in plan and "aggregate(" not in plan  # the exploded rows are read from a table
     assert sorted((r.doc_id, r.rank, r.word) for r in rows.collect()) == [(1, 1, "aa"), (1, 2, "bb"), (2, 1, "cc"), (2, 1, "cc"), (2, 2, "bb"), (2, 2, "bb")]
+
+
+def test_few_rows_at_a_time_are_python_objects(spark):
+    import pyarrow as pa
+
+    from textloom.functions import text
+
+    rows = spark.range(0, 3 * text.ROWS + 7, 1, 1).selectExpr("id", "if(id % 5 = 0, null, cast(id as string)) as t")
+    plan = text.by_row("int", pa.int32(), lambda t: None if t is None else len(t))
+    got = rows.select("id", plan("t").alias("n")).collect()
+    assert [r.n for r in got] == [None if r.id % 5 == 0 else len(str(r.id)) for r in got] and rows.limit(0).select(plan("t")).collect() == []

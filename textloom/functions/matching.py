@@ -9,10 +9,12 @@ from collections.abc import Iterable, Sequence
 from functools import cached_property
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from textloom.functions.text import by_row
+
+_NUMBERS = pa.list_(pa.int32())
 #: Words whose terms a worker remembers.
 REMEMBERED = 200_000
 
@@ -71,28 +73,20 @@ def term_numbers(text: Column, terms: Sequence[str]) -> Column:
     """array<int>: the numbers of the terms that a text holds, ascending; null for null."""
     own = Terms(terms)
 
-    @F.pandas_udf("array<int>")
-    def numbers(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else sorted(own.inside(t)))
-
-    return numbers(text)
+    return by_row("array<int>", _NUMBERS, lambda t: None if t is None else sorted(own.inside(t)))(text)
 
 
 def term_counts(text: Column, groups: Sequence[Sequence[str]]) -> Column:
     """array<int>: how many terms of each group a text holds; zeros for null."""
     own, owner = Terms(t for g in groups for t in g), [k for k, g in enumerate(groups) for _ in g]
 
-    @F.pandas_udf("array<int>")
-    def counts(texts: pd.Series) -> pd.Series:
-        def one(t):
-            out = [0] * len(groups)
-            for i in own.inside(t) if t else own.numbers.get("", ()) if t == "" else ():
-                out[owner[i]] += 1
-            return out
-
-        return texts.map(one)
+    def one(t):
+        out = [0] * len(groups)
+        for i in own.inside(t) if t else own.numbers.get("", ()) if t == "" else ():
+            out[owner[i]] += 1
+        return out
 
-    return counts(text)
+    return by_row("array<int>", _NUMBERS, one)(text)
 
 
 def related_counts(words: Column, groups: Sequence[Sequence[str]]) -> Column:
@@ -110,8 +104,4 @@ def related_counts(words: Column, groups: Sequence[Sequence[str]]) -> Column:
             known[word] = tuple(out)
         return known[word]
 
-    @F.pandas_udf("array<int>")
-    def counts(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ws: None if ws is None else [sum(c) for c in zip(*map(of, ws), strict=True)] or [0] * len(groups))
-
-    return counts(words)
+    return by_row("array<int>", _NUMBERS, lambda ws: None if ws is None else [sum(c) for c in zip(*map(of, ws), strict=True)] or [0] * len(groups))(words)

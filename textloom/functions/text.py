@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +14,19 @@ from pyspark.sql import functions as F
 EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 GAPS = r"(?U)[\s\x1c-\x1f]+"
 WORD = r"[\p{L}\p{N}]+"
+#: Rows whose values a task holds as Python objects at once.
+ROWS = 200
+
+
+def by_row(kind: str, made: pa.DataType, one: Callable) -> Callable[..., Column]:
+    """one of the values of each row as a function of columns, in Arrow batches of which only ROWS rows at a time are Python objects."""
+
+    @F.arrow_udf(kind)
+    def rows(*columns: pa.Array) -> pa.Array:
+        pieces = [pa.array([one(*x) for x in zip(*(c.slice(a, ROWS).to_pylist() for c in columns), strict=True)], made) for a in range(0, len(columns[0]), ROWS)]
+        return pa.concat_arrays(pieces) if pieces else pa.array([], made)
+
+    return rows
 
 
 def literals(terms: Sequence[str]) -> Column:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions.lexicons import Lexicon
 from textloom.functions.matching import related_counts, term_counts
-from textloom.functions.text import contained, either_contains, literals, sentences, strip
+from textloom.functions.text import by_row, contained, either_contains, literals, sentences, strip
 from textloom.operators.keywords import having
 
 
@@ -124,22 +124,18 @@ def best_sentences(text: Column, keywords: Column, words: Column, lexicon: Lexic
     """
     split, period = regex.compile("[" + lexicon.delimiters_rich + "]").split, lexicon.period
 
-    @F.pandas_udf("string")
-    def best(texts: pd.Series, keyword_lists: pd.Series, word_lists: pd.Series) -> pd.Series:
-        def one(t, keys, more):
-            if t is None or keys is None:
-                return None
-            found, more = [], [w for w in (more if more is not None else ()) if w is not None]
-            for i, s in enumerate(split(t)):
-                if len(bare := s.strip()) >= least:
-                    points = sum(k in s for k in keys) + (20 <= len(s) <= 100) + 0.5 * sum(w in s for w in more)
-                    found.append((-points, i, bare))
-            joined = period.join(bare for minus, _, bare in heapq.nsmallest(most, found) if minus < 0)
-            return (joined[:longest] + "..." if len(joined) > longest else joined) or None
-
-        return pd.Series([one(*x) for x in zip(texts, keyword_lists, word_lists, strict=True)], dtype=object)
-
-    return best(text, keywords, words)
+    def one(t, keys, more):
+        if t is None or keys is None:
+            return None
+        found, more = [], [w for w in (more if more is not None else ()) if w is not None]
+        for i, s in enumerate(split(t)):
+            if len(bare := s.strip()) >= least:
+                points = sum(k in s for k in keys) + (20 <= len(s) <= 100) + 0.5 * sum(w in s for w in more)
+                found.append((-points, i, bare))
+        joined = period.join(bare for minus, _, bare in heapq.nsmallest(most, found) if minus < 0)
+        return (joined[:longest] + "..." if len(joined) > longest else joined) or None
+
+    return by_row("string", pa.string(), one)(text, keywords, words)
 
 
 def extractive_summary(title: Column, text: Column, keywords: Column, theme_list: Column, lexicon: Lexicon) -> Column:

@@ -11,7 +11,6 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -19,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.lexicons import Lexicon
-from textloom.functions.text import WORD, contains_any, word_tokens, ws_tokens
+from textloom.functions.text import WORD, by_row, contains_any, word_tokens, ws_tokens
 from textloom.sources.shared import written
 
 _WORD = regex.compile(WORD)
@@ -63,19 +62,15 @@ def ranked_words(text: Column, rule: Callable[[str], bool], k: int | None = None
     cut gives the words of a text in lower case: runs of letters and digits, or those of segmenting.cutter().
     """
 
-    @F.pandas_udf(COUNTS)
-    def rank(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if not t:
-                return []
-            every = cut(t)
-            first = {w: len(every) - 1 - i for i, w in enumerate(reversed(every))}
-            best = sorted(((w, n) for w, n in Counter(every).items() if rule(w)), key=lambda x: -x[1])[:k]
-            return [{"word": w, "n": n, "pos": first[w]} for w, n in best]
+    def one(t):
+        if not t:
+            return []
+        every = cut(t)
+        first = {w: len(every) - 1 - i for i, w in enumerate(reversed(every))}
+        best = sorted(((w, n) for w, n in Counter(every).items() if rule(w)), key=lambda x: -x[1])[:k]
+        return [{"word": w, "n": n, "pos": first[w]} for w, n in best]
 
-        return texts.map(one)
-
-    return rank(F.lower(text))
+    return by_row(COUNTS, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64()), ("pos", pa.int32())])), one)(F.lower(text))
 
 
 def counted(words: DataFrame) -> DataFrame:
@@ -170,16 +165,12 @@ def cooccurrence_scores(words: list[str], window: int = 4, iterations: int = 5,
 def ranked_by_company(text: Column, rule: Callable[[str], bool], k: int = 20, window: int = 4, cut: Callable[[str], list[str]] = words_of) -> Column:
     """array of (word, score): the k words of the highest co-occurrence score, in alphabetical order among equals."""
 
-    @F.pandas_udf(RANKS)
-    def rank(texts: pd.Series) -> pd.Series:
-        def one(t):
-            scores = cooccurrence_scores([w for w in cut(t or "") if rule(w)], window)
-            best = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0].encode()))[:k]
-            return [{"word": w, "score": round(v, 6)} for w, v in best]
-
-        return texts.map(one)
+    def one(t):
+        scores = cooccurrence_scores([w for w in cut(t or "") if rule(w)], window)
+        best = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0].encode()))[:k]
+        return [{"word": w, "score": round(v, 6)} for w, v in best]
 
-    return rank(F.lower(text))
+    return by_row(RANKS, pa.list_(pa.struct([("word", pa.string()), ("score", pa.float64())])), one)(F.lower(text))
 
 
 def textrank(docs: DataFrame, lexicon: Lexicon, k: int = 20, window: int = 4, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = words_of) -> DataFrame:

@@ -17,7 +17,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import filters
-from textloom.functions.text import WORD
+from textloom.functions.text import WORD, by_row
 from textloom.sources.shared import written
 
 #: Letters of scripts that put no space between words.
@@ -274,9 +273,4 @@ def cutter(spark: SparkSession, vocab: Vocabulary) -> Callable[[str], list[str]]
 def segmented(text: Column, cut: Callable[[str], list[str]]) -> Column:
     """array<string> of the tokens of each text; empty for null."""
 
-    @F.pandas_udf("array<string>")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut(t) if t else [])
-
-    return tokens(text)
-
+    return by_row("array<string>", pa.list_(pa.string()), lambda t: cut(t) if t else [])(text)
