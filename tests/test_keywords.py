@@ -4,9 +4,11 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
 from textloom.functions.lexicons import LATIN, ZH
+from textloom.functions.text import WORD
 from textloom.operators import keywords
 from textloom.plans import documents
 
@@ -66,3 +68,37 @@ def test_textrank_against_plain_python(spark):
         assert len(got) == min(20, len(want)) and all(math.isclose(v, want[w], abs_tol=1e-6) for w, v in got)
         left = max((v for w, v in want.items() if w not in dict(got)), default=-1)
         assert not got or got[-1][1] >= left - 1e-6
+
+
+def test_words_are_those_of_the_pattern():
+    every = "".join(f"{chr(c)}a" if c % 3 else chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for text in (every, "", " ", "a_b\x1cc\u3000d\xa0é\u0301x 12,5"):
+        assert keywords.words_of(text) == regex.findall(WORD, text)
+
+
+def plain_tfidf(texts, rule, k):
+    counts = [Counter(w for w in re.findall(r"[^\W_]+", t.lower()) if rule(w)) for t in texts]
+    df = Counter(w for c in counts for w in c)
+    out = []
+    for i, c in enumerate(counts):
+        scored = [(-round(n / sum(c.values()) * math.log(len(texts) / df[w]), 9), at, w) for at, (w, n) in enumerate(c.items())]
+        out += [(i, rank, w, -minus) for rank, (minus, _, w) in enumerate(sorted(scored)[:k], 1)]
+    return out
+
+
+def test_tfidf_leaves_out_only_words_that_cannot_be_among_the_best(spark):
+    texts = [r.text for r in documents.docs(spark, SF).collect()]
+    texts += ["aa bb cc dd ee ff", "ff ee dd cc bb aa", "aa aa bb", ""]  # equal scores: by place
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rule = keywords.keyword_rule(LATIN)
+    want = plain_tfidf(texts, rule, 5)
+    for known in (0, 300, 100_000):
+        got = sorted(map(tuple, keywords.tfidf(docs, len(texts), LATIN, 5, known_words=known).collect()))
+        assert [x[:3] for x in got] == [x[:3] for x in want] and all(math.isclose(x[3], y[3], abs_tol=2e-9) for x, y in zip(got, want, strict=True))
+    dfs = keywords.word_frequencies(docs, rule).cache()
+    known, rest = keywords.frequent_words(dfs, 300)
+    assert 0 < len(known) <= 300 and rest == dfs.where(~F.col("word").isin(*known)).agg(F.max("df")).first()[0]
+    rows = docs.withColumn("row", F.col("doc_id"))
+    likely = keywords.likely_words(rows, len(texts), 5, spark.sparkContext.broadcast(known), rest, rule).count()
+    pairs = dfs.agg(F.sum("df")).first()[0]
+    assert len(want) <= likely < pairs / 2

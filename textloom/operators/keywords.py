@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,18 +22,34 @@ from textloom.functions.lexicons import Lexicon
 from textloom.functions.text import WORD, by_row, contains_any, word_tokens, ws_tokens
 from textloom.sources.shared import written
 
-_WORD = regex.compile(WORD)
-#: Runs of letters and digits.
-words_of = _WORD.findall
+_in_word = regex.compile(WORD).fullmatch
 _ASCII = re.compile("[a-zA-Z]+")
 COUNTS = "array<struct<word: string, n: bigint, pos: int>>"
 #: Words that a task holds before it passes them on, besides those of one text.
 HELD_WORDS = 100_000
-#: Tasks over which the documents that hold one word are dealt.
-SALT = 16
+#: Most frequent words whose document frequencies every task of tfidf() holds.
+KNOWN_WORDS = 100_000
+#: Scores of words are compared with so much to spare, as they are rounded to 9 digits.
+SLACK = 1e-8
 RANKS = "array<struct<word: string, score: double>>"
 
 
+class _Kept(dict):
+    """Code points of words as they are, others as a blank; each is looked at when it first comes."""
+
+    def __missing__(self, point: int) -> int:
+        self[point] = out = point if _in_word(chr(point)) else 32
+        return out
+
+
+_KEPT = _Kept()
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits: what is left between blanks, which takes half the time of looking for the pattern."""
+    return text.translate(_KEPT).split()
+
+
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, word) of each token; documents without tokens have no rows."""
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(word_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "word"))
@@ -95,49 +112,98 @@ def keyword_arrays(docs: DataFrame, lexicon: Lexicon, k: int = 20, text_col: str
     return docs.withColumn("keywords", F.transform(ranked_words(F.col(text_col), keyword_rule(lexicon), k, cut), lambda x: x["word"]))
 
 
-def word_shares(rows: DataFrame, rule: Callable[[str], bool], cut: Callable[[str], list[str]] = words_of) -> DataFrame:
-    """(doc_id, row, word, share, pos) of (doc_id, row, text): of each distinct word that rule takes its share of all these words in
-    the text, and its first place. Rows leave a task in pieces of bounded size."""
+def word_frequencies(texts: DataFrame, rule: Callable[[str], bool], cut: Callable[[str], list[str]] = words_of) -> DataFrame:
+    """(word, df) of (text): in how many rows each word stands that rule takes. Words are counted per task before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+
+        def made() -> pa.RecordBatch:
+            words = [w for w in held if rule(w)]
+            out = pa.record_batch([pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())], ["word", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for t in batch.column("text"):
+                held.update(set(cut(t.as_py() or "")))
+                if len(held) > HELD_WORDS:
+                    yield made()
+        yield made()
+
+    return texts.select(F.lower("text").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("df"))
+
+
+def frequent_words(dfs: DataFrame, most: int) -> tuple[dict[str, int], int]:
+    """The words of the highest document frequencies with these, so many at most, and the highest frequency of the others: 0 if none is left."""
+    taken, rest = 0, 0
+    for n, words in sorted(map(tuple, dfs.groupBy("df").count().collect()), reverse=True):
+        if taken + words > most:
+            rest = n
+            break
+        taken += words
+    return dict(map(tuple, dfs.where(F.col("df") > rest).select("word", "df").collect())), rest
+
+
+def likely_words(rows: DataFrame, n_docs: int, k: int, known: Broadcast, rest: int, rule: Callable[[str], bool], cut: Callable[[str], list[str]] = words_of) -> DataFrame:
+    """(doc_id, row, word, share, pos, df) of (doc_id, row, text): the words that may be among the text's k best, with their share of all
+    words that rule takes and their place among these; df is 0 for words that are not known.
+
+    Unknown words stand in 1 to rest documents, which bounds their scores. A word is left out only if its score is under k others by
+    more than scores are rounded. Rows leave a task in pieces of bounded size.
+    """
 
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dfs = known.value
         for batch in batches:
-            owner, words, parts, places = [], [], [], []
+            owner, words, parts, places, found = [], [], [], [], []
 
-            def made(batch=batch, owner=owner, words=words, parts=parts, places=places) -> pa.RecordBatch:
+            def made(batch=batch, owner=owner, words=words, parts=parts, places=places, found=found) -> pa.RecordBatch:
                 at = pa.array(owner, pa.int64())
-                out = [batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(words, pa.string()), pa.array(parts, pa.float64()), pa.array(places, pa.int32())]
-                for x in (owner, words, parts, places):
+                out = [batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(words, pa.string())]
+                out += [pa.array(parts, pa.float64()), pa.array(places, pa.int32()), pa.array(found, pa.int64())]
+                for x in (owner, words, parts, places, found):
                     x.clear()
-                return pa.record_batch(out, ["doc_id", "row", "word", "share", "pos"])
+                return pa.record_batch(out, ["doc_id", "row", "word", "share", "pos", "df"])
 
             for i, t in enumerate(batch.column("text")):
-                every = cut(t.as_py() or "")
-                first = {w: len(every) - 1 - k for k, w in enumerate(reversed(every))}
-                counts = {w: n for w, n in Counter(every).items() if rule(w)}
-                total = sum(counts.values())
-                owner += [i] * len(counts)
-                words += counts
-                parts += [n / total for n in counts.values()]
-                places += map(first.__getitem__, counts)
+                counts = [(w, n, dfs.get(w, 0)) for w, n in Counter(cut(t.as_py() or "")).items() if w in dfs or rule(w)]  # by first place
+                if not counts:
+                    continue
+                share = np.array([n for _, n, _ in counts], np.float64)
+                share /= share.sum()
+                df = np.array([d for _, _, d in counts], np.int64)
+                kept = range(len(counts))
+                if len(counts) > k:
+                    highest, lowest = (share * np.log(n_docs / np.where(df > 0, df, d)) for d in (1, max(rest, 1)))
+                    kept = np.flatnonzero(highest >= np.partition(lowest, -k)[-k] - SLACK).tolist()
+                owner += [i] * len(kept)
+                words += [counts[j][0] for j in kept]
+                parts += [float(share[j]) for j in kept]
+                places += kept
+                found += [counts[j][2] for j in kept]
                 if len(words) > HELD_WORDS:
                     yield made()
             yield made()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "row", F.lower("text").alias("text")).mapInArrow(shares, f"doc_id {kind}, row long, word string, share double, pos int")
+    return rows.select("doc_id", "row", F.lower("text").alias("text")).mapInArrow(likely, f"doc_id {kind}, row long, word string, share double, pos int, df long")
 
 
-def tfidf(docs: DataFrame, n_docs: int, lexicon: Lexicon, k: int = 30, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = words_of) -> DataFrame:
+def tfidf(docs: DataFrame, n_docs: int, lexicon: Lexicon, k: int = 30, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = words_of, known_words: int = KNOWN_WORDS) -> DataFrame:
     """(doc_id, rank, word, score): score is term frequency times ln(n_docs / document frequency).
 
-    Texts are counted once, where they are read; a row per document and distinct word is written and joined with the words'
-    document frequencies. Words that most documents hold are dealt over SALT tasks. Rows that repeat an id are ranked apart.
+    Texts are read twice: for the document frequencies of all words, and for the words that may be among a document's k best. Tasks
+    know the frequencies of known_words words; the others are joined, and as none of them stands in many documents, no key is heavy.
+    Only words that may be among the k best are written, joined and ranked, which loses none. Rows that repeat an id are ranked apart.
     """
+    rule, spark = keyword_rule(lexicon), docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    rows = written(word_shares(texts, keyword_rule(lexicon), cut), "word-shares")
-    df = rows.groupBy("word").agg(F.count("*").alias("df")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    scored = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(df, ["word", "salt"])
-    scored = scored.withColumn("score", F.round(F.col("share") * F.log(F.lit(float(n_docs)) / F.col("df")), 9))
+    dfs = written(word_frequencies(texts, rule, cut), "word-frequencies")
+    known, rest = frequent_words(dfs, known_words)
+    rows = written(likely_words(texts, n_docs, k, spark.sparkContext.broadcast(known), rest, rule, cut), "likely-words")
+    rare = rows.where("df = 0").drop("df").hint("merge").join(dfs.where(F.col("df") <= rest), "word")
+    scored = rows.where("df > 0").unionByName(rare).withColumn("score", F.round(F.col("share") * F.log(F.lit(float(n_docs)) / F.col("df")), 9))
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("doc_id", "row").orderBy(F.desc("score"), "pos")))
     return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "word", "score")
 
