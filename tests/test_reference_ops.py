@@ -229,3 +229,9 @@ def test_caps_hold_on_documents(spark):
     assert sizes[0] <= 20 and max(sizes[1:]) <= 5
     scattered = rows.repartition(7).select("doc_id", "keywords").collect()
     assert sorted(map(str, scattered)) == sorted(map(str, rows.select("doc_id", "keywords").collect()))
+
+
+def test_template_ratio_stays_in_the_engine(spark):
+    rows = spark.createDataFrame([("视频", "综合知识 abc"), ("x", None), ("x", "未知标题视频视频"), ("未知标题", "")], "title string, content string")
+    got = rows.select(supervise.template_ratio(F.col("title"), F.col("content")).alias("r"))
+    assert [round(r.r * 9) for r in got.collect()] == [2, 0, 2, 1] and "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()
