@@ -102,3 +102,10 @@ def test_tfidf_leaves_out_only_words_that_cannot_be_among_the_best(spark):
     likely = keywords.likely_words(rows, len(texts), 5, spark.sparkContext.broadcast(known), rest, rule).count()
     pairs = dfs.agg(F.sum("df")).first()[0]
     assert len(want) <= likely < pairs / 2
+
+
+def test_whole_texts_go_to_python_a_few_at_a_time(spark):
+    for name, steps in (("keyword_group_overlap", 1), ("summary_template", 1), ("summary_extractive", 2)):
+        plan = documents.Q[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BatchEvalPython") == steps and "ArrowEvalPython" not in plan, name
+        assert plan.count("aggregate(") <= 5 * len(LATIN.domains), name  # the domain is not planned anew for each use

@@ -11,12 +11,11 @@ from functools import cached_property
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from textloom.functions.text import by_row
+from textloom.functions.text import by_row, by_text, either_contains
 
 _NUMBERS = pa.list_(pa.int32())
-#: Words whose terms a worker remembers.
-REMEMBERED = 200_000
 
 
 class Terms:
@@ -86,22 +85,15 @@ def term_counts(text: Column, groups: Sequence[Sequence[str]]) -> Column:
             out[owner[i]] += 1
         return out
 
-    return by_row("array<int>", _NUMBERS, one)(text)
+    return by_text("array<int>", one)(text)
+
+
+def related_count(words: Column, terms: Sequence[str]) -> Column:
+    """The pairs of a word and a term of which one holds the other; null for null. Words are few and short, so the engine compares
+    them with each term, without Python workers of their own."""
+    return F.aggregate(words, F.lit(0), lambda n, w: sum((F.when(either_contains(w, F.lit(t)), 1).otherwise(0) for t in terms), n))
 
 
 def related_counts(words: Column, groups: Sequence[Sequence[str]]) -> Column:
-    """array<int>: for each group the pairs of a word and a term of which one holds the other; null for null."""
-    own, owner = Terms(t for g in groups for t in g), [k for k, g in enumerate(groups) for _ in g]
-    known: dict[str, tuple[int, ...]] = {}
-
-    def of(word: str) -> tuple[int, ...]:
-        if word not in known:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            out = [0] * len(groups)
-            for i in own.related(word):
-                out[owner[i]] += 1
-            known[word] = tuple(out)
-        return known[word]
-
-    return by_row("array<int>", _NUMBERS, lambda ws: None if ws is None else [sum(c) for c in zip(*map(of, ws), strict=True)] or [0] * len(groups))(words)
+    """array<int>: related_count() of each group; null for null."""
+    return F.when(words.isNotNull(), F.array(*[related_count(words, terms) for terms in groups]))

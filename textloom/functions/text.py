@@ -29,6 +29,12 @@ def by_row(kind: str, made: pa.DataType, one: Callable) -> Callable[..., Column]
     return rows
 
 
+def by_text(kind: str, one: Callable) -> Callable[..., Column]:
+    """one of the values of each row as a function of columns with whole texts: rows go to Python and back a hundred at a time
+    (spark.sql.execution.python.udf.maxRecordsPerBatch), where an Arrow batch would hold 10,000 texts."""
+    return F.udf(one, kind, useArrow=False)
+
+
 def literals(terms: Sequence[str]) -> Column:
     """The terms as an array column; an empty list gives an empty array of strings."""
     return F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import heapq
 
-import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions.lexicons import Lexicon
-from textloom.functions.matching import related_counts, term_counts
-from textloom.functions.text import by_row, contained, either_contains, literals, sentences, strip
+from textloom.functions.matching import related_count, term_counts
+from textloom.functions.text import by_text, contained, either_contains, literals, sentences, strip
 from textloom.operators.keywords import having
 
 
@@ -23,10 +22,9 @@ def _best(scores: list[tuple[str, Column]]) -> Column:
 
 def keyword_domain(keywords: Column, lexicon: Lexicon) -> Column:
     """struct(domain, score): pairs of keyword and term of which one contains the other, over the keywords."""
-    counts = related_counts(keywords, [terms for _, terms in lexicon.domains])
-    best = _best([(name, F.get(counts, F.lit(i))) for i, (name, _) in enumerate(lexicon.domains)])
-    found = best["score"] > 0
-    return F.struct(F.when(found, best["name"]).otherwise("general").alias("domain"), F.when(found, best["score"] / F.size(keywords)).otherwise(0.0).alias("score"))
+    best = _best([(name, related_count(keywords, terms)) for name, terms in lexicon.domains])
+    of = lambda b: F.struct(F.when(b["score"] > 0, b["name"]).otherwise("general").alias("domain"), F.when(b["score"] > 0, b["score"] / F.size(keywords)).otherwise(0.0).alias("score"))
+    return F.get(F.transform(F.array(best), of), F.lit(0))  # names best, so that it is planned once
 
 
 def weighted_domain(text: Column, keywords: Column, lexicon: Lexicon) -> Column:
@@ -120,7 +118,7 @@ def best_sentences(text: Column, keywords: Column, words: Column, lexicon: Lexic
     """The best sentences of at least so many characters, best first, joined and cut; null if none has any points.
 
     A keyword in it gives a sentence one point, 20 to 100 characters one, and each of the words half a point; earlier
-    sentences come first among equals. Null texts and keywords have none. One pass a text, in Arrow batches.
+    sentences come first among equals. Null texts and keywords have none. One pass a text.
     """
     split, period = regex.compile("[" + lexicon.delimiters_rich + "]").split, lexicon.period
 
@@ -135,7 +133,7 @@ def best_sentences(text: Column, keywords: Column, words: Column, lexicon: Lexic
         joined = period.join(bare for minus, _, bare in heapq.nsmallest(most, found) if minus < 0)
         return (joined[:longest] + "..." if len(joined) > longest else joined) or None
 
-    return by_row("string", pa.string(), one)(text, keywords, words)
+    return by_text("string", one)(text, keywords, words)
 
 
 def extractive_summary(title: Column, text: Column, keywords: Column, theme_list: Column, lexicon: Lexicon) -> Column:

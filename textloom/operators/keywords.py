@@ -1,6 +1,6 @@
 """Keywords of documents: token filters, ranking, TF-IDF, co-occurrence rank, groups and density.
 
-Words are counted and ranked inside the row, in Arrow batches, so no token is shuffled and rows of one id stay apart. The
+Words are counted and ranked inside the row, so no token is shuffled and rows of one id stay apart. The
 functions on (doc_id, pos, word) rows do the same for tokens that come from elsewhere.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.lexicons import Lexicon
-from textloom.functions.text import WORD, by_row, contains_any, word_tokens, ws_tokens
+from textloom.functions.text import WORD, by_text, contains_any, word_tokens, ws_tokens
 from textloom.sources.shared import written
 
 _in_word = regex.compile(WORD).fullmatch
@@ -87,7 +87,7 @@ def ranked_words(text: Column, rule: Callable[[str], bool], k: int | None = None
         best = sorted(((w, n) for w, n in Counter(every).items() if rule(w)), key=lambda x: -x[1])[:k]
         return [{"word": w, "n": n, "pos": first[w]} for w, n in best]
 
-    return by_row(COUNTS, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64()), ("pos", pa.int32())])), one)(F.lower(text))
+    return by_text(COUNTS, one)(F.lower(text))
 
 
 def counted(words: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def ranked_by_company(text: Column, rule: Callable[[str], bool], k: int = 20, wi
         best = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0].encode()))[:k]
         return [{"word": w, "score": round(v, 6)} for w, v in best]
 
-    return by_row(RANKS, pa.list_(pa.struct([("word", pa.string()), ("score", pa.float64())])), one)(F.lower(text))
+    return by_text(RANKS, one)(F.lower(text))
 
 
 def textrank(docs: DataFrame, lexicon: Lexicon, k: int = 20, window: int = 4, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[str], list[str]] = words_of) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import filters
-from textloom.functions.text import WORD, by_row
+from textloom.functions.text import WORD, by_text
 from textloom.sources.shared import written
 
 #: Letters of scripts that put no space between words.
@@ -273,4 +273,4 @@ def cutter(spark: SparkSession, vocab: Vocabulary) -> Callable[[str], list[str]]
 def segmented(text: Column, cut: Callable[[str], list[str]]) -> Column:
     """array<string> of the tokens of each text; empty for null."""
 
-    return by_row("array<string>", pa.list_(pa.string()), lambda t: cut(t) if t else [])(text)
+    return by_text("array<string>", lambda t: cut(t) if t else [])(text)
