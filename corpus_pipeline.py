@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontamination, exact_dedup, language_id, near_dup, segmentation
-from textloom.llm.common import table, written
+from textloom.llm.common import fitted_filter, may_hold, table, written
 from textloom.llm.queries import tokenizer
 
 #: Documents less of whose n-grams belong to their best language are rejected, as are those without a letter.
@@ -41,10 +41,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that hold no passage of the benchmark."""
+    """Keep the documents that hold no passage of the benchmark. Only texts that a filter of the keys of hits passes are shuffled."""
     rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     hit = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row_key").where("n_hit > 0").select(F.col("doc_id").alias("row_key"))
-    return rows.join(hit.distinct(), "row_key", "left_anti").select(docs.columns)
+    hit = written(hit.distinct(), "contaminated")
+    judged = rows.withColumn("may_be_hit", may_hold(F.col("row_key"), fitted_filter(hit.select(F.col("row_key").alias("h"))), spark))
+    cleared = judged.where("may_be_hit").join(hit.hint("merge"), "row_key", "left_anti")
+    return judged.where("not may_be_hit").select(docs.columns).unionByName(cleared.select(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

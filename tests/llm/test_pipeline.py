@@ -1,5 +1,8 @@
 """The pipeline's stages against brute force on small documents."""
 
+import random
+from collections import Counter
+
 import corpus_pipeline
 from tests.llm.test_methods import brute_components  # noqa: F401  the same definition of near-duplicates
 from textloom.llm import exact_dedup  # noqa: F401
@@ -42,3 +45,27 @@ def test_each_stage_takes_effect_and_keeps_clean_documents(spark, tmp_path):
     assert set(ids["MinHash near-dedup"]) - set(ids["benchmark decontamination"]) == {1005}
     last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in last} == set(ids["benchmark decontamination"]) and all(r.decoded for r in last)
+
+
+def shuffled_bytes(spark):
+    """Bytes that the stages of this session have written to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    none = jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_decontamination_shuffles_no_clean_text(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(k, f"clean {rng.randbytes(5000).hex()} {k}") for k in range(300)]
+    bench = " ".join(f"bench{k}" for k in range(12))
+    rows += [(None, rows[0][1]), (7, f"{bench} next to clean text"), (None, bench), (8, None), (7, rows[9][1]), (7, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs.parquet"))
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = shuffled_bytes(spark)
+    corpus_pipeline.drop_contaminated(spark, spark.read.parquet(str(tmp_path / "docs.parquet")), str(tmp_path)).write.parquet(str(tmp_path / "kept.parquet"))
+    moved = shuffled_bytes(spark) - before
+    kept = spark.read.parquet(str(tmp_path / "kept.parquet")).collect()
+    assert Counter(map(tuple, kept)) == Counter(r for r in rows if "bench0" not in (r[1] or ""))
+    assert 0 < moved < 500_000 < sum(len(t or "") for _, t in rows) / 5

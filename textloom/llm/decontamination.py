@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is split by document into segments. A segment numbers its words on one axis, with a gap after each document,
-and stores for each term the sorted positions at which it stands. A phrase is found by intersecting the
+and stores for each term the sorted positions at which it stands, as gaps of seven bits a byte. A phrase is found by intersecting the
 offset-adjusted position lists of its terms, from the rarest term on; a proximity match by checking, around each
 position of the rarest term, that all other terms stand close enough.
 
@@ -37,6 +37,37 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
+def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 to 2^31 - 1 as bytes of seven bits, lowest first; all but the last of a number have the high bit set. And where each ends."""
+    sizes = 1 + sum((numbers >= 1 << b).astype(np.int8) for b in (7, 14, 21, 28))
+    ends = np.cumsum(sizes, dtype=np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    at = ends - sizes
+    for k in range(5):
+        if k:
+            longer = sizes > k
+            numbers, sizes, at = numbers[longer], sizes[longer], at[longer]
+        out[at + k] = numbers >> 7 * k & 127 | (sizes > k + 1).astype(np.uint8) << 7
+    return out, ends
+
+
+def unpacked(lists: list[bytes]) -> list[np.ndarray]:
+    """The positions of each list, whose gaps are packed; its first one is counted from 0."""
+    data = np.frombuffer(b"".join(lists), np.uint8)
+    last = data < 128
+    starts = np.flatnonzero(np.concatenate([[True], last]))[:-1]
+    at, sizes = starts, np.diff(starts, append=len(data))
+    gaps, own = (data[at] & 127).astype(np.int64), np.arange(len(at))
+    for k in range(1, 5):
+        longer = sizes > k
+        own, at, sizes = own[longer], at[longer], sizes[longer]
+        gaps[own] |= (data[at + k] & 127).astype(np.int64) << 7 * k
+    ends = np.concatenate([[0], np.cumsum(last)])[np.cumsum([0, *map(len, lists)])]
+    sums = np.concatenate([[0], np.cumsum(gaps)])
+    places = sums[1:] - np.repeat(sums[ends[:-1]], np.diff(ends))
+    return [places[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def _segment(name: str, ids: list, lists: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
     """A row per document with its start on the axis, then a row per term with its positions."""
     lengths = np.array([len(x) for x in lists], np.int64)
@@ -56,9 +87,12 @@ def _segment(name: str, ids: list, lists: list[list[bytes]]) -> Iterator[pa.Reco
     sorted_places = place[order].astype(np.int32)
     counts = np.bincount(terms, minlength=len(number))
     ends = np.cumsum(counts)
-    # Lists of four bytes a position, cut from one buffer.
-    offsets = np.concatenate([[0], ends]).astype(np.int32) * 4
-    lists_col = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(offsets), pa.py_buffer(sorted_places)])
+    gaps = np.diff(sorted_places, prepend=0)
+    gaps[ends - counts] = sorted_places[ends - counts]
+    # Lists of packed gaps, cut from one buffer.
+    data, cuts = packed(gaps)
+    offsets = np.concatenate([[0], cuts[ends - 1]]).astype(np.int32)
+    lists_col = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     for a in range(0, len(number), 20_000):
         k = min(20_000, len(number) - a)
         none = pa.nulls(k)
@@ -201,7 +235,7 @@ def find_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_i
         docs = rows.filter(pc.is_valid(rows["doc_no"])).sort_by("doc_no")
         start, numbers = docs["start"].to_numpy().astype(np.int64), docs["doc_no"].to_numpy()
         held, asked = rows.filter(pc.is_valid(rows["term"])), rows.filter(pc.is_valid(rows["phrase"]))
-        postings = {t: np.frombuffer(p, np.int32).astype(np.int64) for t, p in zip(held["term"].to_pylist(), held["positions"].to_pylist(), strict=True)}
+        postings = dict(zip(held["term"].to_pylist(), unpacked(held["positions"].to_pylist()), strict=True))
         made: list[tuple] = []
         for number, words in zip(asked["phrase"], asked["words"], strict=True):
             phrase = tuple(words.as_py())
