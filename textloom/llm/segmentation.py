@@ -34,9 +34,9 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xC6A4A7935BD1E995)  # brings the last character of a piece into the first bits of its hash
 _STEP, _PATH, _PLACE = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5), np.uint64(0x9FB21C651E98DF25)
 #: Characters of the texts that are searched together; bounds a task's memory besides one longest text.
-BLOCK_CHARS = 750_000
+BLOCK_CHARS = 200_000
 #: Distinct chunks whose lattices a task keeps from block to block.
-KEPT_CHUNKS = 100_000
+KEPT_CHUNKS = 20_000
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -112,22 +112,23 @@ class Pieces:
         self.log_p = np.array(log_p)
         by_length: dict[int, list[tuple[int, int]]] = {}
         self.longest = max((len(p) for p in pieces), default=1)
-        self.prefixes = np.zeros((self.longest + 1, 1 << 20), bool)
+        # A bit for each length, eight lengths to a table; each worker holds a vocabulary of its own.
+        self.prefixes = np.zeros((self.longest // 8 + 1, 1 << 20), np.uint8)
         for i, p in enumerate(pieces):
             h = 0
             for n, ch in enumerate(p, 1):
                 h = (h * int(_MULT) + ord(ch) + 1) % (1 << 64)
                 mixed = h * int(_SPREAD) % (1 << 64)
-                self.prefixes[n, mixed >> 44] = True
+                self.prefixes[n >> 3, mixed >> 44] |= 1 << (n & 7)
             if p:
                 by_length.setdefault(len(p), []).append((mixed, i))
         self.by_length = {n: tuple(np.array(x, t) for x, t in zip(zip(*sorted(v), strict=True), (np.uint64, np.int64), strict=True)) for n, v in by_length.items()}
-        # For the first 18 bits of a hash the place of the first piece that has them, -1 if none has.
+        # For the first 16 bits of a hash the place of the first piece that has them, -1 if none has.
         self.places, self.company = {}, {}
         for n, (keys, _) in self.by_length.items():
-            short, first, count = np.unique(keys >> np.uint64(46), return_index=True, return_counts=True)
+            short, first, count = np.unique(keys >> np.uint64(48), return_index=True, return_counts=True)
             self.company[n] = int(count.max()) - 1
-            self.places[n] = np.full(1 << 18, -1, np.int32)
+            self.places[n] = np.full(1 << 16, -1, np.int32)
             self.places[n][short.astype(np.int64)] = first
 
     @classmethod
@@ -173,13 +174,13 @@ class Pieces:
             h = h * _MULT + points[active + (n - 1)] + np.uint64(1)
             mixed = h * _SPREAD
             short = (mixed >> np.uint64(44)).astype(np.int32)
-            alive = np.flatnonzero(self.prefixes[n][short])
+            alive = np.flatnonzero((self.prefixes[n >> 3][short] & (1 << (n & 7))).astype(bool))
             active, h, mixed, short = active[alive], h[alive], mixed[alive], short[alive]
             if not len(active):
                 break
             if n in self.by_length:
                 keys, ids = self.by_length[n]
-                at = self.places[n][short >> 2]
+                at = self.places[n][short >> 4]
                 may = np.flatnonzero(at >= 0)
                 at, whole = at[may], mixed[may]
                 for _ in range(self.company[n]):  # pieces of one place follow each other
