@@ -47,14 +47,6 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-class Numbers(dict):
-    """Numbers keys in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 @dataclass
 class Lattice:
     """Of all chunks: nodes first[c]..last[c] of chunk c, and arcs begin[n]..begin[n+1] of node n, longer pieces first."""
@@ -78,18 +70,20 @@ class Chunks:
     """The numbers and the lattice of the chunks seen so far; begun afresh where a block finds more than KEPT_CHUNKS."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.numbers, self.lattice = pieces, Numbers(), None
+        self.pieces, self.numbers, self.lattice = pieces, {}, None
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of the chunks of each text, all of which are in the lattice then."""
         if len(self.numbers) > KEPT_CHUNKS:
-            self.numbers, self.lattice = Numbers(), None
+            self.numbers, self.lattice = {}, None
         known = len(self.numbers)
         lists = [self.pieces.chunks(t) for t in texts]
+        new = [c for c in dict.fromkeys(itertools.chain.from_iterable(lists)) if c not in self.numbers]
+        self.numbers.update(zip(new, range(known, known + len(new)), strict=True))
         found = [np.fromiter(map(self.numbers.__getitem__, c), np.int64, len(c)) for c in lists]
         del lists
-        if len(self.numbers) > known or self.lattice is None:
-            more = self.pieces.lattice(list(itertools.islice(self.numbers, known, None)))
+        if new or self.lattice is None:
+            more = self.pieces.lattice(new)
             self.lattice = more if self.lattice is None else self.lattice.joined(more)
         return found
 
