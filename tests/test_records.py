@@ -1,6 +1,7 @@
 """Records of pages: values of state, markup, shared text and defaults for each platform."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -89,3 +90,25 @@ def test_rich_analysis(spark):
     assert first[0] == "nation" and len(first) == len(set(first)) and got[1].domain != "unknown" and got[1].text_length > 100
     assert set(keywords.cooccurrence_scores(["a", "b", "a"])) == {"a", "b"} and keywords.cooccurrence_scores(["a", "a"]) == {}
     assert ZH.texts["too_short"] == "内容过短，无法进行有效分析"
+
+
+def test_rich_analysis_of_long_runs_and_words(spark):
+    """Long matches of the patterns took a stack frame a repetition, which ended the executor; long words and blanks quadratic time."""
+    names = "Abc Def " * 20_000
+    texts = [names + "nation. Ann Lee and the station", "abcdefgh" * 20_000 + " Ann Lee", "a" + " " * 200_000 + "b nation. Ann Lee; the nation"]
+    rows = spark.createDataFrame([(i, "", "", t) for i, t in enumerate(texts)], "doc_id long, title string, description string, content string")
+    got = [r.analysis for r in api.richly_analysed(rows, LATIN).orderBy("doc_id").collect()]
+    assert got[0].entities.person[-2:] == [names.strip(), "Ann Lee"] and got[0].entities.organization[-1:] != names
+    assert [g.entities.person[-1] for g in got[1:]] == ["Ann Lee"] * 2 and got[2].key_phrases == ["the nation"]
+
+
+def test_rich_keywords_are_those_of_both_rankings(spark):
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice("abcdefghij") + draw.choice("klm12") * draw.randint(0, 2) for _ in range(n)) for n in (0, 1, 2, 50, 400)] + [None, "a the of", "xx yy " * 40]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    rule, words = keywords.keyword_rule(LATIN), lambda c: F.transform(c, lambda x: x["word"])
+    both = F.array_union(words(keywords.ranked_words(F.col("t"), rule, 6)), words(keywords.ranked_by_company(F.col("t"), rule, 5)))
+    for r in rows.select("t", keywords.united(F.col("t"), rule, 6, 5).alias("got"), both.alias("want")).collect():
+        scores = keywords.cooccurrence_scores([w for w in keywords.words_of((r.t or "").lower()) if rule(w)])
+        company = sorted(scores, key=lambda w: (-round(scores[w], 9), w))[:5]
+        assert r.got == r.want and r.got[:6] + [w for w in company if w not in r.got[:6]] == r.got

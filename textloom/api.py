@@ -35,8 +35,7 @@ def richly_analysed(docs: DataFrame, lexicon: Lexicon = ZH, least: int = 10, cut
     """
     text = F.trim(F.concat_ws(" ", "title", "description", "content"))
     rule = keywords.keyword_rule(lexicon)
-    word = lambda c: F.transform(c, lambda x: x["word"])
-    out = docs.withColumn("_text", text).withColumn("_kw", keywords.united(word(keywords.ranked_words(F.col("_text"), rule, 30, cut)), word(keywords.ranked_by_company(F.col("_text"), rule, 20, cut=cut))))
+    out = docs.withColumn("_text", text).withColumn("_kw", keywords.united(F.col("_text"), rule, cut=cut))
     out = out.withColumn("_dom", analysis.weighted_domain(F.col("_text"), F.col("_kw"), lexicon))
     groups = keywords.overlapping(F.col("_kw"), lexicon, F.col("_dom.domain") != "general")
     out = out.withColumn("_themes", analysis.rich_themes(F.col("_text"), groups, lexicon))

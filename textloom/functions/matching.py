@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import cached_property
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,3 +99,21 @@ def related_count(words: Column, terms: Sequence[str]) -> Column:
 def related_counts(words: Column, groups: Sequence[Sequence[str]]) -> Column:
     """array<int>: related_count() of each group; null for null."""
     return F.when(words.isNotNull(), F.array(*[related_count(words, terms) for terms in groups]))
+
+
+def all_matches(text: str, pattern: str) -> list[str]:
+    """What the pattern matches, in order. RE2 takes linear time and no stack, where the engine's patterns take a stack frame for
+    each repetition of a group, so that a long match ends the executor. Matches are put between marks that the text does not hold."""
+    mark = next(c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0x110000))) if c not in text)
+    return pc.replace_substring_regex(pa.scalar(text, pa.large_string()), pattern, rf"{mark}\0{mark}").as_py().split(mark)[1::2]
+
+
+def first_matches(text: Column, patterns: Sequence[tuple[str, int]], most: int) -> Column:
+    """array<array<string>>: for each pattern and length the first distinct matches of so many characters at least; null for null."""
+
+    def one(t):
+        if t is None:
+            return None
+        return [list(dict.fromkeys(m for m in all_matches(t, pattern) if len(m) >= least))[:most] for pattern, least in patterns]
+
+    return by_text("array<array<string>>", one)(text)

@@ -35,6 +35,11 @@ def by_text(kind: str, one: Callable) -> Callable[..., Column]:
     return F.udf(one, kind, useArrow=False)
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value planned and evaluated once, however often of() names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def literals(terms: Sequence[str]) -> Column:
     """The terms as an array column; an empty list gives an empty array of strings."""
     return F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")

@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions.lexicons import Lexicon
-from textloom.functions.matching import related_count, term_counts
-from textloom.functions.text import by_text, contained, either_contains, literals, sentences, strip
+from textloom.functions.matching import first_matches, related_count, term_counts
+from textloom.functions.text import by_text, contained, either_contains, literals, once, sentences
 from textloom.operators.keywords import having
 
 
@@ -24,7 +24,7 @@ def keyword_domain(keywords: Column, lexicon: Lexicon) -> Column:
     """struct(domain, score): pairs of keyword and term of which one contains the other, over the keywords."""
     best = _best([(name, related_count(keywords, terms)) for name, terms in lexicon.domains])
     of = lambda b: F.struct(F.when(b["score"] > 0, b["name"]).otherwise("general").alias("domain"), F.when(b["score"] > 0, b["score"] / F.size(keywords)).otherwise(0.0).alias("score"))
-    return F.get(F.transform(F.array(best), of), F.lit(0))  # names best, so that it is planned once
+    return once(best, of)
 
 
 def weighted_domain(text: Column, keywords: Column, lexicon: Lexicon) -> Column:
@@ -33,8 +33,8 @@ def weighted_domain(text: Column, keywords: Column, lexicon: Lexicon) -> Column:
     groups = [[t.lower() for t in terms] for _, _, terms in lexicon.weighted_domains]
     anywhere, early = term_counts(everything, groups), term_counts(start, groups)  # what stands early stands in the text
     best = _best([(name, F.lit(w) * (F.get(anywhere, F.lit(i)) + F.get(early, F.lit(i)))) for i, (name, w, _) in enumerate(lexicon.weighted_domains)])
-    found = best["score"] > 0
-    return F.struct(F.when(found, best["name"]).otherwise("general").alias("domain"), F.when(found, best["score"]).otherwise(0.0).alias("score"))
+    of = lambda b: F.struct(F.when(b["score"] > 0, b["name"]).otherwise("general").alias("domain"), F.when(b["score"] > 0, b["score"]).otherwise(0.0).alias("score"))
+    return once(best, of)
 
 
 def keyword_entities(keywords: Column, lexicon: Lexicon, cap: int = 5) -> dict[str, Column]:
@@ -53,10 +53,10 @@ def pattern_entities(text: Column, keywords: Column, lexicon: Lexicon, cap: int
         return F.filter(keywords, lambda k: F.exists(literals(terms), lambda t: either_contains(k, t)))
 
     out = {name: near(terms) for name, terms in lexicon.entity_patterns}
-    person = F.filter(F.regexp_extract_all(text, F.lit(lexicon.person_pattern), 0), lambda x: F.length(x) > 1)
-    organization = F.filter(F.regexp_extract_all(text, F.lit(lexicon.organization_pattern), 0), lambda x: F.length(x) > 2)
-    out["person"] = F.concat(out["person"], person)
-    out["organization"] = F.concat(out["organization"], organization)
+    # What stands among the first cap with the keywords before it stands among the first cap without them.
+    matches = first_matches(text, [(lexicon.person_pattern, 2), (lexicon.organization_pattern, 3)], cap)
+    for i, name in enumerate(("person", "organization")):
+        out[name] = F.concat(out[name], F.get(matches, F.lit(i)))
     return {name: F.slice(F.array_distinct(x), 1, cap) for name, x in out.items()}
 
 
@@ -70,10 +70,16 @@ def key_phrases(text: Column, keywords: Column, lexicon: Lexicon, least: int = 2
 
 
 def short_phrases(text: Column, keywords: Column, lexicon: Lexicon, cap: int = 15) -> Column:
-    """Distinct sentences of 10 to 100 characters with a keyword, shortest first, then in order."""
-    found = F.array_distinct(F.filter(sentences(text, lexicon.delimiters_rich), lambda s: F.length(s).between(10, 100) & (_hits(s, keywords) >= 1)))
-    ranked = F.array_sort(F.transform(found, lambda s, i: F.struct(F.length(s).alias("n"), i.alias("i"), s.alias("s"))))
-    return F.slice(F.transform(ranked, lambda x: x["s"]), 1, cap)
+    """Distinct sentences of 10 to 100 characters with a keyword, shortest first, then in order. One pass a text."""
+    split = regex.compile("[" + lexicon.delimiters_rich + "]").split
+
+    def one(t, keys):
+        if t is None:
+            return None
+        found = dict.fromkeys(s for s in map(str.strip, split(t)) if 10 <= len(s) <= 100 and any(k in s for k in keys or ()))
+        return heapq.nsmallest(cap, found, key=len)
+
+    return by_text("array<string>", one)(text, keywords)
 
 
 def themes(title: Column, keywords: Column, domain: Column, lexicon: Lexicon, cap: int = 5) -> Column:
@@ -86,14 +92,11 @@ def themes(title: Column, keywords: Column, domain: Column, lexicon: Lexicon, ca
 
 def rich_themes(text: Column, groups: dict[str, Column], lexicon: Lexicon, cap: int = 8) -> Column:
     """A theme for each group of two keywords or more; with under three of them, also one for each relation found."""
-    of_groups = [F.when(F.size(words) >= 2, F.concat(F.lit(name + lexicon.colon), F.array_join(F.slice(words, 1, 5), ", "))) for name, words in groups.items()]
-    first = F.filter(F.array(*of_groups), lambda x: x.isNotNull())
-    of_relations = []
-    for name, terms in lexicon.relations:
-        found = contained(text, terms)
-        of_relations.append(F.when(F.size(found) > 0, F.concat(F.lit(name.replace("_", "") + lexicon.texts["relation_theme"]), F.array_join(F.slice(found, 1, 3), ", "))))
-    more = F.filter(F.array(*of_relations), lambda x: x.isNotNull())
-    return F.slice(F.when(F.size(first) < 3, F.concat(first, more)).otherwise(first), 1, cap)
+    listed = lambda words, name, end, least, most: once(words, lambda w: F.when(F.size(w) >= least, F.concat(F.lit(name + end), F.array_join(F.slice(w, 1, most), ", "))))
+    some = lambda made: F.filter(F.array(*made), lambda x: x.isNotNull())
+    of_groups = some([listed(words, name, lexicon.colon, 2, 5) for name, words in groups.items()])
+    of_relations = some([listed(contained(text, terms), name.replace("_", ""), lexicon.texts["relation_theme"], 1, 3) for name, terms in lexicon.relations])
+    return once(of_groups, lambda first: F.slice(F.when(F.size(first) < 3, F.concat(first, of_relations)).otherwise(first), 1, cap))
 
 
 def filled_in(template: str, *values: Column) -> Column:

@@ -73,6 +73,11 @@ def plain_rule(lexicon: Lexicon) -> Callable[[str], bool]:
     return lambda w: len(w) > 1 and w not in stop
 
 
+def most_frequent(words: list[str], rule: Callable[[str], bool], k: int | None) -> list[tuple[str, int]]:
+    """(word, n) of the k most frequent words that rule takes; earlier ones first among equals."""
+    return sorted(((w, n) for w, n in Counter(words).items() if rule(w)), key=lambda x: -x[1])[:k]
+
+
 def ranked_words(text: Column, rule: Callable[[str], bool], k: int | None = None, cut: Callable[[str], list[str]] = words_of) -> Column:
     """array of (word, n, pos): the k most frequent words that rule takes, or all; earlier ones first among equals.
 
@@ -84,8 +89,7 @@ def ranked_words(text: Column, rule: Callable[[str], bool], k: int | None = None
             return []
         every = cut(t)
         first = {w: len(every) - 1 - i for i, w in enumerate(reversed(every))}
-        best = sorted(((w, n) for w, n in Counter(every).items() if rule(w)), key=lambda x: -x[1])[:k]
-        return [{"word": w, "n": n, "pos": first[w]} for w, n in best]
+        return [{"word": w, "n": n, "pos": first[w]} for w, n in most_frequent(every, rule, k)]
 
     return by_text(COUNTS, one)(F.lower(text))
 
@@ -228,12 +232,18 @@ def cooccurrence_scores(words: list[str], window: int = 4, iterations: int = 5,
     return {w: float(score[i]) for w, i in number.items() if joined[i]}
 
 
+def best_company(words: list[str], window: int, k: int) -> list[tuple[str, float]]:
+    """(word, score) of the k words of the highest co-occurrence score, in alphabetical order among equals."""
+    scores = cooccurrence_scores(words, window)
+    least = np.partition(np.fromiter(scores.values(), float, len(scores)), -k)[-k] - SLACK if len(scores) > k else -np.inf
+    return sorted(((w, v) for w, v in scores.items() if v >= least), key=lambda x: (-round(x[1], 9), x[0].encode()))[:k]
+
+
 def ranked_by_company(text: Column, rule: Callable[[str], bool], k: int = 20, window: int = 4, cut: Callable[[str], list[str]] = words_of) -> Column:
     """array of (word, score): the k words of the highest co-occurrence score, in alphabetical order among equals."""
 
     def one(t):
-        scores = cooccurrence_scores([w for w in cut(t or "") if rule(w)], window)
-        best = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0].encode()))[:k]
+        best = best_company([w for w in cut(t or "") if rule(w)], window, k)
         return [{"word": w, "score": round(v, 6)} for w, v in best]
 
     return by_text(RANKS, one)(F.lower(text))
@@ -245,9 +255,17 @@ def textrank(docs: DataFrame, lexicon: Lexicon, k: int = 20, window: int = 4, id
     return rows.select("doc_id", (F.col("at") + 1).alias("rank"), "of.word", "of.score")
 
 
-def united(first: Column, second: Column) -> Column:
-    """The words of two rankings, each once: those of the first, then the others of the second."""
-    return F.array_union(first, second)
+def united(text: Column, rule: Callable[[str], bool], frequent: int = 30, company: int = 20, window: int = 4, cut: Callable[[str], list[str]] = words_of) -> Column:
+    """array<string>: the words of ranked_words(), then those of ranked_by_company() that are not among them. The text is cut once; the
+    result is a column of Python, which later expressions name without making it again. Empty for null."""
+
+    def one(t):
+        every = cut(t or "")
+        taken = {w for w in set(every) if rule(w)}
+        every = [w for w in every if w in taken]
+        return list(dict.fromkeys(w for w, _ in most_frequent(every, taken.__contains__, frequent) + best_company(every, window, company)))
+
+    return by_text("array<string>", one)(F.lower(text))
 
 
 def having(words: Column, terms, without=()) -> Column:
