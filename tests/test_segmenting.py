@@ -135,3 +135,48 @@ def test_the_engine_takes_the_words(spark):
     engine = api.Engine(spark, vocabulary=vocab)
     made = engine.process(spark.createDataFrame([(1, "https://www.zhihu.com/question/5", page)], "page_id long, url string, html string"), F.lit("2024-01-01")).first()
     assert made.document is None or "数据" in made.document
+
+
+def test_grams_are_numbers_until_they_are_counted(spark):
+    """As strings, every gram of a long text passed through the engine's counting; numbers keep all letters, up to the last code point."""
+    draw = random.Random(3)
+    texts = ["".join(chr(draw.choice([0, 65, 0x4E00, 0x4E01, 0x10FFFF])) for _ in range(draw.randint(0, 40))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "run string").repartition(3)
+    want = Counter(t[i : i + k] for t in texts for k in range(1, 8) for i in range(len(t) - k + 1))
+    made = segmenting._counted(rows, range(1, 8))
+    assert {r.gram: r.n for r in made.collect()} == want and made.count() == len(want)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [key0" in plan and "Aggregate [gram" not in plan
+
+
+def test_few_words_of_many_letters_keep_their_order():
+    vocab = segmenting.Vocabulary({"甲": -9.0, "甲乙": -1.0, "乙丙": -1.0, "丙": -3.0, "甲乙丙丁": -2.0}, floor=-0.5)
+    for run in ("", "甲", "丁", "甲乙丙", "丁甲乙丙丁", "甲" * 5000 + "乙丙"):
+        weight = lambda words: sum(vocab.words.get(w, vocab.floor) for w in words)
+        cut = vocab.cut(run)
+        assert "".join(cut) == run and (len(run) > 9 or weight(cut) == max(w for w, _ in all_cuts(vocab.words, vocab.floor, run)))
+
+
+@pytest.mark.parametrize("name", ["segmented_text", "segmented_top20"])
+def test_unspaced_text_is_made_once(spark, name, tmp_path, monkeypatch):
+    from textloom.plans import segments
+
+    made = []
+    monkeypatch.setattr(segments, "unspaced", lambda s, d, own=segments.unspaced: made.append(d) or own(s, d))
+    text = "One two, the twentieth of THIRTEEN.\nÉlan? x2!" * 30
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = segments.Q[name](spark, str(tmp_path))
+    assert out.count() >= 0 and len(made) == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in "".join(out.inputFiles()) and plan.count("PythonUDF") <= 1 and "md5" not in plan
+
+
+def test_unspaced_text_is_that_of_the_sql(spark):
+    import duckdb
+
+    from textloom.plans import segments
+
+    got = dict(segments.unspaced(spark, "/root/testdata/sf0.001").collect())
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    assert got == dict(con.execute(f"WITH {segments._UNSPACED} SELECT doc_id, text FROM z").fetchall())

@@ -34,7 +34,7 @@ SLACK = 1e-8
 RANKS = "array<struct<word: string, score: double>>"
 
 
-class _Kept(dict):
+class Kept(dict):
     """Code points of words as they are, others as a blank; each is looked at when it first comes."""
 
     def __missing__(self, point: int) -> int:
@@ -42,7 +42,7 @@ class _Kept(dict):
         return out
 
 
-_KEPT = _Kept()
+_KEPT = Kept()
 
 
 def words_of(text: str) -> list[str]:

@@ -6,7 +6,7 @@ it is frequent, its parts stand together more often than by chance (pointwise mu
 split), and what stands beside it varies (entropy of the neighbours, on the less varied side).
 
 Texts are cut by a Viterbi path: of all ways to cut a run into words and single characters the one of the highest product
-of word frequencies, found over a trie of the vocabulary from the run's end to its start.
+of word frequencies, found with an automaton of the vocabulary from the run's end to its start.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -34,6 +35,8 @@ _JVM_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{Is
 HELD_GRAMS, PIECE, SENT_GRAMS = 2_000_000, 2_000_000, 100_000
 #: Words that a vocabulary takes at most, the most frequent first.
 MOST_WORDS = 200_000
+#: Letters in a 64-bit key, and the bits of each.
+KEY_LETTERS, LETTER_BITS = 3, 21
 
 
 @dataclass(frozen=True)
@@ -51,17 +54,41 @@ def runs(docs: DataFrame, text_col: str = "text", pattern: str = _JVM_UNSPACED)
     return docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("run"))
 
 
-def _distinct(codes: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    """The distinct grams of so many characters at these places, with their numbers."""
+def _packed(columns: Sequence[np.ndarray], keys: int) -> list[np.ndarray]:
+    """So many 64-bit keys for the grams whose code points these columns hold; a place without a letter is 0."""
+    out = [np.zeros(len(columns[0]), np.int64) for _ in range(keys)]
+    for j, column in enumerate(columns):
+        out[j // KEY_LETTERS] |= (column.astype(np.int64) + 1) << LETTER_BITS * (KEY_LETTERS - 1 - j % KEY_LETTERS)
+    return out
+
+
+def _unpacked(keys: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The grams of _packed() keys, by their number of letters: their places and they."""
+    shifts = [LETTER_BITS * j for j in reversed(range(KEY_LETTERS))]
+    letters = np.stack([(key >> shift) & ((1 << LETTER_BITS) - 1) for key in keys for shift in shifts], 1)
+    sizes = np.count_nonzero(letters, 1)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        text = (letters[at, :size] - 1).astype("<u4").tobytes().decode("utf-32-le")
+        yield at, [text[i : i + size] for i in range(0, len(text), size)]
+
+
+def _distinct(codes: np.ndarray, at: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct grams of so many characters at these places, a column a character, with their numbers."""
     alphabet = np.flatnonzero(np.bincount(codes))
     dense = np.zeros(alphabet[-1] + 1, np.int64)
     dense[alphabet] = np.arange(len(alphabet))
-    columns = [dense[codes[at + j]] for j in range(size)]
-    if len(alphabet) ** size < 1 << 63:
+    columns, space = [dense[codes[at + j]] for j in range(size)], len(alphabet) ** size
+    if space < 1 << 63:
         keys = columns[0]
         for column in columns[1:]:
             keys = keys * len(alphabet) + column
-        keys, n = np.unique(keys, return_counts=True)
+        if space <= len(keys):
+            counts = np.bincount(keys)
+            keys = np.flatnonzero(counts)
+            n = counts[keys]
+        else:
+            keys, n = np.unique(keys, return_counts=True)
         columns = []
         for _ in range(size):
             keys, digit = np.divmod(keys, len(alphabet))
@@ -69,9 +96,7 @@ def _distinct(codes: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[li
     else:
         rows, n = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
         columns = list(rows.T)
-    for a in range(0, len(n), SENT_GRAMS):
-        letters = np.stack([alphabet[c[a : a + SENT_GRAMS]] for c in columns], 1).astype("<u4").tobytes().decode("utf-32-le")
-        yield [letters[i : i + size] for i in range(0, len(letters), size)], n[a : a + SENT_GRAMS]
+    return [alphabet[c] for c in columns], n
 
 
 def _hashes(columns: Sequence[np.ndarray]) -> np.ndarray:
@@ -94,13 +119,17 @@ def _gram_filter(grams: DataFrame, size: int) -> Broadcast:
     return grams.sparkSession.sparkContext.broadcast(filters.fitted_filter(grams.select("gram").mapInArrow(hashed, "h long")))
 
 
-def _counted(run_rows: DataFrame, sizes: Sequence[int], bound: Broadcast | None = None, often: Broadcast | None = None) -> DataFrame:
+def _counted(run_rows: DataFrame, sizes: Sequence[int], bound: Broadcast | None = None, often: Broadcast | None = None, least: int = 1) -> DataFrame:
     """(gram, n, heads, tails) of all grams of these sizes in the column run, counted in the task before the shuffle.
 
+    Grams are numbers until they are counted, and become strings afterwards: those that occur least times, and heads and tails.
+
     With bound, a filter of grams that are shorter by one, only those that begin or end with one of these (heads, tails), and
     with often, another, those whose both parts are in that. A filter passes a gram everywhere or nowhere, so counts are whole.
     """
 
+    names = [f"key{i}" for i in range(-(-max(sizes) // KEY_LETTERS))]
+
     def counted(codes: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
         for size in sizes:
             for a in range(0, len(codes), PIECE):
@@ -112,8 +141,11 @@ def _counted(run_rows: DataFrame, sizes: Sequence[int], bound: Broadcast | None
                     both = np.zeros(len(at), bool) if often is None else filters.passed(part[0], often.value) & filters.passed(part[1], often.value)
                     groups = [(at[head & tail], True, True), (at[head & ~tail], True, False), (at[tail & ~head], False, True), (at[both & ~head & ~tail], False, False)]
                 for places, heads, tails in groups:
-                    for grams, n in _distinct(codes, places, size) if len(places) else ():
-                        yield pa.record_batch([pa.array(grams, pa.string()), pa.array(n, pa.int64()), *(pa.array(np.full(len(n), x)) for x in (heads, tails))], ["gram", "n", "heads", "tails"])
+                    if len(places):
+                        columns, n = _distinct(codes, places, size)
+                        made = pa.record_batch([*map(pa.array, _packed(columns, len(names))), pa.array(n, pa.int64()), *(pa.array(np.full(len(n), x)) for x in (heads, tails))], [*names, "n", "heads", "tails"])
+                        for i in range(0, len(n), SENT_GRAMS):
+                            yield made.slice(i, SENT_GRAMS)
 
     def gathered(held: list[str]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
@@ -132,8 +164,17 @@ def _counted(run_rows: DataFrame, sizes: Sequence[int], bound: Broadcast | None
                     held, letters = [], 0
         yield from gathered(held)
 
-    made = run_rows.select("run").mapInArrow(count, "gram string, n long, heads boolean, tails boolean")
-    return made.groupBy("gram", "heads", "tails").agg(F.sum("n").alias("n"))
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, grams in _unpacked([batch.column(name).to_numpy() for name in names]) if len(batch) else ():
+                yield pa.record_batch([pa.array(grams, pa.string()), *(batch.column(c).take(pa.array(at)) for c in ("n", "heads", "tails"))], ["gram", "n", "heads", "tails"])
+
+    rest = "n long, heads boolean, tails boolean"
+    made = run_rows.select("run").mapInArrow(count, ", ".join([*(f"{name} long" for name in names), rest]))
+    sums = made.groupBy(*names, "heads", "tails").agg(F.sum("n").alias("n"))
+    if least > 1:
+        sums = sums.where((F.col("n") >= least) | F.col("heads") | F.col("tails"))
+    return sums.mapInArrow(spelt, f"gram string, {rest}")
 
 
 def gram_counts(run_rows: DataFrame, longest: int) -> DataFrame:
@@ -178,8 +219,8 @@ def discovered(run_rows: DataFrame, found: Found = Found()) -> DataFrame:
     size = F.length("gram")
     for k in range(full + 1, found.longest + 2):
         often = counts.where((size == k - 1) & (F.col("n") >= found.least)) if k <= found.longest else None
-        more = _counted(run_rows, [k], _gram_filter(tied.where(size == k - 1), k - 1), often and _gram_filter(often, k - 1))
-        counts = counts.unionByName(written(more.where((F.col("n") >= found.least) | F.col("heads") | F.col("tails")), "gram-counts"))
+        more = _counted(run_rows, [k], _gram_filter(tied.where(size == k - 1), k - 1), often and _gram_filter(often, k - 1), found.least)
+        counts = counts.unionByName(written(more, "gram-counts"))
         if k <= found.longest:
             tied = tied.unionByName(_bound(counts, k, k, found))
     wider = counts.where(size >= 3)
@@ -191,7 +232,7 @@ def discovered(run_rows: DataFrame, found: Found = Found()) -> DataFrame:
 
 
 class Vocabulary:
-    """Words with the logarithm of their frequency, as a trie."""
+    """Words with the logarithm of their frequency."""
 
     def __init__(self, words: dict[str, float], floor: float | None = None, pattern: str = UNSPACED):
         self.words, self.pattern = dict(words), pattern
@@ -205,15 +246,19 @@ class Vocabulary:
         self.words, self.pattern, self.floor = state
 
     @cached_property
-    def trie(self) -> dict:
-        """A dict for each letter; the weight of a word stands under the empty string."""
-        root: dict = {}
+    def single(self) -> dict[str, float]:
+        """The weights of words of one character."""
+        return {word: weight for word, weight in self.words.items() if len(word) == 1}
+
+    @cached_property
+    def longer(self) -> ahocorasick.Automaton | None:
+        """The other words, spelt backwards, with their length and weight."""
+        made = ahocorasick.Automaton()
         for word, weight in self.words.items():
-            node = root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = weight
-        return root
+            if len(word) > 1:
+                made.add_word(word[::-1], (len(word), weight))
+        made.make_automaton()
+        return made if len(made) else None
 
     @cached_property
     def _pieces(self) -> regex.Pattern:
@@ -224,25 +269,25 @@ class Vocabulary:
         return regex.compile(self.pattern)
 
     def cut(self, run: str) -> list[str]:
-        """The run in words: the path of the largest sum of weights, and of equal ones that with the longer first word."""
-        n, root = len(run), self.trie
-        best, step = [0.0] * (n + 1), [1] * n
-        for i in range(n - 1, -1, -1):
-            node, top, taken = root.get(run[i]), None, 1
-            if node is None or "" not in node:
-                top = self.floor + best[i + 1]
-            j = i
-            while node is not None:
-                j += 1
-                weight = node.get("")
-                if weight is not None and (top is None or weight + best[j] >= top):
-                    top, taken = weight + best[j], j - i
-                node = node.get(run[j]) if j < n else None
-            best[i], step[i] = top, taken
-        out, i = [], 0
-        while i < n:
-            out.append(run[i : i + step[i]])
-            i += step[i]
+        """The run in words: the path of the largest sum of weights, and of equal ones that with the longer first word.
+
+        Read from its end: best and step are of the run's last characters, and at each place the automaton gives the words that
+        begin there, longer ones first.
+        """
+        back, floor = run[::-1], self.floor
+        ones, best, step, p = [self.single.get(c, floor) for c in back], [0.0], [1] * len(run), 0
+        for at, (k, weight) in self.longer.iter(back) if self.longer else ():
+            while p <= at:
+                best.append(ones[p] + best[p])
+                p += 1
+            total = weight + best[p - k]
+            if total > best[p] or (total == best[p] and step[at] == 1):
+                best[p], step[at] = total, k
+        out, i, last = [], 0, len(run) - 1
+        while i <= last:
+            k = step[last - i]
+            out.append(run[i : i + k])
+            i += k
         return out
 
     def tokens(self, text: str | None) -> list[str]:

@@ -6,11 +6,15 @@ digest, with nothing between words; full stops and line ends stay as ends of run
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicons
+from textloom.functions.text import by_text
 from textloom.operators import keywords, segmenting
+from textloom.sources.shared import written
 
 Q, SQL = {}, {}
 FOUND = segmenting.Found()
@@ -26,14 +30,30 @@ def query(sql: str | None = None):
     return add
 
 
+class _Letters(dict):
+    """The letters of words, made when one first comes; a worker keeps those of the first 100,000."""
+
+    def __missing__(self, word: str) -> str:
+        digest = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+        out = "".join([chr(0x4E00 + digest[i]) for i in range(1 + (len(word) > 3) + (len(word) > 8))])
+        if len(self) < 100_000:
+            self[word] = out
+        return out
+
+
+#: Ends of runs, which become full stops; no text has these of its own left.
+_KEPT = keywords.Kept({ord(c): " 。 " for c in ".!?\n"})
+
+
 def unspaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of the documents without spaces."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[.!?\n]"), F.lit(0))
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", words.alias("words"))
-    letter = "'4E' || substr(md5(w), {}, 2)"
-    letters = " || ".join([letter.format(1), f"if(length(w) > 3, {letter.format(3)}, '')", f"if(length(w) > 8, {letter.format(5)}, '')"])
-    made = F.expr(f"array_join(transform(words, w -> if(w in ('.', '!', '?', '\\n'), '。', decode(unhex({letters}), 'UTF-16BE'))), '')")
-    return rows.select("doc_id", made.alias("text"))
+    letters = _Letters()
+
+    def one(text: str) -> str:
+        return "".join(["。" if w == "。" else letters[w] for w in text.translate(_KEPT).split()])
+
+    made = by_text("string", one)(F.lower(F.coalesce("text", F.lit(""))))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", made.alias("text"))
 
 
 _LETTER = "chr(19968 + ('0x' || substr(md5(w), {}, 2))::INTEGER)"
@@ -70,11 +90,11 @@ def _cut(spark: SparkSession, docs: DataFrame):
 
 @query()
 def segmented_text(spark, sf_dir):
-    docs = unspaced(spark, sf_dir)
+    docs = written(unspaced(spark, sf_dir), "unspaced")  # read for its words, and to be cut
     return docs.select("doc_id", F.array_join(segmenting.segmented(F.col("text"), _cut(spark, docs)), " ").alias("words"))
 
 
 @query()
 def segmented_top20(spark, sf_dir):
-    docs = unspaced(spark, sf_dir)
+    docs = written(unspaced(spark, sf_dir), "unspaced")  # read for its words, and to be cut
     return keywords.top_words(docs, keywords.keyword_rule(lexicons.LATIN), cut=_cut(spark, docs))
