@@ -171,7 +171,8 @@ def _counted(run_rows: DataFrame, sizes: Sequence[int], bound: Broadcast | None
 
     rest = "n long, heads boolean, tails boolean"
     made = run_rows.select("run").mapInArrow(count, ", ".join([*(f"{name} long" for name in names), rest]))
-    sums = made.groupBy(*names, "heads", "tails").agg(F.sum("n").alias("n"))
+    # Tasks have counted already; a second count of theirs before the shuffle would merge little and spill.
+    sums = made.repartition(*names).groupBy(*names, "heads", "tails").agg(F.sum("n").alias("n"))
     if least > 1:
         sums = sums.where((F.col("n") >= least) | F.col("heads") | F.col("tails"))
     return sums.mapInArrow(spelt, f"gram string, {rest}")
@@ -319,3 +320,9 @@ def segmented(text: Column, cut: Callable[[str], list[str]]) -> Column:
     """array<string> of the tokens of each text; empty for null."""
 
     return by_text("array<string>", lambda t: cut(t) if t else [])(text)
+
+
+def segmented_line(text: Column, cut: Callable[[str], list[str]], separator: str = " ") -> Column:
+    """The tokens of each text in one string; empty for null."""
+
+    return by_text("string", lambda t: separator.join(cut(t)) if t else "")(text)

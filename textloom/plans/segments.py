@@ -47,10 +47,10 @@ _KEPT = keywords.Kept({ord(c): " 。 " for c in ".!?\n"})
 
 def unspaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of the documents without spaces."""
-    letters = _Letters()
+    letters = _Letters({"。": "。"})
 
     def one(text: str) -> str:
-        return "".join(["。" if w == "。" else letters[w] for w in text.translate(_KEPT).split()])
+        return "".join(map(letters.__getitem__, text.translate(_KEPT).split()))
 
     made = by_text("string", one)(F.lower(F.coalesce("text", F.lit(""))))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", made.alias("text"))
@@ -91,7 +91,7 @@ def _cut(spark: SparkSession, docs: DataFrame):
 @query()
 def segmented_text(spark, sf_dir):
     docs = written(unspaced(spark, sf_dir), "unspaced")  # read for its words, and to be cut
-    return docs.select("doc_id", F.array_join(segmenting.segmented(F.col("text"), _cut(spark, docs)), " ").alias("words"))
+    return docs.select("doc_id", segmenting.segmented_line(F.col("text"), _cut(spark, docs)).alias("words"))
 
 
 @query()
